@@ -24,23 +24,33 @@ def drop_all_duplicates(df: DataFrame, key: str) -> DataFrame:
                 .groupBy(key).agg(F.count(F.lit(1)).alias("_copies"))
                 .filter(F.col("_copies") > 1)
                 .select(key))
-    return df.join(repeated, on=key, how="left_anti")
+    return df.join(repeated, on=key, how="left_anti").select(*df.columns)
 
 
-def keep_one(df: DataFrame, keys: Sequence[str], values: Sequence[str],
-             prefer: Sequence[tuple[str, bool]]) -> DataFrame:
-    """One row per ``keys`` with the ``values`` of a deterministic survivor.
+def keep_first(df: DataFrame, keys: Sequence[str], desc_col: str, asc_col: str) -> DataFrame:
+    """One row per ``keys``: the ``(desc_col, asc_col)`` values of the row that
+    sorts first by ``desc_col DESC NULLS LAST, asc_col ASC NULLS LAST``.
 
-    The survivor is the first row under ``prefer`` — a list of
-    ``(numeric column, descending)`` — with NULLs last, e.g.
-    ``[("total_pax", True), ("lap_child_count", False)]``.  Implemented as
-    ``min(struct(...))`` so it aggregates partially on the map side.
+    Both columns are 32-bit integers.  For rows where both are set,
+    ``d * 2^32 + (2^31 - 1 - a)`` orders exactly like ``(d desc, a asc)`` and
+    fits in a signed 64-bit long, so the survivor is found by plain
+    ``max``/``min`` aggregates (fixed-width buffers: a hash aggregation with a
+    map-side partial step, no sort):
+
+    * ``max(d)`` is the survivor's ``d`` (NULL only if every ``d`` is NULL);
+    * if the best packed key has that ``d``, its ``a`` is the survivor's ``a``;
+      otherwise every row with the top ``d`` has a NULL ``a``;
+    * if every ``d`` is NULL, the survivor's ``a`` is ``min(a)``.
     """
-    parts = []
-    for i, (c, desc) in enumerate(prefer):
-        v = F.col(c)
-        parts.append(v.isNull().alias(f"_n{i}"))
-        parts.append((-(v.cast("long")) if desc else v).alias(f"_k{i}"))
-    parts += [F.col(v).alias(v) for v in values]
-    picked = df.groupBy(*keys).agg(F.min(F.struct(*parts)).alias("_pick"))
-    return picked.select(*keys, *[F.col(f"_pick.{v}").alias(v) for v in values])
+    d, a = F.col(desc_col).cast("long"), F.col(asc_col).cast("long")
+    low = F.lit(2 ** 31 - 1)
+    packed = F.when(d.isNotNull() & a.isNotNull(), F.shiftleft(d, 32) + (low - a))
+    g = df.groupBy(*keys).agg(F.max(d).alias("_d"), F.max(packed).alias("_p"),
+                              F.min(a).alias("_amin"))
+    top_d, best = F.col("_d"), F.col("_p")
+    best_a = low - best.bitwiseAND(F.lit(0xFFFFFFFF))
+    chosen_a = (F.when(top_d.isNull(), F.col("_amin"))
+                .when(F.shiftright(best, 32) == top_d, best_a))
+    src = dict(df.dtypes)
+    return g.select(*keys, top_d.cast(src[desc_col]).alias(desc_col),
+                    chosen_a.cast(src[asc_col]).alias(asc_col))

@@ -1,10 +1,12 @@
 """Counting the rows of a many-to-many join without building it.
 
-``COUNT(*)`` of ``L JOIN R ON k`` grouped by columns that are functions of
-the join key (or of one side) equals ``SUM(nL * nR)`` over the join of the
-two sides pre-aggregated by those columns.  The pre-aggregated join is
-linear in the input, while the direct join is quadratic in the size of a
-hot key.
+``COUNT(*)`` of ``L JOIN R ON k`` grouped by ``G`` equals ``SUM(nL)`` over
+``(L counted by k) JOIN R`` grouped by ``G`` when ``G`` is drawn from ``k``
+and R's columns.  Counting one side by the join key first makes it unique per
+key, so the join emits at most one row per R row: linear work, where the
+direct join is quadratic in the size of a hot key.  R is not pre-aggregated,
+so it shuffles once (by the join key) instead of twice; a hot key on R's side
+is a skewed join partition, which AQE splits.
 """
 
 from __future__ import annotations
@@ -17,14 +19,14 @@ from pyspark.sql import functions as F
 
 def count_join_rows(left: DataFrame, right: DataFrame, on: Sequence[str],
                     by: Sequence[str], name: str,
-                    left_by: Sequence[str] = (), right_by: Sequence[str] = ()) -> DataFrame:
+                    right_by: Sequence[str] = ()) -> DataFrame:
     """``SELECT by, COUNT(*) AS name FROM left JOIN right USING (on) GROUP BY by``.
 
-    ``by`` must be drawn from ``on``, ``left_by`` (left-only columns) and
-    ``right_by`` (right-only columns).  NULL join keys never match, as in SQL.
+    ``by`` must be drawn from ``on`` and ``right_by`` (columns of ``right``).
+    NULL join keys never match, as in SQL.
     """
     on = list(on)
-    lcount = left.groupBy(*on, *left_by).agg(F.count(F.lit(1)).alias("_nl"))
-    rcount = right.groupBy(*on, *right_by).agg(F.count(F.lit(1)).alias("_nr"))
-    return (lcount.join(rcount, on=on, how="inner")
-            .groupBy(*by).agg(F.sum(F.col("_nl") * F.col("_nr")).alias(name)))
+    counted = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_nl"))
+    r = right.select(*on, *[c for c in right_by if c not in on])
+    return (counted.join(r, on=on, how="inner")
+            .groupBy(*by).agg(F.sum("_nl").alias(name)))

@@ -8,9 +8,10 @@ ranks through a global sort instead:
 1. ``orderBy(g, o)`` — a range-partitioned sort.  The range bounds are
    sampled over ``(g, o)``, so a hot group is spread over many partitions.
 2. ``monotonically_increasing_id`` after the sort gives each row
-   ``partition << 33 | position``; the sorted frame is checkpointed to the
-   reliable checkpoint folder, so positions never change after a lost
-   executor.
+   ``partition << 33 | position``; the sorted frame is written once as a
+   Parquet table in the session's reliable checkpoint folder
+   (``spark.checkpoint.dir``) and read back, which cuts the lineage: a lost
+   executor re-reads files instead of recomputing positions.
 3. One row per (partition, group) — at most ``partitions + groups`` rows —
    holds the first position in the partition, the rows of the group in
    earlier partitions and the group size.
@@ -18,7 +19,7 @@ ranks through a global sort instead:
    broadcast when the segment table's row count is within a checked bound,
    otherwise by a shuffle join.
 
-The result keeps the global (group, order) sort of step 1.
+Row order of the result is not defined; sort it for display.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.session import ensure_checkpoint_dir
+from tarmac.session import scratch_path
 
 MAX_BROADCAST_SEGMENTS = 2_000_000
 
@@ -45,14 +46,15 @@ def rank_within_groups(df: DataFrame, by: Sequence[str], order: Sequence[Column]
     breakers).  NULL group values form their own group.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     by = list(by)
     keys = [F.col(c).asc_nulls_first() for c in by] + list(order)
 
-    ordered = (df.orderBy(*keys)
-               .withColumn(_POS, F.monotonically_increasing_id())
-               .withColumn(_PART, F.shiftrightunsigned(F.col(_POS), 33))
-               .checkpoint(eager=True))
+    path = scratch_path(spark, "ranked")
+    (df.orderBy(*keys)
+     .withColumn(_POS, F.monotonically_increasing_id())
+     .withColumn(_PART, F.shiftrightunsigned(F.col(_POS), 33))
+     .write.mode("errorifexists").parquet(path))
+    ordered = spark.read.parquet(path)
 
     gcols = [f"_g{i}" for i in range(len(by))]
     seg = (ordered.groupBy(F.col(_PART), *[F.col(c).alias(g) for c, g in zip(by, gcols)])

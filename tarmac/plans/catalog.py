@@ -35,7 +35,7 @@ def tables(spark: SparkSession, sf_dir: str) -> FlightTables:
 
 def _flight_difficulty_table(spark: SparkSession, t: FlightTables) -> DataFrame:
     path = scratch_path(spark, "flight_difficulty")
-    scoring.write_flight_difficulty(scoring.daily_ranking(t), path)
+    scoring.write_flight_difficulty(scoring.daily_ranking(t, sort=False), path)
     return scoring.read_flight_difficulty(spark, path)
 
 
@@ -80,7 +80,7 @@ _PLANS: dict[str, Callable[[SparkSession, FlightTables], DataFrame]] = {
     "hard_destinations_above_avg": lambda s, t: insights.hard_destinations_above_avg(
         t.flights, scoring.difficulty_scores(t, P.SCORE_PRESET, sort=False)),
     "hard_destinations_majority": lambda s, t: insights.hard_destinations_majority(
-        t.flights, scoring.daily_ranking(t, P.SCORE_PRESET)),
+        t.flights, scoring.daily_ranking(t, P.SCORE_PRESET, sort=False)),
 }
 
 

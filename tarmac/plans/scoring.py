@@ -4,12 +4,11 @@ score, daily rank and class, and the stored ranking.
 Plan shape (one job per query, all built-in operators):
 
 * bags      -> partial+final aggregate by flight key (transfer ratio)
-* bookings  -> keep-one aggregate by (flight key, locator)   [shared by both
-               uses below; Spark reuses the exchange]
-            -> sum of seat-occupying passengers by flight key
-            -> joined with remarks pre-counted by (locator, flight) and summed
-               by flight key (service requests)
-* flights   -> three left joins on the flight key; the aggregates come out
+* bookings  -> keep-one hash aggregate by (flight key, locator)
+            -> left join with remarks pre-counted by (locator, flight)
+            -> one aggregate by flight key: service requests and
+               seat-occupying passengers together (bookings read once)
+* flights   -> two left joins on the flight key; the aggregates come out
                hash-partitioned on that key, so flights shuffle once and AQE
                may broadcast any aggregate that turns out small or split a
                skewed flight-key partition
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from tarmac import params as P
 from tarmac.functions.columns import (count_where, int_div, minmax_score, ratio, span,
                                       tercile_label, weighted_sum)
-from tarmac.operators.dedupe import keep_one
+from tarmac.operators.dedupe import keep_first
 from tarmac.operators.fanout import count_join_rows
 from tarmac.operators.ranking import rank_within_groups
 from tarmac.sources.tables import FlightTables
@@ -49,8 +48,8 @@ def dedupe_bookings(bookings: DataFrame) -> DataFrame:
     """One booking per (flight key, record locator).  The source keeps an
     arbitrary copy; here the copy with most passengers, then fewest lap
     children (NULLs last), so every run and engine keeps the same values."""
-    return keep_one(bookings, keys=P.BOOKING_KEY, values=["total_pax", "lap_child_count"],
-                    prefer=[("total_pax", True), ("lap_child_count", False)])
+    return keep_first(bookings, keys=P.BOOKING_KEY, desc_col="total_pax",
+                      asc_col="lap_child_count")
 
 
 def ssr_counts(remarks: DataFrame, deduped: DataFrame) -> DataFrame:
@@ -65,12 +64,28 @@ def passenger_loads(deduped: DataFrame) -> DataFrame:
         F.sum(F.col("total_pax") - F.col("lap_child_count")).alias("seat_occupying_passengers"))
 
 
+def booking_features(remarks: DataFrame, bookings: DataFrame) -> DataFrame:
+    """Service requests and seat-occupying passengers per flight key from one
+    pass over the deduplicated bookings.
+
+    Remarks are counted by (locator, flight) (one row per key), left-joined
+    to the deduplicated bookings, and one aggregation per flight key sums
+    both: ``SUM(n_remarks)`` equals the remark/booking join count of
+    ``ssr_counts`` (NULL when no remark matches, like a missing key there)
+    and ``SUM(total_pax - lap_child_count)`` equals ``passenger_loads``.
+    Bookings are read and deduplicated once for both features.
+    """
+    counted = remarks.groupBy(*P.REMARK_KEY).agg(F.count(F.lit(1)).alias("_nr"))
+    j = dedupe_bookings(bookings).join(counted, on=list(P.REMARK_KEY), how="left")
+    return j.groupBy(*KEY).agg(
+        F.sum("_nr").alias("num_special_service_requests"),
+        F.sum(F.col("total_pax") - F.col("lap_child_count")).alias("seat_occupying_passengers"))
+
+
 def _flight_inputs(t: FlightTables) -> DataFrame:
-    deduped = dedupe_bookings(t.bookings)
     f = t.flights.select(*KEY, "scheduled_ground_time_minutes", "total_seats")
     return (f.join(transfer_ratio_by_flight(t.bags), on=KEY, how="left")
-            .join(ssr_counts(t.remarks, deduped), on=KEY, how="left")
-            .join(passenger_loads(deduped), on=KEY, how="left"))
+            .join(booking_features(t.remarks, t.bookings), on=KEY, how="left"))
 
 
 def _scores(p: P.ScoreParams) -> list:
@@ -115,16 +130,18 @@ def rank_order():
             *[F.col(c).desc_nulls_first() for c in SCORE_COLS]]
 
 
-def daily_ranking(t: FlightTables, p: P.ScoreParams = P.SCORE_PRESET) -> DataFrame:
+def daily_ranking(t: FlightTables, p: P.ScoreParams = P.SCORE_PRESET,
+                  sort: bool = True) -> DataFrame:
     """Rank per departure date by score and label the top, middle and bottom
-    third (integer thirds of the day's flight count).  Output is ordered by
-    date and rank."""
+    third (integer thirds of the day's flight count).  With ``sort`` the
+    output is ordered by date and rank (skip it when storing the result)."""
     scored = difficulty_scores(t, p, sort=False)
     ranked = rank_within_groups(scored, by=[DATE], order=rank_order(),
                                 rank_col="daily_rank", size_col="total_flights")
-    return ranked.select(
+    out = ranked.select(
         *KEY, "difficulty_score", *SCORE_COLS, "daily_rank",
         tercile_label("daily_rank", "total_flights").alias("difficulty_category"))
+    return out.orderBy(F.col(DATE).asc_nulls_last(), F.col("daily_rank")) if sort else out
 
 
 # ------------------------------------------------------------------ ranges
@@ -179,7 +196,7 @@ def write_flight_difficulty(ranked: DataFrame, path: str) -> None:
     """Store the ranking as ``flight_difficulty`` partitioned by departure
     date.  Dynamic partition overwrite replaces only the dates present, so a
     daily run rewrites one day.  The ranking arrives range-partitioned by
-    date, so each task writes few date folders (no global sort needed)."""
+    date (no global sort needed: call ``daily_ranking(..., sort=False)``)."""
     (ranked.write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
      .partitionBy(DATE)

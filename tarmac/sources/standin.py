@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarmac.sources.schemas import BAGS, BOOKINGS, FLIGHTS, REMARKS
 from tarmac.sources.tables import FlightTables
@@ -30,6 +31,20 @@ LOCATORS = 500
 ARRIVAL_STATIONS = 25
 REMARK_MIN_DISCOUNT = 0.05
 
+# Declared read schemas (only the columns the mapping reads), so a read does
+# not start a schema-inference job.
+ORDERS_READ = T.StructType([
+    T.StructField("o_orderkey", T.LongType()), T.StructField("o_custkey", T.LongType()),
+    T.StructField("o_orderdate", T.TimestampNTZType()),
+    T.StructField("o_orderpriority", T.StringType())])
+LINEITEM_READ = T.StructType([
+    T.StructField("l_orderkey", T.LongType()), T.StructField("l_partkey", T.LongType()),
+    T.StructField("l_linenumber", T.IntegerType()), T.StructField("l_quantity", T.DoubleType()),
+    T.StructField("l_discount", T.DoubleType()), T.StructField("l_returnflag", T.StringType()),
+    T.StructField("l_linestatus", T.StringType())])
+CUSTOMER_READ = T.StructType([
+    T.StructField("c_custkey", T.LongType()), T.StructField("c_nationkey", T.IntegerType())])
+
 
 def _null(schema, name: str) -> Column:
     return F.lit(None).cast(schema[name].dataType).alias(name)
@@ -120,12 +135,15 @@ def derive_bags(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 def standin_tables(spark: SparkSession, sf_dir: str) -> FlightTables:
     """Raw (uncleaned) flight tables derived from ``sf_dir``'s parquet files."""
     base = sf_dir.rstrip("/")
-    orders = spark.read.parquet(f"{base}/orders.parquet")
-    lineitem = spark.read.parquet(f"{base}/lineitem.parquet")
-    customer = spark.read.parquet(f"{base}/customer.parquet")
+
+    def read(name, schema):
+        return lambda: spark.read.schema(schema).parquet(f"{base}/{name}.parquet")
+
+    orders, lineitem, customer = (read("orders", ORDERS_READ), read("lineitem", LINEITEM_READ),
+                                  read("customer", CUSTOMER_READ))
     return FlightTables(
-        flights=derive_flights(orders, customer),
-        bookings=derive_bookings(lineitem, orders),
-        remarks=derive_remarks(lineitem, orders),
-        bags=derive_bags(lineitem, orders),
+        flights=lambda: derive_flights(orders(), customer()),
+        bookings=lambda: derive_bookings(lineitem(), orders()),
+        remarks=lambda: derive_remarks(lineitem(), orders()),
+        bags=lambda: derive_bags(lineitem(), orders()),
     )

@@ -2,31 +2,53 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from typing import Callable, Union
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tarmac.sources.schemas import BAGS, BOOKINGS, FLIGHTS, REMARKS, conform, require_columns
 
 
-@dataclass(frozen=True)
+Source = Union[DataFrame, Callable[[], DataFrame]]
+
+
 class FlightTables:
     """Flights, bookings (PNR per flight), service-request remarks and bags.
 
-    All members are lazy DataFrames; building the value runs nothing.
+    Members may be given as DataFrames or as zero-argument builders; a builder
+    runs on first access only, so a query pays the (driver-side) analysis of
+    the tables it reads and no others.  Nothing here runs a Spark job.
     """
 
-    flights: DataFrame
-    bookings: DataFrame
-    remarks: DataFrame
-    bags: DataFrame
+    MEMBERS = ("flights", "bookings", "remarks", "bags")
+
+    def __init__(self, flights: Source, bookings: Source, remarks: Source, bags: Source):
+        self._src = dict(flights=flights, bookings=bookings, remarks=remarks, bags=bags)
+        self._built: dict[str, DataFrame] = {}
+
+    def _get(self, name: str) -> DataFrame:
+        if name not in self._built:
+            src = self._src[name]
+            self._built[name] = src if isinstance(src, DataFrame) else src()
+        return self._built[name]
+
+    flights = property(lambda self: self._get("flights"))
+    bookings = property(lambda self: self._get("bookings"))
+    remarks = property(lambda self: self._get("remarks"))
+    bags = property(lambda self: self._get("bags"))
+
+    def replace(self, **members: Source) -> "FlightTables":
+        src = {m: (lambda m=m: self._get(m)) for m in self.MEMBERS}
+        src.update(members)
+        return FlightTables(**src)
 
     def cleaned(self) -> "FlightTables":
         """The tables as the analysis reads them: duplicate bag tags removed and
         flights without positive scheduled ground time removed."""
         from tarmac.plans.cleaning import clean_bags, clean_flights
 
-        return replace(self, flights=clean_flights(self.flights), bags=clean_bags(self.bags))
+        return self.replace(flights=lambda: clean_flights(self.flights),
+                            bags=lambda: clean_bags(self.bags))
 
 
 TABLE_FILES = {
