@@ -25,6 +25,10 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
+    if master.startswith("local"):
+        # One machine: list partition folders on the driver instead of a
+        # Spark job with one task per folder.
+        spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.threshold", "100000")
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
