@@ -23,11 +23,19 @@ def _late():
     return F.col(ACTUAL_DEP) > F.col(SCHED_DEP)
 
 
+def tie_breakers(cols=KEY):
+    """Extra sort keys after the query's own: any order of ties is valid, and
+    distinct trailing keys let the range partitioner of a global sort split a
+    value shared by many rows instead of sending them all to one task."""
+    return [F.col(c).asc_nulls_last() for c in cols]
+
+
 def departure_delay(flights: DataFrame) -> DataFrame:
     """Signed departure delay in minutes per flight, by scheduled departure."""
-    return (flights.select("flight_number", SCHED_DEP, ACTUAL_DEP,
+    return (flights.select(*KEY, SCHED_DEP, ACTUAL_DEP,
                            departure_delay_col().alias("departure_delay_mins"))
-            .orderBy(F.col(SCHED_DEP).asc_nulls_last()))
+            .orderBy(F.col(SCHED_DEP).asc_nulls_last(), *tie_breakers())
+            .drop("scheduled_departure_date_local"))
 
 
 def avg_positive_delay(flights: DataFrame) -> DataFrame:

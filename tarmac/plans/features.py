@@ -10,7 +10,7 @@ from tarmac import params as P
 from tarmac.functions.columns import (count_where, departure_bank, haul_category, hours_between,
                                       padded_day_name, pct, ratio)
 from tarmac.operators.scalar import attach_scalar
-from tarmac.plans.eda import pax_per_flight, ssr_per_flight
+from tarmac.plans.eda import pax_per_flight, ssr_per_flight, tie_breakers
 
 KEY = list(P.FLIGHT_KEY)
 STATIONS = ["scheduled_departure_station_code", "scheduled_arrival_station_code"]
@@ -43,7 +43,7 @@ def bags_per_pax(bags: DataFrame, bookings: DataFrame) -> DataFrame:
     total_pax = (F.col("_nb") * F.col("_sp")).alias("total_pax")
     return (j.select(*KEY, total_bags, total_pax)
             .withColumn("bags_per_pax", ratio("total_bags", "total_pax"))
-            .orderBy(F.col("bags_per_pax").desc_nulls_first()))
+            .orderBy(F.col("bags_per_pax").desc_nulls_first(), *tie_breakers()))
 
 
 def transfer_to_checked_ratio(bags: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def lap_children_ratio(bookings: DataFrame) -> DataFrame:
             .agg(F.sum("lap_child_count").alias("lap_children"),
                  F.sum("total_pax").alias("total_passengers"))
             .withColumn("lap_children_ratio", ratio("lap_children", "total_passengers"))
-            .orderBy(F.col("lap_children_ratio").desc_nulls_first()))
+            .orderBy(F.col("lap_children_ratio").desc_nulls_first(), *tie_breakers()))
 
 
 def haul(flights: DataFrame) -> DataFrame:

@@ -119,7 +119,10 @@ def difficulty_scores(t: FlightTables, p: P.ScoreParams = P.SCORE_PRESET,
                       sort: bool = True) -> DataFrame:
     """Normalised features plus the weighted score, highest first."""
     df = normalized_features(t, p).withColumn("difficulty_score", difficulty_score_col(p))
-    return df.orderBy(F.col("difficulty_score").desc_nulls_first()) if sort else df
+    if not sort:
+        return df
+    return df.orderBy(F.col("difficulty_score").desc_nulls_first(),
+                      *[F.col(c).asc_nulls_last() for c in KEY])
 
 
 def rank_order():
