@@ -201,9 +201,9 @@ def write_flight_difficulty(ranked: DataFrame, path: str) -> None:
     The rows are range-partitioned on (date, rank) into one partition per
     core of the cluster, so every task writes one contiguous run of dates
     (about one file per date in total), all cores write at once, and a busy
-    date is split over several tasks instead of one.  Dynamic
-    partition overwrite replaces only the dates present, so a daily run
-    rewrites its own day and leaves the others.
+    date is split over several tasks instead of one.  Dynamic partition
+    overwrite replaces only the dates present, so a daily run rewrites its
+    own day and leaves the others.
     """
     cores = ranked.sparkSession.sparkContext.defaultParallelism
     (ranked.repartitionByRange(cores, F.col(DATE).asc_nulls_first(), F.col("daily_rank"))

@@ -18,7 +18,7 @@ projections over joins that Catalyst prunes per query.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,44 +46,48 @@ CUSTOMER_READ = T.StructType([
     T.StructField("c_custkey", T.LongType()), T.StructField("c_nationkey", T.IntegerType())])
 
 
-def _null(schema, name: str) -> Column:
-    return F.lit(None).cast(schema[name].dataType).alias(name)
+def _project(df: DataFrame, schema: T.StructType, exprs: dict) -> DataFrame:
+    """Select ``schema``'s columns in order from SQL expressions (typed NULL
+    for columns the mapping leaves out), in one ``selectExpr`` call."""
+    out = []
+    for f in schema.fields:
+        e = exprs.get(f.name, "NULL")
+        out.append(f"CAST({e} AS {f.dataType.simpleString()}) AS {f.name}")
+    return df.selectExpr(*out)
 
 
-def _minutes_after(ts: Column, minutes: Column) -> Column:
-    return F.timestamp_add("MINUTE", minutes, ts)
+FN = f"concat('F', CAST(o_custkey % {FLIGHT_NUMBERS} AS STRING))"
+LOCATOR = f"concat('R', CAST(l_partkey % {LOCATORS} AS STRING))"
 
 
-def _fn(custkey: Column) -> Column:
-    return F.concat(F.lit("F"), (custkey % FLIGHT_NUMBERS).cast("string"))
+def _minutes_after(minutes: str) -> str:
+    return f"timestampadd(MINUTE, {minutes}, o_orderdate)"
 
 
 def derive_flights(orders: DataFrame, customer: DataFrame) -> DataFrame:
     o = orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     c = customer.select("c_custkey", "c_nationkey")
     j = o.join(c, o.o_custkey == c.c_custkey, "inner")
-    k = F.col("o_orderkey")
-    dep_min = (k * 37) % 1440
-    cols = {
-        "company_id": k.cast("string"),
-        "flight_number": _fn(F.col("o_custkey")),
-        "scheduled_departure_date_local": F.to_date("o_orderdate"),
-        "scheduled_departure_station_code": F.concat(F.lit("S"), F.col("c_nationkey").cast("string")),
-        "scheduled_arrival_station_code": F.concat(F.lit("S"), (k % ARRIVAL_STATIONS).cast("string")),
-        "scheduled_departure_datetime_local": _minutes_after(F.col("o_orderdate"), dep_min),
-        "scheduled_arrival_datetime_local": _minutes_after(
-            F.col("o_orderdate"), dep_min + 45 + (k * 29) % 600),
-        "actual_departure_datetime_local": F.when(
-            k % 97 != 0,
-            _minutes_after(F.col("o_orderdate"), dep_min + (k * 13) % 91 - 20)),
-        "total_seats": (F.lit(50) + F.lit(50) * (k % 5)).cast("int"),
-        "fleet_type": F.col("o_orderpriority"),
-        "carrier": F.when(F.col("o_custkey") % 10 == 0, "Express").otherwise("Mainline"),
-        "scheduled_ground_time_minutes": ((k * 17) % 180 - 2).cast("int"),
-        "minimum_turn_minutes": (F.lit(25) + F.lit(5) * (k % 8)).cast("int"),
-    }
-    return j.select([cols[f.name].cast(f.dataType).alias(f.name) if f.name in cols
-                     else _null(FLIGHTS, f.name) for f in FLIGHTS.fields])
+    dep = "(o_orderkey * 37) % 1440"
+    return _project(j, FLIGHTS, {
+        "company_id": "o_orderkey",
+        "flight_number": FN,
+        "scheduled_departure_date_local": "to_date(o_orderdate)",
+        "scheduled_departure_station_code": "concat('S', CAST(c_nationkey AS STRING))",
+        "scheduled_arrival_station_code":
+            f"concat('S', CAST(o_orderkey % {ARRIVAL_STATIONS} AS STRING))",
+        "scheduled_departure_datetime_local": _minutes_after(dep),
+        "scheduled_arrival_datetime_local":
+            _minutes_after(f"{dep} + 45 + (o_orderkey * 29) % 600"),
+        "actual_departure_datetime_local":
+            f"CASE WHEN o_orderkey % 97 <> 0 THEN "
+            f"{_minutes_after(f'{dep} + (o_orderkey * 13) % 91 - 20')} END",
+        "total_seats": "50 + 50 * (o_orderkey % 5)",
+        "fleet_type": "o_orderpriority",
+        "carrier": "CASE WHEN o_custkey % 10 = 0 THEN 'Express' ELSE 'Mainline' END",
+        "scheduled_ground_time_minutes": "(o_orderkey * 17) % 180 - 2",
+        "minimum_turn_minutes": "25 + 5 * (o_orderkey % 8)",
+    })
 
 
 def _order_lines(lineitem: DataFrame, orders: DataFrame, line_cols) -> DataFrame:
@@ -94,42 +98,34 @@ def _order_lines(lineitem: DataFrame, orders: DataFrame, line_cols) -> DataFrame
 
 def derive_bookings(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     j = _order_lines(lineitem, orders, ["l_partkey", "l_quantity", "l_linenumber"])
-    cols = {
-        "flight_number": _fn(F.col("o_custkey")),
-        "scheduled_departure_date_local": F.to_date("o_orderdate"),
-        "record_locator": F.concat(F.lit("R"), (F.col("l_partkey") % LOCATORS).cast("string")),
-        "total_pax": (F.lit(1) + F.col("l_quantity").cast("int") % 9).cast("int"),
-        "lap_child_count": F.when(F.col("l_linenumber") == 7, 1).otherwise(0),
-    }
-    return j.select([cols[f.name].cast(f.dataType).alias(f.name) if f.name in cols
-                     else _null(BOOKINGS, f.name) for f in BOOKINGS.fields])
+    return _project(j, BOOKINGS, {
+        "flight_number": FN,
+        "scheduled_departure_date_local": "to_date(o_orderdate)",
+        "record_locator": LOCATOR,
+        "total_pax": "1 + CAST(l_quantity AS INT) % 9",
+        "lap_child_count": "CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END",
+    })
 
 
 def derive_remarks(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     lines = lineitem.filter(F.col("l_discount") >= REMARK_MIN_DISCOUNT)
     j = _order_lines(lines, orders, ["l_partkey", "l_linestatus"])
-    cols = {
-        "record_locator": F.concat(F.lit("R"), (F.col("l_partkey") % LOCATORS).cast("string")),
-        "flight_number": _fn(F.col("o_custkey")),
-        "special_service_request": F.col("l_linestatus"),
-    }
-    return j.select([cols[f.name].cast(f.dataType).alias(f.name) if f.name in cols
-                     else _null(REMARKS, f.name) for f in REMARKS.fields])
+    return _project(j, REMARKS, {
+        "record_locator": LOCATOR,
+        "flight_number": FN,
+        "special_service_request": "l_linestatus",
+    })
 
 
 def derive_bags(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     j = _order_lines(lineitem, orders, ["l_linenumber", "l_returnflag"])
-    flag = F.col("l_returnflag")
-    cols = {
-        "flight_number": _fn(F.col("o_custkey")),
-        "scheduled_departure_date_local": F.to_date("o_orderdate"),
-        "bag_tag_unique_number": F.concat(
-            F.lit("B"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("string")),
-        "bag_type": F.when(flag == "A", "Transfer").when(flag == "R", "Hot Transfer")
-                     .otherwise("Origin"),
-    }
-    return j.select([cols[f.name].cast(f.dataType).alias(f.name) if f.name in cols
-                     else _null(BAGS, f.name) for f in BAGS.fields])
+    return _project(j, BAGS, {
+        "flight_number": FN,
+        "scheduled_departure_date_local": "to_date(o_orderdate)",
+        "bag_tag_unique_number": "concat('B', CAST(l_orderkey * 8 + l_linenumber AS STRING))",
+        "bag_type": "CASE l_returnflag WHEN 'A' THEN 'Transfer' WHEN 'R' THEN 'Hot Transfer' "
+                    "ELSE 'Origin' END",
+    })
 
 
 def standin_tables(spark: SparkSession, sf_dir: str) -> FlightTables:
