@@ -1,0 +1,36 @@
+"""Reading stored tables with their declared schemas."""
+
+from __future__ import annotations
+
+import pytest
+
+from minidata import mini_tables
+from tarmac.plans import scoring
+from tarmac.sources import read_tables
+from tarmac.sources.tables import TABLE_FILES
+from test_golden import EXPECTED_RANKING, RANK_COLS, rows
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_read_tables_roundtrip(spark, tmp_path, fmt):
+    t = mini_tables(spark)
+    for member, name in TABLE_FILES.items():
+        w = getattr(t, member).write.mode("overwrite")
+        if fmt == "csv":
+            w.option("header", "true").csv(str(tmp_path / name))
+        else:
+            w.parquet(str(tmp_path / name))
+    back = read_tables(spark, str(tmp_path), fmt=fmt)
+    assert rows(scoring.daily_ranking(back.cleaned()), *RANK_COLS) == \
+        sorted(EXPECTED_RANKING, key=repr)
+
+
+def test_missing_column_is_reported(spark, tmp_path):
+    t = mini_tables(spark)
+    for member, name in TABLE_FILES.items():
+        df = getattr(t, member)
+        if member == "bags":
+            df = df.drop("bag_type")
+        df.write.parquet(str(tmp_path / name))
+    with pytest.raises(ValueError, match="bag_type"):
+        read_tables(spark, str(tmp_path))
