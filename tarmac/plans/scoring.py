@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac import params as P
-from tarmac.functions.columns import (count_where, int_div, minmax_score, ratio, span,
+from tarmac.functions.columns import (count_where, int_div, minmax_score, ratio,
                                       tercile_label, weighted_sum)
 from tarmac.operators.dedupe import keep_first
 from tarmac.operators.fanout import count_join_rows
@@ -222,5 +222,5 @@ def read_flight_difficulty(spark, path: str) -> DataFrame:
 
 __all__ = ["daily_ranking", "dedupe_bookings", "difficulty_scores", "normalized_features",
            "params_from_data", "passenger_loads", "range_ground_time", "range_load_factor",
-           "range_ssr", "range_transfer_ratio", "read_flight_difficulty", "span",
-           "ssr_counts", "transfer_ratio_by_flight", "write_flight_difficulty"]
+           "range_ssr", "range_transfer_ratio", "read_flight_difficulty",
+           "ssr_counts", "transfer_ratio_by_flight", "write_flight_difficulty", "booking_features"]
