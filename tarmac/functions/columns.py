@@ -24,14 +24,28 @@ def col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def micros_between(start: ColumnLike, end: ColumnLike) -> Column:
+    """``end - start`` in microseconds (long) for wall-clock TIMESTAMP_NTZ
+    values, whatever the session time zone.
+
+    Subtracting two NTZ values gives a day-time interval with no time zone
+    involved; it is read as exact seconds (``INTERVAL SECOND`` ->
+    ``DECIMAL``) and scaled.  ``timestamp_diff`` would cast NTZ values to
+    session-zone timestamps first, which moves wall times that fall in a
+    daylight-saving gap.
+    """
+    seconds = (col(end) - col(start)).cast("interval second").cast("decimal(24,6)")
+    return (seconds * F.lit(1_000_000)).cast("long")
+
+
 def minutes_between(start: ColumnLike, end: ColumnLike) -> Column:
     """``end - start`` in minutes (double, signed, sub-second exact)."""
-    return F.timestamp_diff("MICROSECOND", col(start), col(end)) / F.lit(MICROS_PER_MINUTE)
+    return micros_between(start, end) / F.lit(MICROS_PER_MINUTE)
 
 
 def hours_between(start: ColumnLike, end: ColumnLike) -> Column:
     """``end - start`` in hours (double)."""
-    return F.timestamp_diff("MICROSECOND", col(start), col(end)) / F.lit(MICROS_PER_HOUR)
+    return micros_between(start, end) / F.lit(MICROS_PER_HOUR)
 
 
 def count_where(cond: Column) -> Column:

@@ -95,3 +95,20 @@ def test_weighted_sum_null_propagates(spark):
     df = spark.createDataFrame([(1.0, None), (1.0, 2.0)], "a double, b double")
     got = [r.v for r in df.select(C.weighted_sum([(0.5, "a"), (0.25, "b")]).alias("v")).collect()]
     assert got == [None, 1.0]
+
+
+def test_time_differences_ignore_session_time_zone(spark):
+    # 02:30 does not exist on 2024-03-10 in Chicago (clocks jump 02:00 -> 03:00);
+    # wall-clock arithmetic must not care.
+    a = [(dt.datetime(2024, 3, 10, 2, 30), dt.datetime(2024, 3, 10, 3, 30, 0, 500)),
+         (dt.datetime(2024, 3, 10, 1, 0), dt.datetime(2024, 3, 10, 2, 15)),
+         (dt.datetime(2024, 11, 3, 1, 30), dt.datetime(2024, 11, 3, 1, 0))]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ["America/Chicago", "UTC", "Asia/Kolkata"]:
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            df = spark.createDataFrame(a, "a timestamp_ntz, b timestamp_ntz")
+            got = [r.v for r in df.select(C.minutes_between("a", "b").alias("v")).collect()]
+            assert got == [60 + 0.0005 / 60, 75.0, -30.0], tz
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
