@@ -198,15 +198,17 @@ def params_from_data(t: FlightTables, base: P.ScoreParams = P.SCORE_PRESET,
 def write_flight_difficulty(ranked: DataFrame, path: str) -> None:
     """Store the ranking as ``flight_difficulty`` partitioned by departure date.
 
-    The rows are range-partitioned on (date, rank) into one partition per
-    core of the cluster, so every task writes one contiguous run of dates
-    (about one file per date in total), all cores write at once, and a busy
-    date is split over several tasks instead of one.  Dynamic partition
-    overwrite replaces only the dates present, so a daily run rewrites its
-    own day and leaves the others.
+    The rows are range-partitioned on (date, rank), so every task writes one
+    contiguous run of dates (about one file per date in total) and a busy
+    date is split over several tasks instead of one.  The number of
+    partitions is left to AQE, which sizes them from the actual bytes: a
+    daily run of one date writes one or two files, a backfill writes files
+    near the advisory partition size (a fixed count such as one per core
+    would scatter a single day over thousands of tiny files on a large
+    cluster).  Dynamic partition overwrite replaces only the dates present,
+    so a daily run rewrites its own day and leaves the others.
     """
-    cores = ranked.sparkSession.sparkContext.defaultParallelism
-    (ranked.repartitionByRange(cores, F.col(DATE).asc_nulls_first(), F.col("daily_rank"))
+    (ranked.repartitionByRange(F.col(DATE).asc_nulls_first(), F.col("daily_rank"))
      .write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
      .partitionBy(DATE)
