@@ -19,16 +19,21 @@ KEY = list(P.FLIGHT_KEY)
 DEST = "scheduled_arrival_station_code"
 
 
-def _per_destination(flights: DataFrame, scored: DataFrame, with_category: bool) -> DataFrame:
-    """flight_count, mean score and (optionally) Difficult count per
-    destination over ``flights JOIN scored USING (flight key)``."""
-    f = flights.groupBy(*KEY, DEST).agg(F.count(F.lit(1)).alias("_cf"))
+def _per_key(scored: DataFrame, with_category: bool) -> DataFrame:
+    """Rows, score sum, non-NULL scores (and Difficult rows) per flight key."""
     aggs = [F.count(F.lit(1)).alias("_cs"), F.sum("difficulty_score").alias("_ss"),
             F.count("difficulty_score").alias("_ns")]
     if with_category:
         aggs.append(F.sum(F.when(F.col("difficulty_category") == "Difficult", 1).otherwise(0))
                     .alias("_ds"))
-    s = scored.groupBy(*KEY).agg(*aggs)
+    return scored.groupBy(*KEY).agg(*aggs)
+
+
+def _per_destination(flights: DataFrame, s: DataFrame, with_category: bool) -> DataFrame:
+    """flight_count, mean score and (optionally) Difficult count per
+    destination over ``flights JOIN scored USING (flight key)``, from the
+    per-key aggregate ``s`` of the scored table."""
+    f = flights.groupBy(*KEY, DEST).agg(F.count(F.lit(1)).alias("_cf"))
     j = f.join(s, on=KEY, how="inner")
     cf = F.col("_cf")
     out = [F.sum(cf * F.col("_cs")).alias("flight_count"),
@@ -42,7 +47,10 @@ def _per_destination(flights: DataFrame, scored: DataFrame, with_category: bool)
 def hard_destinations_above_avg(flights: DataFrame, scored: DataFrame) -> DataFrame:
     """Destinations whose mean score beats the mean of the whole scored table,
     with a label from the mean (>= 0.5 Difficult, >= 0.3 Medium, else Easy)."""
-    d = _per_destination(flights, scored, with_category=False)
+    s = _per_key(scored, with_category=False)
+    d = _per_destination(flights, s, with_category=False)
+    # one-row global mean; the scored subplan it shares with ``d`` is
+    # identical, so AQE reuses its shuffle stages instead of recomputing them
     overall = scored.agg(F.avg("difficulty_score").alias("_overall"))
     avg = F.col("avg_difficulty_score")
     label = (F.when(avg >= P.DESTINATION_DIFFICULT_AT, "Difficult")
@@ -56,7 +64,7 @@ def hard_destinations_above_avg(flights: DataFrame, scored: DataFrame) -> DataFr
 def hard_destinations_majority(flights: DataFrame, ranked: DataFrame) -> DataFrame:
     """Destinations where more than half of the joined flights are Difficult,
     with that share in percent rounded to 2 decimals."""
-    d = _per_destination(flights, ranked, with_category=True)
+    d = _per_destination(flights, _per_key(ranked, with_category=True), with_category=True)
     share = F.col("difficult_flights_count").cast("double") / F.col("flight_count")
     return (d.filter(share > P.MAJORITY_SHARE)
             .select("destination", "flight_count", "avg_difficulty_score",
