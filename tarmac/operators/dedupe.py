@@ -12,19 +12,21 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.operators.skew import join_unique, key_counts, keyed_rows
+
 
 def drop_all_duplicates(df: DataFrame, key: str) -> DataFrame:
     """Remove *every* row whose ``key`` occurs more than once.
 
     Rows with a NULL key stay (``NULL IN (...)`` is never true).  The set of
-    repeated keys is a partial+final count; the removal is a left anti join,
-    which AQE may split when one key dominates the left side.
+    repeated keys is a partial+final count; the removal is a left anti join
+    that sends rows of hot keys through a broadcast of their (repeated) keys
+    instead of one shuffle partition (``operators.skew.join_unique``).
     """
-    repeated = (df.select(key).filter(F.col(key).isNotNull())
-                .groupBy(key).agg(F.count(F.lit(1)).alias("_copies"))
-                .filter(F.col("_copies") > 1)
-                .select(key))
-    return df.join(repeated, on=key, how="left_anti").select(*df.columns)
+    counts = key_counts(keyed_rows(df, [key]), [key])
+    repeated = counts.filter(F.col("_rows") > 1).select(key)
+    return (join_unique(df, repeated, [key], how="left_anti", counts=counts)
+            .select(*df.columns))
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], desc_col: str, asc_col: str) -> DataFrame:

@@ -5,8 +5,9 @@
 and R's columns.  Counting one side by the join key first makes it unique per
 key, so the join emits at most one row per R row: linear work, where the
 direct join is quadratic in the size of a hot key.  R is not pre-aggregated,
-so it shuffles once (by the join key) instead of twice; a hot key on R's side
-is a skewed join partition, which AQE splits.
+so it shuffles once (by the join key) instead of twice; rows of a hot key on
+R's side meet a broadcast of their counts instead of one shuffle partition
+(``operators.skew.join_unique``).
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.operators.skew import join_unique
+
 
 def count_join_rows(left: DataFrame, right: DataFrame, on: Sequence[str],
                     by: Sequence[str], name: str,
@@ -28,5 +31,5 @@ def count_join_rows(left: DataFrame, right: DataFrame, on: Sequence[str],
     on = list(on)
     counted = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_nl"))
     r = right.select(*on, *[c for c in right_by if c not in on])
-    return (counted.join(r, on=on, how="inner")
+    return (join_unique(r, counted, on, how="inner")
             .groupBy(*by).agg(F.sum("_nl").alias(name)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tarmac import params as P
 from tarmac.functions.columns import count_where, minutes_between, pct, ratio
 from tarmac.operators.fanout import count_join_rows
+from tarmac.operators.skew import join_unique
 
 KEY = list(P.FLIGHT_KEY)
 SCHED_DEP = "scheduled_departure_datetime_local"
@@ -96,7 +97,7 @@ def pax_per_flight(bookings: DataFrame, name: str = "total_passengers") -> DataF
 
 def _with_load(flights: DataFrame, bookings: DataFrame) -> DataFrame:
     f = flights.select(*KEY, "total_seats", SCHED_DEP, ACTUAL_DEP)
-    return (f.join(pax_per_flight(bookings), on=KEY, how="inner")
+    return (join_unique(f, pax_per_flight(bookings), KEY, how="inner")
             .withColumn("load_factor", ratio("total_passengers", "total_seats")))
 
 
@@ -130,9 +131,10 @@ def ssr_load_delay(flights: DataFrame, bookings: DataFrame, remarks: DataFrame,
     pass ``with_passengers=False`` and skip that aggregation.
     """
     f = flights.filter(_late()).select(*KEY, "total_seats", SCHED_DEP, ACTUAL_DEP)
+    per_key = ssr_per_flight(remarks, bookings)
     if with_passengers:
-        f = f.join(pax_per_flight(bookings), on=KEY, how="left")
-    j = f.join(ssr_per_flight(remarks, bookings), on=KEY, how="left")
+        per_key = pax_per_flight(bookings).join(per_key, on=KEY, how="full")
+    j = join_unique(f, per_key, KEY, how="left")
     cols = [*KEY, "total_seats"]
     if with_passengers:
         cols.append(F.coalesce("total_passengers", F.lit(0)).alias("total_passengers"))

@@ -8,10 +8,10 @@ Plan shape (one job per query, all built-in operators):
             -> left join with remarks pre-counted by (locator, flight)
             -> one aggregate by flight key: service requests and
                seat-occupying passengers together (bookings read once)
-* flights   -> two left joins on the flight key; the aggregates come out
-               hash-partitioned on that key, so flights shuffle once and AQE
-               may broadcast any aggregate that turns out small or split a
-               skewed flight-key partition
+* flights   -> the two per-key aggregates (full outer join, co-partitioned)
+               attach to flight rows in one left join; hot flight keys go
+               through a broadcast (``operators.skew.join_unique``), the rest
+               through one shuffle of flights
 * ranking   -> skew-safe ROW_NUMBER per departure date
                (``tarmac.operators.ranking``)
 """
@@ -27,6 +27,7 @@ from tarmac.functions.columns import (count_where, int_div, minmax_score, ratio,
 from tarmac.operators.dedupe import keep_first
 from tarmac.operators.fanout import count_join_rows
 from tarmac.operators.ranking import rank_within_groups
+from tarmac.operators.skew import join_unique
 from tarmac.sources.tables import FlightTables
 
 KEY = list(P.FLIGHT_KEY)
@@ -76,16 +77,22 @@ def booking_features(remarks: DataFrame, bookings: DataFrame) -> DataFrame:
     Bookings are read and deduplicated once for both features.
     """
     counted = remarks.groupBy(*P.REMARK_KEY).agg(F.count(F.lit(1)).alias("_nr"))
-    j = dedupe_bookings(bookings).join(counted, on=list(P.REMARK_KEY), how="left")
+    j = join_unique(dedupe_bookings(bookings), counted, P.REMARK_KEY, how="left")
     return j.groupBy(*KEY).agg(
         F.sum("_nr").alias("num_special_service_requests"),
         F.sum(F.col("total_pax") - F.col("lap_child_count")).alias("seat_occupying_passengers"))
 
 
 def _flight_inputs(t: FlightTables) -> DataFrame:
+    """Flight rows with their key's bag ratio, service requests and loads.
+
+    The two per-key aggregates meet first (both one row per key and
+    partitioned on it, so no extra shuffle), then attach to the flight rows
+    in one skew-safe left join."""
     f = t.flights.select(*KEY, "scheduled_ground_time_minutes", "total_seats")
-    return (f.join(transfer_ratio_by_flight(t.bags), on=KEY, how="left")
-            .join(booking_features(t.remarks, t.bookings), on=KEY, how="left"))
+    per_key = transfer_ratio_by_flight(t.bags).join(
+        booking_features(t.remarks, t.bookings), on=KEY, how="full")
+    return join_unique(f, per_key, KEY, how="left")
 
 
 def _scores(p: P.ScoreParams) -> list:
@@ -171,7 +178,7 @@ def range_ssr(t: FlightTables) -> DataFrame:
 
 def range_load_factor(t: FlightTables) -> DataFrame:
     loads = passenger_loads(dedupe_bookings(t.bookings))
-    lf = (t.flights.select(*KEY, "total_seats").join(loads, on=KEY, how="inner")
+    lf = (join_unique(t.flights.select(*KEY, "total_seats"), loads, KEY, how="inner")
           .select(ratio("seat_occupying_passengers", "total_seats").alias("load_factor")))
     return lf.agg(F.min("load_factor").alias("min_lf"), F.max("load_factor").alias("max_lf"))
 

@@ -98,3 +98,21 @@ def test_attach_scalar(spark):
     df = spark.createDataFrame([(1,), (2,)], "x int")
     out = attach_scalar(df, df.agg(F.sum("x").alias("total")))
     assert sorted((r.x, r.total) for r in out.collect()) == [(1, 3), (2, 3)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+def test_join_unique_matches_plain_join(spark, how):
+    from tarmac.operators.skew import hot_keys, join_unique
+    rnd = random.Random(3)
+    big = [(("hot" if i % 3 == 0 else rnd.choice(["a", "b", "c", None])), i % 4 if i % 7 else None, i)
+           for i in range(600)]
+    small = [("hot", 0, "H0"), ("hot", 1, "H1"), ("a", 0, "A0"), ("b", 2, "B2"), (None, 0, "N0")]
+    b = spark.createDataFrame(big, "k string, j int, v int")
+    s = spark.createDataFrame(small, "k string, j int, w string")
+    hot = {tuple(r) for r in hot_keys(b.filter("k is not null and j is not null"),
+                                      ["k", "j"], 0.05, 1).collect()}
+    assert {("hot", 0), ("hot", 1), ("hot", 2), ("hot", 3)} <= hot
+    got = join_unique(b, s, ["k", "j"], how=how, hot_share=0.05, min_rows=1)
+    want = b.join(s, ["k", "j"], how)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
