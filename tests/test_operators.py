@@ -116,3 +116,18 @@ def test_join_unique_matches_plain_join(spark, how):
     want = b.join(s, ["k", "j"], how)
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_drop_all_duplicates_hot_tag(spark, monkeypatch):
+    from tarmac.operators import skew
+    monkeypatch.setattr(skew, "HOT_SHARE", 0.1)
+    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 5)
+    rows = [("HOT", i) for i in range(300)] + [(f"t{i}", i) for i in range(300)] + \
+           [("dup", 1), ("dup", 2)] + [(None, i) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, v int").repartition(5)
+    assert [tuple(r) for r in skew.hot_keys(skew.keyed_rows(df, ["k"]), ["k"]).collect()] == \
+        [("HOT",)]
+    got = drop_all_duplicates(df, "k")
+    assert got.columns == ["k", "v"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(
+        [(f"t{i}", i) for i in range(300)] + [(None, i) for i in range(50)], key=repr)
