@@ -26,7 +26,10 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1e-4
+# A key is hot when it holds at least HOT_SHARE of the rows (at ~1e12 rows:
+# 1e7 rows, about one reducer partition's worth) and at least MIN_HOT_ROWS.
+# At most 1 / HOT_SHARE = 100,000 keys qualify: the broadcast bound.
+HOT_SHARE = 1e-5
 MIN_HOT_ROWS = 1_000_000
 
 
