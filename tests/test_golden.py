@@ -239,3 +239,11 @@ def test_params_from_data(t):
     assert (p.min_ground, p.max_ground, p.min_tr, p.max_tr) == (30.0, 120, 0.0, 2.0)
     assert (p.min_ssr, p.max_ssr) == (0, 5)
     assert (round(p.min_lf, 6), round(p.max_lf, 6)) == (0.01, 0.1)
+
+
+def test_empty_flights(spark, raw):
+    empty = raw.replace(flights=lambda: raw.flights.limit(0)).cleaned()
+    assert scoring.daily_ranking(empty).count() == 0
+    ranked = scoring.daily_ranking(empty, sort=False)
+    assert insights.hard_destinations_majority(empty.flights, ranked).count() == 0
+    assert rows(eda.pct_late_departures(empty.flights), "*") == [(None,)]
