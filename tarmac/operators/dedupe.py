@@ -12,25 +12,21 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.operators.skew import hot_keys, key_counts, keyed_rows
+from tarmac.operators.skew import join_unique, key_counts
 
 
 def drop_all_duplicates(df: DataFrame, key: str) -> DataFrame:
     """Remove *every* row whose ``key`` occurs more than once.
 
-    Rows with a NULL key stay (``NULL IN (...)`` is never true) and bypass
-    the join.  Repeated keys come from one partial+final count.  Hot keys
-    (see ``operators.skew``) are all repeated, so their rows are dropped
-    where they are by a broadcast anti join (at most ``1 / HOT_SHARE`` keys);
-    the remaining rows meet the repeated keys in an ordinary anti join that no
-    longer holds a hot key.
+    Rows with a NULL key stay (``NULL IN (...)`` is never true).  One
+    partial+final count of the key gives the repeated keys and, through
+    ``operators.skew``, the hot ones; the removal is a salted anti join, so a
+    tag holding a large share of the rows is spread over many tasks.
     """
-    keyed = keyed_rows(df, [key])
-    repeated = key_counts(keyed, [key]).filter(F.col("_rows") > 1)
-    hot = F.broadcast(hot_keys(keyed, [key], counts=repeated))
-    kept = (keyed.join(hot, on=key, how="left_anti")
-            .join(repeated.select(key), on=key, how="left_anti"))
-    return kept.select(*df.columns).unionByName(df.filter(F.col(key).isNull()))
+    counts = key_counts(df, [key])
+    repeated = counts.filter(F.col(key).isNotNull() & (F.col("_rows") > 1)).select(key)
+    return (join_unique(df, repeated, [key], how="left_anti", counts=counts)
+            .select(*df.columns))
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], desc_col: str, asc_col: str) -> DataFrame:

@@ -3,19 +3,21 @@
 AQE splits a skewed sort-merge-join partition only when both join inputs are
 fresh shuffles.  Here the small side is usually an aggregate that already
 sits on the join's hash partitioning, so AQE leaves a hot key of the large
-side in a single task.  ``join_unique`` splits such keys explicitly, inside
-one plan and without driver round trips:
+side in a single task (measured in SKEW.md).  ``join_unique`` salts such keys
+explicitly, inside one plan and without driver round trips:
 
 * key counts of the large side (a partial + final aggregate) and their total
-  give the hot keys: those holding at least ``hot_share`` of the rows (and at
-  least ``min_rows``).  At most ``1 / hot_share`` keys can qualify, so the
-  hot-key set has a proven size bound and is broadcast;
-* hot rows stay where they are and meet a broadcast of the small side cut to
-  the hot keys (again at most ``1 / hot_share`` rows, one per key);
-* all other rows take the ordinary shuffle join, now free of hot keys;
-* rows with a NULL key can never match, so they skip the join altogether
-  (for a left join they get NULL right-side columns; an inner join drops
-  them), which keeps a hot NULL key out of any single task.
+  give the hot keys: those holding at least ``hot_share`` of the rows and at
+  least ``min_rows``.  At most ``1 / hot_share`` keys qualify, so the table of
+  hot keys has a proven size bound and is broadcast.  A NULL key can be hot
+  too;
+* a hot key with ``n`` rows gets ``ceil(n / min_rows)`` buckets: each of its
+  rows takes bucket ``hash(row) mod buckets`` (deterministic, so a recomputed
+  task gives the same buckets), and its one row on the small side is copied
+  once per bucket.  The copies total at most ``rows / min_rows + hot keys``;
+* the join then runs on (key, bucket): a hot key is spread over as many
+  tasks as it has buckets, every other key keeps bucket 0, and the large
+  side is read twice (counts and join) and shuffled once.
 """
 
 from __future__ import annotations
@@ -43,19 +45,35 @@ def keyed_rows(df: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on]))
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], hot_share: float | None = None,
-             min_rows: int | None = None, counts: DataFrame | None = None) -> DataFrame:
-    """Keys of ``df`` with at least ``hot_share`` of its rows and at least
-    ``min_rows`` rows: at most ``1 / hot_share`` of them.  ``counts`` may
-    pass an existing ``key_counts(df, on)``."""
+def hot_key_buckets(counts: DataFrame, on: Sequence[str], hot_share: float | None = None,
+                    min_rows: int | None = None) -> DataFrame:
+    """Hot keys (at least ``hot_share`` of the rows and ``min_rows`` rows; at
+    most ``1 / hot_share`` of them) with their bucket count ``_buckets``,
+    from ``key_counts`` output."""
     hot_share = HOT_SHARE if hot_share is None else hot_share
     min_rows = MIN_HOT_ROWS if min_rows is None else min_rows
-    counts = key_counts(df, on) if counts is None else counts
     total = counts.agg(F.sum("_rows").alias("_total"))
     return (counts.crossJoin(F.broadcast(total))
             .filter((F.col("_rows") >= F.col("_total") * F.lit(hot_share))
                     & (F.col("_rows") >= F.lit(min_rows)))
-            .select(*on))
+            .select(*on, F.ceil(F.col("_rows") / F.lit(min_rows)).cast("int").alias("_buckets")))
+
+
+def hot_keys(df: DataFrame, on: Sequence[str], hot_share: float | None = None,
+             min_rows: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Keys of ``df`` with at least ``hot_share`` of its rows and at least
+    ``min_rows`` rows: at most ``1 / hot_share`` of them."""
+    counts = key_counts(df, on) if counts is None else counts
+    return hot_key_buckets(counts, on, hot_share, min_rows).select(*on)
+
+
+def _with_buckets(df: DataFrame, hot: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``df`` plus the ``_buckets`` of its key (NULL when the key is not hot),
+    by a broadcast lookup that matches NULL keys too."""
+    h = F.broadcast(hot.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(on)],
+                               "_buckets"))
+    cond = [df[c].eqNullSafe(h[f"_h{i}"]) for i, c in enumerate(on)]
+    return df.join(h, cond, "left").drop(*[f"_h{i}" for i in range(len(on))])
 
 
 def join_unique(big: DataFrame, per_key: DataFrame, on: Sequence[str], how: str = "left",
@@ -64,24 +82,21 @@ def join_unique(big: DataFrame, per_key: DataFrame, on: Sequence[str], how: str
     """``big JOIN per_key USING (on)`` for ``how`` in inner / left / left_anti,
     where ``per_key`` has at most one row per non-NULL key.  Output columns
     are those of the plain using-join, in the same order.  ``counts`` may
-    pass an existing ``key_counts(keyed_rows(big, on), on)``."""
+    pass an existing ``key_counts(big, on)``."""
     if how not in ("inner", "left", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
     on = list(on)
-    null_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    keyed = keyed_rows(big, on)
-    hot = F.broadcast(hot_keys(keyed, on, hot_share, min_rows, counts))
-
-    cold_part = keyed.join(hot, on=on, how="left_anti").join(per_key, on=on, how=how)
-    hot_side = F.broadcast(per_key.join(hot, on=on, how="left_semi"))
-    hot_part = keyed.join(hot, on=on, how="left_semi").join(hot_side, on=on, how=how)
-    parts = [cold_part, hot_part]
-
-    if how != "inner":
-        nulls = big.filter(null_key)
-        if how == "left":
-            right_only = [f for f in per_key.schema.fields if f.name not in on]
-            nulls = nulls.select("*", *[F.lit(None).cast(f.dataType).alias(f.name)
-                                        for f in right_only])
-        parts.append(nulls.select(*cold_part.columns))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    counts = key_counts(big, on) if counts is None else counts
+    hot = hot_key_buckets(counts, on, hot_share, min_rows)
+
+    buckets = F.col("_buckets")
+    row_hash = F.xxhash64(*[F.col(c) for c in big.columns])
+    b = (_with_buckets(big, hot, on)
+         .withColumn("_salt", F.when(buckets.isNull(), F.lit(0))
+                     .otherwise(F.pmod(row_hash, buckets.cast("long")).cast("int")))
+         .drop("_buckets"))
+    p = (_with_buckets(per_key, hot, on)
+         .withColumn("_salt", F.explode(F.when(buckets.isNull(), F.array(F.lit(0)))
+                                        .otherwise(F.sequence(F.lit(0), buckets - 1))))
+         .drop("_buckets"))
+    return b.join(p, on=on + ["_salt"], how=how).drop("_salt")
