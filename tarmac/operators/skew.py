@@ -12,9 +12,9 @@ explicitly, inside one plan and without driver round trips:
   hot keys has a proven size bound and is broadcast.  A NULL key can be hot
   too;
 * a hot key with ``n`` rows gets ``ceil(n / min_rows)`` buckets: each of its
-  rows takes bucket ``hash(row) mod buckets`` (deterministic, so a recomputed
-  task gives the same buckets), and its one row on the small side is copied
-  once per bucket.  The copies total at most ``rows / min_rows + hot keys``;
+  rows takes bucket ``hash(source partition, row) mod buckets`` (stable when
+  a task is retried; identical copies spread by their source partition), and
+  its one row on the small side is copied once per bucket.  The copies total at most ``rows / min_rows + hot keys``;
 * the join then runs on (key, bucket): a hot key is spread over as many
   tasks as it has buckets, every other key keeps bucket 0, and the large
   side is read twice (counts and join) and shuffled once.
@@ -90,7 +90,10 @@ def join_unique(big: DataFrame, per_key: DataFrame, on: Sequence[str], how: str
     hot = hot_key_buckets(counts, on, hot_share, min_rows)
 
     buckets = F.col("_buckets")
-    row_hash = F.xxhash64(*[F.col(c) for c in big.columns])
+    # content plus source partition: identical copies of a row (a hot "group
+    # of copies") still spread over the buckets by the partition they come
+    # from, and both inputs are stable when a task is retried
+    row_hash = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in big.columns])
     b = (_with_buckets(big, hot, on)
          .withColumn("_salt", F.when(buckets.isNull(), F.lit(0))
                      .otherwise(F.pmod(row_hash, buckets.cast("long")).cast("int")))

@@ -131,3 +131,18 @@ def test_drop_all_duplicates_hot_tag(spark, monkeypatch):
     assert got.columns == ["k", "v"]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(
         [(f"t{i}", i) for i in range(300)] + [(None, i) for i in range(50)], key=repr)
+
+
+def test_drop_all_duplicates_hot_group_of_identical_copies(spark, monkeypatch):
+    from tarmac.operators import skew
+    monkeypatch.setattr(skew, "HOT_SHARE", 0.1)
+    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 5)
+    rows = [("COPY", 7)] * 400 + [(f"t{i}", i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, v int").repartition(8)
+    assert sorted(map(tuple, drop_all_duplicates(df, "k").collect())) == \
+        sorted((f"t{i}", i) for i in range(200))
+    big = spark.createDataFrame(rows, "k string, v int").repartition(8)
+    small = spark.createDataFrame([("COPY", "c")] + [(f"t{i}", "x") for i in range(200)],
+                                  "k string, w string")
+    got = skew.join_unique(big, small, ["k"], how="left")
+    assert got.count() == 600 and got.filter("w = 'c'").count() == 400
