@@ -5,8 +5,12 @@ by ``g`` and sorts each group inside one task; a group holding a third of
 the rows (one busy departure day) becomes one huge task.  This operator
 ranks through a global sort instead:
 
-1. ``orderBy(g, o)`` — a range-partitioned sort.  The range bounds are
-   sampled over ``(g, o)``, so a hot group is spread over many partitions.
+1. ``orderBy(g, o, t)`` — a range-partitioned sort.  The range bounds are
+   sampled over the sort keys, so a hot group is spread over many
+   partitions.  ``t`` is a hash of (source partition, row): rows equal on
+   ``(g, o)`` are interchangeable, so ``t`` never changes the result, but
+   it lets the range partitioner split a group of identical copies (equal
+   keys can only share a partition within one source partition).
 2. ``monotonically_increasing_id`` after the sort gives each row
    ``partition << 33 | position``; the sorted frame is written once as a
    Parquet table in the session's reliable checkpoint folder
@@ -33,7 +37,8 @@ from tarmac.session import scratch_path
 
 MAX_BROADCAST_SEGMENTS = 2_000_000
 
-_POS, _PART, _FIRST, _N, _BEFORE, _SIZE = "_pos", "_part", "_first", "_n", "_before", "_size"
+_POS, _PART, _FIRST, _N, _BEFORE, _SIZE, _TIE = ("_pos", "_part", "_first", "_n", "_before",
+                                                 "_size", "_tie")
 
 
 def rank_within_groups(df: DataFrame, by: Sequence[str], order: Sequence[Column],
@@ -47,10 +52,11 @@ def rank_within_groups(df: DataFrame, by: Sequence[str], order: Sequence[Column]
     """
     spark = df.sparkSession
     by = list(by)
-    keys = [F.col(c).asc_nulls_first() for c in by] + list(order)
+    keys = [F.col(c).asc_nulls_first() for c in by] + list(order) + [F.col(_TIE)]
 
     path = scratch_path(spark, "ranked")
-    (df.orderBy(*keys)
+    tie = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in df.columns])
+    (df.withColumn(_TIE, tie).orderBy(*keys).drop(_TIE)
      .withColumn(_POS, F.monotonically_increasing_id())
      .withColumn(_PART, F.shiftrightunsigned(F.col(_POS), 33))
      .write.mode("errorifexists").parquet(path))

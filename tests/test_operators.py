@@ -146,3 +146,13 @@ def test_drop_all_duplicates_hot_group_of_identical_copies(spark, monkeypatch):
                                   "k string, w string")
     got = skew.join_unique(big, small, ["k"], how="left")
     assert got.count() == 600 and got.filter("w = 'c'").count() == 400
+
+
+def test_rank_within_groups_identical_copies(spark):
+    rows = [(1, "hot", 0.5)] * 400 + [(i, "cold", float(i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "id int, g string, s double").repartition(8)
+    order = [F.col("s").desc(), F.col("id")]
+    got = rank_within_groups(df, ["g"], order, rank_col="rank", size_col="size")
+    hot = sorted(r.rank for r in got.filter("g = 'hot'").collect())
+    assert hot == list(range(1, 401))
+    assert {r.size for r in got.collect()} == {400, 50}
