@@ -14,7 +14,8 @@ explicitly, inside one plan and without driver round trips:
 * a hot key with ``n`` rows gets ``ceil(n / min_rows)`` buckets: each of its
   rows takes bucket ``hash(source partition, row) mod buckets`` (stable when
   a task is retried; identical copies spread by their source partition), and
-  its one row on the small side is copied once per bucket.  The copies total at most ``rows / min_rows + hot keys``;
+  its one row on the small side is copied once per bucket.  The copies
+  total at most ``rows / min_rows + hot keys``;
 * the join then runs on (key, bucket): a hot key is spread over as many
   tasks as it has buckets, every other key keeps bucket 0, and the large
   side is read twice (counts and join) and shuffled once.
