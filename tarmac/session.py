@@ -69,3 +69,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the checkpoint directory for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tarmac-{name}-{os.urandom(6).hex()}"
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the tables this library wrote under the checkpoint directory
+    (``tarmac-*``: sorted tables of the ranking and similar).  Call it when
+    the DataFrames built on them are no longer needed.  Uses the Hadoop
+    FileSystem of the folder, so it works on HDFS/S3/ABFS as well as local
+    disk.  Returns the number of tables removed."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{base}/tarmac-*")
+    fs = pattern.getFileSystem(conf)
+    found = fs.globStatus(pattern) or []
+    for status in found:
+        fs.delete(status.getPath(), True)
+    return len(found)

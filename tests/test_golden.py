@@ -247,3 +247,14 @@ def test_empty_flights(spark, raw):
     ranked = scoring.daily_ranking(empty, sort=False)
     assert insights.hard_destinations_majority(empty.flights, ranked).count() == 0
     assert rows(eda.pct_late_departures(empty.flights), "*") == [(None,)]
+
+
+def test_clear_scratch(spark, t):
+    import os
+
+    from tarmac.session import clear_scratch, ensure_checkpoint_dir
+    scoring.daily_ranking(t, sort=False).count()
+    base = ensure_checkpoint_dir(spark).replace("file:", "")
+    assert any(n.startswith("tarmac-") for n in os.listdir(base))
+    assert clear_scratch(spark) >= 1
+    assert not any(n.startswith("tarmac-") for n in os.listdir(base))
