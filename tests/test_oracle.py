@@ -8,8 +8,10 @@ import os
 import pytest
 from pyspark.sql import types as T
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from compare import digest, duck
+from tarmac.plans.catalog import queries
+from tarmac.plans.oracle import oracle_sql
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")

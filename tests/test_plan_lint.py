@@ -8,7 +8,7 @@ import os
 
 import pytest
 
-from __spark_entry__ import queries
+from tarmac.plans.catalog import queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
