@@ -1,0 +1,79 @@
+import math
+import random
+
+import numpy as np
+import pytest
+from cases import EXTRA, _EXTRA_ROW, rows_of
+from pyspark.sql import functions as F
+
+from tarmac.llm import topk
+
+
+def plain_top(rows, every=100, k=10):
+    ok = []
+    for i, v in rows:
+        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        ok.append((i, [min(max(math.floor(1024 * float(x)), -(1 << 31)), 1 << 31) for x in v]))
+    out = []
+    for i, v in {(i, tuple(v)) for i, v in ok if i % every == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in ok if j != i and len(w) == len(v))
+        out += [(i, r + 1, j, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for r, (s, j) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+def make(spark, rows):
+    return spark.createDataFrame([(i, v, *_EXTRA_ROW) for i, v in rows],
+                                 "vec_id long, embedding array<double>, " + EXTRA.replace(" v string,", " w string,"))
+
+
+def search(spark, rows, **kw):
+    df = make(spark, rows)
+    return sorted(rows_of(topk.top_k(df, F.col("vec_id") % 100 == 0, **kw)))
+
+
+def test_edges(spark):
+    rows = [(0, [0.5, 0.25]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]),
+            (5, [0.5, 0.25]), (5, [0.5, 0.25]), (6, [0.5, -0.25]), (7, []), (100, []), (200, [1.0, 2.0, 3.0]),
+            (300, [1e300, -1e300]), (None, [0.1, 0.2]), (0, [0.5, 0.25]), (400, [0.0, 0.0]), (8, [-3.0, 1.0])]
+    assert search(spark, rows) == plain_top(rows)
+
+
+def test_empty(spark):
+    assert search(spark, []) == []
+    assert search(spark, [(1, [1.0])]) == []
+    assert search(spark, [(0, [1.0])]) == []
+
+
+@pytest.mark.parametrize("kw", [{}, {"block_rows": 40, "query_rows": 3, "pivots": 16}, {"pivots": 4, "block_rows": 10}])
+def test_random_clusters_ties_and_copies(spark, kw):
+    rng = random.Random(4)
+    centres = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(5)]
+    rows = [(i, [round(x + rng.gauss(0, 0.2), 2) for x in rng.choice(centres)]) for i in range(700)]
+    rows += [(i, [0.1] * 6) for i in range(700, 1000)]
+    rng.shuffle(rows)
+    assert search(spark, rows, **kw) == plain_top(rows)
+
+
+def test_dual_search_prunes_nothing_it_needs():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        d = int(rng.integers(1, 8))
+        q, x = (rng.integers(-50, 50, (int(rng.integers(1, n)), d)) for n in (40, 400))
+        got = {}
+        for row, i, s in topk.dual_search(q, np.full(len(q), -1), x, np.arange(len(x)),
+                                          np.full(len(q), -(1 << 63)), 5):
+            got.setdefault(row, []).append((s, i))
+        for row in range(len(q)):
+            want = sorted(((int(s), i) for i, s in enumerate(x @ q[row])), key=lambda t: (-t[0], t[1]))[:5]
+            assert got[row] == want
+
+
+def test_cover_tree_covers():
+    x = np.random.default_rng(2).integers(-100, 100, (500, 3))
+    t = topk.CoverTree(x)
+    for node, rows in enumerate(t.rows):
+        far = np.sqrt(((t.x[rows] - t.x[t.centre[node]]) ** 2).sum(1)).max()
+        assert far <= t.radius[node] + 1e-9
+        if t.children[node]:
+            assert sorted(np.concatenate([t.rows[c] for c in t.children[node]])) == sorted(rows)
