@@ -12,21 +12,20 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.operators.skew import join_unique, key_counts
+from tarmac.operators.skew import join_unique
 
 
 def drop_all_duplicates(df: DataFrame, key: str) -> DataFrame:
     """Remove *every* row whose ``key`` occurs more than once.
 
-    Rows with a NULL key stay (``NULL IN (...)`` is never true).  One
-    partial+final count of the key gives the repeated keys and, through
-    ``operators.skew``, the hot ones; the removal is a salted anti join, so a
-    tag holding a large share of the rows is spread over many tasks.
+    Rows with a NULL key stay (``NULL IN (...)`` is never true).  A partial +
+    final count reads the key column only; the removal is an anti join that
+    AQE can split, so a tag holding a large share of the rows, or many rows
+    without a tag, are spread over many tasks.
     """
-    counts = key_counts(df, [key])
-    repeated = counts.filter(F.col(key).isNotNull() & (F.col("_rows") > 1)).select(key)
-    return (join_unique(df, repeated, [key], how="left_anti", counts=counts)
-            .select(*df.columns))
+    repeated = (df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+                .filter(F.col("_rows") > 1).select(key))
+    return join_unique(df, repeated, [key], how="left_anti").select(*df.columns)
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], desc_col: str, asc_col: str) -> DataFrame:

@@ -18,32 +18,33 @@ ranks through a global sort instead:
    executor re-reads files instead of recomputing positions.
 3. One row per (partition, group) — at most ``partitions + groups`` rows —
    holds the first position in the partition, the rows of the group in
-   earlier partitions and the group size.
-4. Rank = position - first position + 1 + rows before; joined back by
-   broadcast when the segment table's row count is within a checked bound,
-   otherwise by a shuffle join.
+   earlier partitions and the group size.  It reads two narrow columns.
+4. Rank = position - first position + 1 + rows before, joined back on
+   (partition, group); AQE broadcasts the segments if they turn out small.
 
-Row order of the result is not defined; sort it for display.
+With ``in_order`` the rows come out in the order of the sort: the partition of
+a row is known, so they are dealt back to it by its number and sorted by
+position there, without sampling the table for range bounds again.
+
+Without it, row order is not defined.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarmac.session import scratch_path
 
-MAX_BROADCAST_SEGMENTS = 2_000_000
-
-_POS, _PART, _FIRST, _N, _BEFORE, _SIZE, _TIE = ("_pos", "_part", "_first", "_n", "_before",
-                                                 "_size", "_tie")
+_POS, _PART, _SEG, _FIRST, _N, _BEFORE, _SIZE, _TIE = (
+    "_pos", "_part", "_seg", "_first", "_n", "_before", "_size", "_tie")
 
 
 def rank_within_groups(df: DataFrame, by: Sequence[str], order: Sequence[Column],
                        rank_col: str = "rank", size_col: str | None = None,
-                       max_broadcast_segments: int = MAX_BROADCAST_SEGMENTS) -> DataFrame:
+                       in_order: bool = False) -> DataFrame:
     """Add ``rank_col`` = ROW_NUMBER() OVER (PARTITION BY by ORDER BY order)
     and, if given, ``size_col`` = COUNT(*) OVER (PARTITION BY by), both long.
 
@@ -52,7 +53,7 @@ def rank_within_groups(df: DataFrame, by: Sequence[str], order: Sequence[Column]
     """
     spark = df.sparkSession
     by = list(by)
-    keys = [F.col(c).asc_nulls_first() for c in by] + list(order) + [F.col(_TIE)]
+    keys = [F.col(c).asc_nulls_last() for c in by] + list(order) + [F.col(_TIE)]
 
     path = scratch_path(spark, "ranked")
     tie = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in df.columns])
@@ -67,19 +68,31 @@ def rank_within_groups(df: DataFrame, by: Sequence[str], order: Sequence[Column]
            .agg(F.min(_POS).alias(_FIRST), F.count(F.lit(1)).alias(_N)))
     earlier = Window.partitionBy(*gcols).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.select(
-        _PART, *gcols, _FIRST,
+        F.col(_PART).alias(_SEG), *gcols, _FIRST,
         F.coalesce(F.sum(_N).over(earlier), F.lit(0)).alias(_BEFORE),
         F.sum(_N).over(Window.partitionBy(*gcols)).alias(_SIZE))
 
-    # The segment table is bounded by partitions + groups; broadcast it only
-    # after checking its size, else fall back to a shuffle join.
-    small = seg.count() <= max_broadcast_segments
-    right = F.broadcast(seg) if small else seg
-    cond = [ordered[_PART] == right[_PART]] + [ordered[c].eqNullSafe(right[g])
-                                               for c, g in zip(by, gcols)]
-    joined = ordered.join(right, on=cond, how="inner")
-    out_cols = [ordered[c] for c in df.columns]
-    out_cols.append((ordered[_POS] - right[_FIRST] + F.lit(1) + right[_BEFORE]).alias(rank_col))
+    cond = [ordered[_PART] == seg[_SEG]] + [ordered[c].eqNullSafe(seg[g])
+                                             for c, g in zip(by, gcols)]
+    joined = ordered.join(seg, on=cond, how="inner")
+    out_cols = [F.col(c) for c in df.columns]
+    out_cols.append((F.col(_POS) - F.col(_FIRST) + F.lit(1) + F.col(_BEFORE)).alias(rank_col))
     if size_col:
-        out_cols.append(right[_SIZE].alias(size_col))
-    return joined.select(*out_cols)
+        out_cols.append(F.col(_SIZE).alias(size_col))
+    if not in_order:
+        return joined.select(*out_cols)
+    out = joined.select(*out_cols, _POS, F.col(_PART).cast("int").alias(_PART))
+    return out.repartitionById(_sort_partitions(spark), F.col(_PART)).sortWithinPartitions(_POS).drop(_POS, _PART)
+
+
+def spread_sort(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` sorted by ``order``.  A hash of (source partition, row) as the last
+    key lets the range partitioner split identical copies, whose order is free."""
+    tie = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in df.columns])
+    return df.withColumn(_TIE, tie).orderBy(*order, F.col(_TIE)).drop(_TIE)
+
+
+def _sort_partitions(spark: SparkSession) -> int:
+    """The most partitions that a global sort of this session has."""
+    first = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(first or 0))

@@ -1,106 +1,34 @@
 """Joining a large table to a one-row-per-key table when keys may be hot.
 
-AQE splits a skewed sort-merge-join partition only when both join inputs are
-fresh shuffles.  Here the small side is usually an aggregate that already
-sits on the join's hash partitioning, so AQE leaves a hot key of the large
-side in a single task (measured in SKEW.md).  ``join_unique`` salts such keys
-explicitly, inside one plan and without driver round trips:
-
-* key counts of the large side (a partial + final aggregate) and their total
-  give the hot keys: those holding at least ``hot_share`` of the rows and at
-  least ``min_rows``.  At most ``1 / hot_share`` keys qualify, so the table of
-  hot keys has a proven size bound and is broadcast.  A NULL key can be hot
-  too;
-* a hot key with ``n`` rows gets ``ceil(n / min_rows)`` buckets: each of its
-  rows takes bucket ``hash(source partition, row) mod buckets`` (stable when
-  a task is retried; identical copies spread by their source partition), and
-  its one row on the small side is copied once per bucket.  The copies
-  total at most ``rows / min_rows + hot keys``;
-* the join then runs on (key, bucket): a hot key is spread over as many
-  tasks as it has buckets, every other key keeps bucket 0, and the large
-  side is read twice (counts and join) and shuffled once.
+AQE splits a skewed partition of a sort-merge join only when both join inputs
+are fresh shuffles.  A one-row-per-key side is usually an aggregate that
+already sits on the join's hash partitioning, so a plain join reuses that
+partitioning and AQE leaves a hot key of the large side in a single task
+(measured in SKEW.md).  ``join_unique`` adds a hash of the key as one more join
+key.  The aggregate's partitioning does not cover it, so both inputs are
+shuffled afresh and AQE splits any partition that turns out large, a hot key
+or the NULL keys of an outer join alike, by the actual sizes of the run.  The
+large side is read and shuffled once; the price is a second shuffle of the
+per-key side, which has one row per key.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds at least HOT_SHARE of the rows (at ~1e12 rows:
-# 1e7 rows, about one reducer partition's worth) and at least MIN_HOT_ROWS.
-# At most 1 / HOT_SHARE = 100,000 keys qualify: the broadcast bound.
-HOT_SHARE = 1e-5
-MIN_HOT_ROWS = 1_000_000
-
-
-def key_counts(df: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows per key (column ``_rows``), a partial + final aggregate."""
-    return df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-
-
-def keyed_rows(df: DataFrame, on: Sequence[str]) -> DataFrame:
-    """The rows of ``df`` whose key columns are all set."""
-    return df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on]))
-
+_FRESH = "_fresh"
 
-def hot_key_buckets(counts: DataFrame, on: Sequence[str], hot_share: float | None = None,
-                    min_rows: int | None = None) -> DataFrame:
-    """Hot keys (at least ``hot_share`` of the rows and ``min_rows`` rows; at
-    most ``1 / hot_share`` of them) with their bucket count ``_buckets``,
-    from ``key_counts`` output."""
-    hot_share = HOT_SHARE if hot_share is None else hot_share
-    min_rows = MIN_HOT_ROWS if min_rows is None else min_rows
-    total = counts.agg(F.sum("_rows").alias("_total"))
-    return (counts.crossJoin(F.broadcast(total))
-            .filter((F.col("_rows") >= F.col("_total") * F.lit(hot_share))
-                    & (F.col("_rows") >= F.lit(min_rows)))
-            .select(*on, F.ceil(F.col("_rows") / F.lit(min_rows)).cast("int").alias("_buckets")))
 
-
-def hot_keys(df: DataFrame, on: Sequence[str], hot_share: float | None = None,
-             min_rows: int | None = None, counts: DataFrame | None = None) -> DataFrame:
-    """Keys of ``df`` with at least ``hot_share`` of its rows and at least
-    ``min_rows`` rows: at most ``1 / hot_share`` of them."""
-    counts = key_counts(df, on) if counts is None else counts
-    return hot_key_buckets(counts, on, hot_share, min_rows).select(*on)
-
-
-def _with_buckets(df: DataFrame, hot: DataFrame, on: Sequence[str]) -> DataFrame:
-    """``df`` plus the ``_buckets`` of its key (NULL when the key is not hot),
-    by a broadcast lookup that matches NULL keys too."""
-    h = F.broadcast(hot.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(on)],
-                               "_buckets"))
-    cond = [df[c].eqNullSafe(h[f"_h{i}"]) for i, c in enumerate(on)]
-    return df.join(h, cond, "left").drop(*[f"_h{i}" for i in range(len(on))])
-
-
-def join_unique(big: DataFrame, per_key: DataFrame, on: Sequence[str], how: str = "left",
-                hot_share: float | None = None, min_rows: int | None = None,
-                counts: DataFrame | None = None) -> DataFrame:
+def join_unique(big: DataFrame, per_key: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """``big JOIN per_key USING (on)`` for ``how`` in inner / left / left_anti,
     where ``per_key`` has at most one row per non-NULL key.  Output columns
-    are those of the plain using-join, in the same order.  ``counts`` may
-    pass an existing ``key_counts(big, on)``."""
+    are those of the plain using-join, in the same order."""
     if how not in ("inner", "left", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
     on = list(on)
-    counts = key_counts(big, on) if counts is None else counts
-    hot = hot_key_buckets(counts, on, hot_share, min_rows)
-
-    buckets = F.col("_buckets")
-    # content plus source partition: identical copies of a row (a hot "group
-    # of copies") still spread over the buckets by the partition they come
-    # from, and both inputs are stable when a task is retried
-    row_hash = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in big.columns])
-    b = (_with_buckets(big, hot, on)
-         .withColumn("_salt", F.when(buckets.isNull(), F.lit(0))
-                     .otherwise(F.pmod(row_hash, buckets.cast("long")).cast("int")))
-         .drop("_buckets"))
-    p = (_with_buckets(per_key, hot, on)
-         .withColumn("_salt", F.explode(F.when(buckets.isNull(), F.array(F.lit(0)))
-                                        .otherwise(F.sequence(F.lit(0), buckets - 1))))
-         .drop("_buckets"))
-    return b.join(p, on=on + ["_salt"], how=how).drop("_salt")
+    key_hash = F.xxhash64(*on)
+    return (big.withColumn(_FRESH, key_hash)
+            .join(per_key.withColumn(_FRESH, key_hash), on=[*on, _FRESH], how=how).drop(_FRESH))

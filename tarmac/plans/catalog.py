@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from tarmac import params as P
 from tarmac.functions.columns import round6
 from tarmac.plans import eda, features, insights, scoring
-from tarmac.session import scratch_path
+from tarmac.plans.cleaning import TAG
+from tarmac.session import result_path, scratch_scope
 from tarmac.sources.standin import standin_tables
 from tarmac.sources.tables import FlightTables
 
@@ -33,9 +34,15 @@ def tables(spark: SparkSession, sf_dir: str) -> FlightTables:
     return standin_tables(spark, sf_dir).cleaned()
 
 
+def _bag_types(t: FlightTables) -> DataFrame:
+    """The bag columns that the ratio queries use."""
+    return t.bags_of(*P.FLIGHT_KEY, "bag_type")
+
+
 def _flight_difficulty_table(spark: SparkSession, t: FlightTables) -> DataFrame:
-    path = scratch_path(spark, "flight_difficulty")
-    scoring.write_flight_difficulty(scoring.daily_ranking(t, sort=False), path)
+    path = result_path(spark, "flight_difficulty")
+    with scratch_scope(spark):          # the ranking's sorted table goes once the result is stored
+        scoring.write_flight_difficulty(scoring.daily_ranking(t, sort=False), path)
     return scoring.read_flight_difficulty(spark, path)
 
 
@@ -43,14 +50,18 @@ _PLANS: dict[str, Callable[[SparkSession, FlightTables], DataFrame]] = {
     # cleaning
     "clean_flights": lambda s, t: t.flights,
     "clean_bags": lambda s, t: t.bags,
+    "bag_ratio_eda_canonical": lambda s, t: eda.bag_ratio_eda(
+        _bag_types(t), P.TRANSFER_TYPES, P.ORIGIN_TYPE, P.TRANSFER_TYPES),
+    "avg_bag_ratio_canonical": lambda s, t: eda.avg_bag_ratio(
+        _bag_types(t), P.EDA_AVG_TRANSFER, P.ORIGIN_TYPE),
     # exploration
     "departure_delay": lambda s, t: eda.departure_delay(t.flights),
     "avg_positive_delay": lambda s, t: eda.avg_positive_delay(t.flights),
     "pct_late_departures": lambda s, t: eda.pct_late_departures(t.flights),
     "tight_turnaround_flights": lambda s, t: eda.tight_turnaround_flights(t.flights),
     "tight_turnaround_count": lambda s, t: eda.tight_turnaround_count(t.flights),
-    "bag_ratio_eda": lambda s, t: eda.bag_ratio_eda(t.bags),
-    "avg_bag_ratio": lambda s, t: eda.avg_bag_ratio(t.bags),
+    "bag_ratio_eda": lambda s, t: eda.bag_ratio_eda(_bag_types(t)),
+    "avg_bag_ratio": lambda s, t: eda.avg_bag_ratio(_bag_types(t)),
     "pax_per_flight": lambda s, t: eda.pax_per_flight(t.bookings),
     "load_factor": lambda s, t: eda.load_factor(t.flights, t.bookings),
     "load_vs_delay": lambda s, t: eda.load_vs_delay(t.flights, t.bookings),
@@ -59,8 +70,9 @@ _PLANS: dict[str, Callable[[SparkSession, FlightTables], DataFrame]] = {
     "delay_by_ssr_group": lambda s, t: eda.delay_by_ssr_group(t.flights, t.bookings, t.remarks),
     # features
     "ground_time_margin": lambda s, t: features.ground_time_margin(t.flights),
-    "bags_per_pax": lambda s, t: features.bags_per_pax(t.bags, t.bookings),
-    "transfer_to_checked_ratio": lambda s, t: features.transfer_to_checked_ratio(t.bags),
+    "bags_per_pax": lambda s, t: features.bags_per_pax(
+        t.bags_of(*P.FLIGHT_KEY, TAG), t.bookings),
+    "transfer_to_checked_ratio": lambda s, t: features.transfer_to_checked_ratio(_bag_types(t)),
     "lap_children_ratio": lambda s, t: features.lap_children_ratio(t.bookings),
     "haul_category": lambda s, t: features.haul(t.flights),
     "fleet_rarity": lambda s, t: features.fleet_rarity(t.flights),
@@ -68,13 +80,15 @@ _PLANS: dict[str, Callable[[SparkSession, FlightTables], DataFrame]] = {
     "temporal_features": lambda s, t: features.temporal_features(t.flights),
     # normalisation ranges
     "range_ground_time": lambda s, t: scoring.range_ground_time(t.flights),
-    "range_transfer_ratio": lambda s, t: scoring.range_transfer_ratio(t.bags),
+    "range_transfer_ratio": lambda s, t: scoring.range_transfer_ratio(_bag_types(t)),
     "range_ssr": lambda s, t: scoring.range_ssr(t),
     "range_load_factor": lambda s, t: scoring.range_load_factor(t),
     # score, rank, store
     "normalized_features": lambda s, t: scoring.normalized_features(t, P.NORMALIZE_PRESET),
     "difficulty_score": lambda s, t: scoring.difficulty_scores(t, P.SCORE_PRESET),
     "daily_ranking": lambda s, t: scoring.daily_ranking(t, P.SCORE_PRESET),
+    "daily_ranking_ssr10": lambda s, t: scoring.daily_ranking(
+        t, P.SCORE_PRESET.with_bounds(max_ssr=10)),
     "flight_difficulty_table": _flight_difficulty_table,
     # destination roll-ups
     "hard_destinations_above_avg": lambda s, t: insights.hard_destinations_above_avg(

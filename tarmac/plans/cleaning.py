@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from tarmac.operators.dedupe import drop_all_duplicates
 
 
-def clean_bags(bags: DataFrame) -> DataFrame:
+TAG = "bag_tag_unique_number"
+
+
+def clean_bags(bags: DataFrame, *columns: str) -> DataFrame:
     """Delete every row of a bag tag that occurs more than once (no copy is
-    kept); rows with a NULL tag stay."""
-    return drop_all_duplicates(bags, "bag_tag_unique_number")
+    kept); rows with a NULL tag stay.  With ``columns`` only those are read
+    (besides the tag) and returned."""
+    if not columns:
+        return drop_all_duplicates(bags, TAG)
+    return drop_all_duplicates(bags.select(*dict.fromkeys([*columns, TAG])), TAG).select(*columns)
 
 
 def clean_flights(flights: DataFrame) -> DataFrame:

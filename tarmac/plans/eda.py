@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tarmac import params as P
 from tarmac.functions.columns import count_where, minutes_between, pct, ratio
 from tarmac.operators.fanout import count_join_rows
+from tarmac.operators.ranking import spread_sort
 from tarmac.operators.skew import join_unique
 
 KEY = list(P.FLIGHT_KEY)
@@ -35,7 +36,7 @@ def departure_delay(flights: DataFrame) -> DataFrame:
     """Signed departure delay in minutes per flight, by scheduled departure."""
     return (flights.select(*KEY, SCHED_DEP, ACTUAL_DEP,
                            departure_delay_col().alias("departure_delay_mins"))
-            .orderBy(F.col(SCHED_DEP).asc_nulls_last(), *tie_breakers())
+            .transform(spread_sort, F.col(SCHED_DEP).asc_nulls_last(), *tie_breakers())
             .drop("scheduled_departure_date_local"))
 
 

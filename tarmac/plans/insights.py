@@ -17,11 +17,16 @@ from tarmac.operators.scalar import attach_scalar
 
 KEY = list(P.FLIGHT_KEY)
 DEST = "scheduled_arrival_station_code"
+# Scores are summed as whole billionths in exact decimals.
+SCORE_UNITS = 1e9
+EXACT = "decimal(38,0)"
 
 
 def _per_key(scored: DataFrame, with_category: bool) -> DataFrame:
-    """Rows, score sum, non-NULL scores (and Difficult rows) per flight key."""
-    aggs = [F.count(F.lit(1)).alias("_cs"), F.sum("difficulty_score").alias("_ss"),
+    """Rows, score sum (whole billionths), non-NULL scores (and Difficult rows)
+    per flight key."""
+    score = F.round(F.col("difficulty_score") * F.lit(SCORE_UNITS), 0).cast(EXACT)
+    aggs = [F.count(F.lit(1)).alias("_cs"), F.sum(score).alias("_ss"),
             F.count("difficulty_score").alias("_ns")]
     if with_category:
         aggs.append(F.sum(F.when(F.col("difficulty_category") == "Difficult", 1).otherwise(0))
@@ -37,11 +42,13 @@ def _per_destination(flights: DataFrame, s: DataFrame, with_category: bool) -> D
     j = f.join(s, on=KEY, how="inner")
     cf = F.col("_cf")
     out = [F.sum(cf * F.col("_cs")).alias("flight_count"),
-           (F.sum(cf * F.col("_ss")) / F.nullif(F.sum(cf * F.col("_ns")), F.lit(0)))
-           .alias("avg_difficulty_score")]
+           F.sum((cf.cast(EXACT) * F.col("_ss")).cast(EXACT)).alias("_total"),
+           F.sum((cf * F.col("_ns")).cast(EXACT)).alias("_n")]
     if with_category:
         out.append(F.sum(cf * F.col("_ds")).alias("difficult_flights_count"))
-    return j.groupBy(F.col(DEST).alias("destination")).agg(*out)
+    mean = F.col("_total").cast("double") / F.nullif(F.col("_n").cast("double"), F.lit(0.0)) / F.lit(SCORE_UNITS)
+    return (j.groupBy(F.col(DEST).alias("destination")).agg(*out)
+            .withColumn("avg_difficulty_score", mean))
 
 
 def hard_destinations_above_avg(flights: DataFrame, scored: DataFrame) -> DataFrame:
@@ -49,13 +56,15 @@ def hard_destinations_above_avg(flights: DataFrame, scored: DataFrame) -> DataFr
     with a label from the mean (>= 0.5 Difficult, >= 0.3 Medium, else Easy)."""
     s = _per_key(scored, with_category=False)
     d = _per_destination(flights, s, with_category=False)
-    # one-row global mean; the scored subplan it shares with ``d`` is
-    # identical, so AQE reuses its shuffle stages instead of recomputing them
-    overall = scored.agg(F.avg("difficulty_score").alias("_overall"))
+    # one-row global sum, from the same per-key aggregate, so AQE reuses its
+    # shuffle stages.  Means are compared as exact fractions: equal means are
+    # never "above", whatever the order of the additions
+    overall = s.agg(F.sum("_ss").alias("_all"), F.sum(F.col("_ns").cast(EXACT)).alias("_all_n"))
+    above = F.col("_total") * F.col("_all_n") > F.col("_all") * F.col("_n")
     avg = F.col("avg_difficulty_score")
     label = (F.when(avg >= P.DESTINATION_DIFFICULT_AT, "Difficult")
              .when(avg >= P.DESTINATION_MEDIUM_AT, "Medium").otherwise("Easy"))
-    return (attach_scalar(d, overall).filter(avg > F.col("_overall"))
+    return (attach_scalar(d, overall).filter(above)
             .select("destination", "flight_count", "avg_difficulty_score",
                     label.alias("representative_difficulty_category"))
             .orderBy(avg.desc_nulls_first()))

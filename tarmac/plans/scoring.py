@@ -9,9 +9,8 @@ Plan shape (one job per query, all built-in operators):
             -> one aggregate by flight key: service requests and
                seat-occupying passengers together (bookings read once)
 * flights   -> the two per-key aggregates (full outer join, co-partitioned)
-               attach to flight rows in one left join; hot flight keys go
-               through a broadcast (``operators.skew.join_unique``), the rest
-               through one shuffle of flights
+               attach to flight rows in one left join whose hot keys AQE
+               splits (``operators.skew.join_unique``)
 * ranking   -> skew-safe ROW_NUMBER per departure date
                (``tarmac.operators.ranking``)
 """
@@ -26,7 +25,7 @@ from tarmac.functions.columns import (count_where, int_div, minmax_score, ratio,
                                       tercile_label, weighted_sum)
 from tarmac.operators.dedupe import keep_first
 from tarmac.operators.fanout import count_join_rows
-from tarmac.operators.ranking import rank_within_groups
+from tarmac.operators.ranking import rank_within_groups, spread_sort
 from tarmac.operators.skew import join_unique
 from tarmac.sources.tables import FlightTables
 
@@ -56,7 +55,7 @@ def dedupe_bookings(bookings: DataFrame) -> DataFrame:
 def ssr_counts(remarks: DataFrame, deduped: DataFrame) -> DataFrame:
     """Remarks matched to deduplicated bookings, counted per flight key."""
     return count_join_rows(remarks, deduped, on=P.REMARK_KEY, by=KEY, right_by=[DATE],
-                           name="num_special_service_requests")
+                           name="num_special_service_requests", few_per_key=True)
 
 
 def passenger_loads(deduped: DataFrame) -> DataFrame:
@@ -74,10 +73,12 @@ def booking_features(remarks: DataFrame, bookings: DataFrame) -> DataFrame:
     both: ``SUM(n_remarks)`` equals the remark/booking join count of
     ``ssr_counts`` (NULL when no remark matches, like a missing key there)
     and ``SUM(total_pax - lap_child_count)`` equals ``passenger_loads``.
-    Bookings are read and deduplicated once for both features.
+    Bookings are read and deduplicated once for both features.  A (locator,
+    flight) key has at most one deduplicated booking per departure date, so
+    no key of this join can be hot and a plain join is enough.
     """
     counted = remarks.groupBy(*P.REMARK_KEY).agg(F.count(F.lit(1)).alias("_nr"))
-    j = join_unique(dedupe_bookings(bookings), counted, P.REMARK_KEY, how="left")
+    j = dedupe_bookings(bookings).join(counted, list(P.REMARK_KEY), "left")
     return j.groupBy(*KEY).agg(
         F.sum("_nr").alias("num_special_service_requests"),
         F.sum(F.col("total_pax") - F.col("lap_child_count")).alias("seat_occupying_passengers"))
@@ -88,9 +89,9 @@ def _flight_inputs(t: FlightTables) -> DataFrame:
 
     The two per-key aggregates meet first (both one row per key and
     partitioned on it, so no extra shuffle), then attach to the flight rows
-    in one skew-safe left join."""
+    in one left join that AQE can split."""
     f = t.flights.select(*KEY, "scheduled_ground_time_minutes", "total_seats")
-    per_key = transfer_ratio_by_flight(t.bags).join(
+    per_key = transfer_ratio_by_flight(t.bags_of(*KEY, "bag_type")).join(
         booking_features(t.remarks, t.bookings), on=KEY, how="full")
     return join_unique(f, per_key, KEY, how="left")
 
@@ -128,8 +129,8 @@ def difficulty_scores(t: FlightTables, p: P.ScoreParams = P.SCORE_PRESET,
     df = normalized_features(t, p).withColumn("difficulty_score", difficulty_score_col(p))
     if not sort:
         return df
-    return df.orderBy(F.col("difficulty_score").desc_nulls_first(),
-                      *[F.col(c).asc_nulls_last() for c in KEY])
+    return spread_sort(df, F.col("difficulty_score").desc_nulls_first(),
+                       *[F.col(c).asc_nulls_last() for c in KEY])
 
 
 def rank_order():
@@ -147,11 +148,10 @@ def daily_ranking(t: FlightTables, p: P.ScoreParams = P.SCORE_PRESET,
     output is ordered by date and rank (skip it when storing the result)."""
     scored = difficulty_scores(t, p, sort=False)
     ranked = rank_within_groups(scored, by=[DATE], order=rank_order(),
-                                rank_col="daily_rank", size_col="total_flights")
-    out = ranked.select(
+                                rank_col="daily_rank", size_col="total_flights", in_order=sort)
+    return ranked.select(
         *KEY, "difficulty_score", *SCORE_COLS, "daily_rank",
         tercile_label("daily_rank", "total_flights").alias("difficulty_category"))
-    return out.orderBy(F.col(DATE).asc_nulls_last(), F.col("daily_rank")) if sort else out
 
 
 # ------------------------------------------------------------------ ranges
@@ -189,7 +189,7 @@ def params_from_data(t: FlightTables, base: P.ScoreParams = P.SCORE_PRESET,
     compute ranges, then use them as constants).  Runs four small jobs, each
     returning one row."""
     g = range_ground_time(t.flights).first()
-    tr = range_transfer_ratio(t.bags).first()
+    tr = range_transfer_ratio(t.bags_of(*KEY, "bag_type")).first()
     s = range_ssr(t).first()
     lf = range_load_factor(t).first()
     bounds = dict(min_ground=float(g.min_ground), max_ground=int(g.max_ground),
@@ -205,18 +205,14 @@ def params_from_data(t: FlightTables, base: P.ScoreParams = P.SCORE_PRESET,
 def write_flight_difficulty(ranked: DataFrame, path: str) -> None:
     """Store the ranking as ``flight_difficulty`` partitioned by departure date.
 
-    The rows are range-partitioned on (date, rank), so every task writes one
-    contiguous run of dates (about one file per date in total) and a busy
-    date is split over several tasks instead of one.  The number of
-    partitions is left to AQE, which sizes them from the actual bytes: a
-    daily run of one date writes one or two files, a backfill writes files
-    near the advisory partition size (a fixed count such as one per core
-    would scatter a single day over thousands of tiny files on a large
-    cluster).  Dynamic partition overwrite replaces only the dates present,
-    so a daily run rewrites its own day and leaves the others.
+    The ranking's sorted table already holds every date in one contiguous run,
+    so its rows are written as they come, without another shuffle: a file of
+    that table is part of one or a few dates, and a busy date is spread over
+    the tasks that read its files.  Dynamic partition overwrite replaces only
+    the dates present, so a daily run rewrites its own days and leaves the
+    others.
     """
-    (ranked.repartitionByRange(F.col(DATE).asc_nulls_first(), F.col("daily_rank"))
-     .write.mode("overwrite")
+    (ranked.write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
      .partitionBy(DATE)
      .parquet(path))

@@ -2,30 +2,47 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+from contextlib import contextmanager
+from typing import Iterator
 
 from pyspark.sql import SparkSession
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
+def session_config(master: str, shuffle_partitions: int | None = None) -> dict[str, str]:
+    """Settings of ``build_session``.  Sizes (shuffle partitions, driver
+    memory) are set for local masters only; a cluster's own settings hold
+    unless the caller names a number of shuffle partitions."""
+    conf = {
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+    }
+    local = _is_local(master)
+    if local:
+        conf["spark.driver.memory"] = "8g"
+    if shuffle_partitions or local:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
+    return conf
+
+
+def _is_local(master: str) -> bool:
+    """One machine in one JVM (``local``, ``local[n]``), not ``local-cluster``."""
+    return master == "local" or master.startswith("local[")
+
+
+def build_session(master: str = "local[*]", shuffle_partitions: int | None = None,
                   app_name: str = "tarmac") -> SparkSession:
     """A session tuned for these plans: AQE with skew-join splitting and
     partition coalescing on, UI off."""
-    spark = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "8g")
-        .getOrCreate()
-    )
-    if master.startswith("local"):
+    spark = (SparkSession.builder.master(master).appName(app_name)
+             .config(map=session_config(master, shuffle_partitions)).getOrCreate())
+    if _is_local(master):
         # One machine: list partition folders on the driver instead of a
         # Spark job with one task per folder.
         spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.threshold", "100000")
@@ -56,7 +73,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if sc.master.startswith("local"):
+    if _is_local(sc.master):
         folder = tempfile.mkdtemp(prefix="tarmac-ckpt-")
         sc.setCheckpointDir(folder)
         return sc.getCheckpointDir()
@@ -65,24 +82,72 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "(HDFS/S3/ABFS) before running ranking plans on a cluster")
 
 
+# Scratch tables that this process made and nobody has deleted yet.
+_OWNED: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the checkpoint directory for written tables."""
+    """A fresh path under the checkpoint directory for a written table.  The
+    innermost ``scratch_scope`` deletes it; outside of one it lives until the
+    application ends, as lazily evaluated results may still read it."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tarmac-{name}-{os.urandom(6).hex()}"
+    if not _OWNED:
+        atexit.register(_delete_owned)
+    path = f"{base}/tarmac-{name}-{os.urandom(6).hex()}"
+    _OWNED.append(path)
+    return path
 
 
-def clear_scratch(spark: SparkSession) -> int:
-    """Delete the tables this library wrote under the checkpoint directory
-    (``tarmac-*``: sorted tables of the ranking and similar).  Call it when
-    the DataFrames built on them are no longer needed.  Uses the Hadoop
-    FileSystem of the folder, so it works on HDFS/S3/ABFS as well as local
-    disk.  Returns the number of tables removed."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
+def result_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under the checkpoint directory for a result that its
+    caller owns (no scratch table)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{os.urandom(6).hex()}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete, on leaving the block, the scratch tables made inside it.  For
+    work that is complete by then, such as a written result."""
+    before = len(_OWNED)
+    try:
+        yield
+    finally:
+        mine = _OWNED[before:]
+        del _OWNED[before:]
+        _delete(spark, mine)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> int:
+    """Remove folders through their Hadoop FileSystem (HDFS, S3, ABFS, local)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{base}/tarmac-*")
-    fs = pattern.getFileSystem(conf)
-    found = fs.globStatus(pattern) or []
-    for status in found:
-        fs.delete(status.getPath(), True)
-    return len(found)
+    removed = 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed
+
+
+def _delete_owned() -> None:
+    """At the end of the application: what is left of this process's tables."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    try:
+        _delete(spark, _OWNED)
+    except Exception:  # the JVM may be gone already
+        pass
+
+
+def delete_folders(spark: SparkSession, base: str, names: list[str]) -> int:
+    """Remove the sub-folders ``names`` of ``base``; returns how many existed."""
+    return _delete(spark, [f"{base.rstrip('/')}/{n}" for n in names])
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete this process's scratch tables (sorted tables of the ranking and
+    similar).  Call it when the DataFrames built on them are no longer needed.
+    Returns the number of tables removed."""
+    mine = list(_OWNED)
+    _OWNED.clear()
+    return _delete(spark, mine)

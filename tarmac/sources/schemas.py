@@ -90,9 +90,9 @@ TABLE_SCHEMAS = {
 }
 
 
-def require_columns(df, schema: T.StructType, table: str) -> None:
+def require_columns(columns, schema: T.StructType, table: str) -> None:
     """Fail early when a table lacks a declared column."""
-    missing = [f.name for f in schema.fields if f.name not in df.columns]
+    missing = [f.name for f in schema.fields if f.name not in columns]
     if missing:
         raise ValueError(f"{table} is missing columns {missing}")
 

@@ -6,7 +6,7 @@ from typing import Callable, Union
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmac.sources.schemas import BAGS, BOOKINGS, FLIGHTS, REMARKS, conform, require_columns
+from tarmac.sources.schemas import BAGS, BOOKINGS, FLIGHTS, REMARKS, require_columns
 
 
 Source = Union[DataFrame, Callable[[], DataFrame]]
@@ -37,6 +37,12 @@ class FlightTables:
     remarks = property(lambda self: self._get("remarks"))
     bags = property(lambda self: self._get("bags"))
 
+    def bags_of(self, *columns: str) -> DataFrame:
+        """The bag table with the given columns only.  Cleaned tables project
+        before they clean, so a stored table is scanned for these columns and
+        the tag."""
+        return self.bags.select(*columns)
+
     def replace(self, **members: Source) -> "FlightTables":
         src = {m: (lambda m=m: self._get(m)) for m in self.MEMBERS}
         src.update(members)
@@ -47,8 +53,22 @@ class FlightTables:
         flights without positive scheduled ground time removed."""
         from tarmac.plans.cleaning import clean_bags, clean_flights
 
-        return self.replace(flights=lambda: clean_flights(self.flights),
-                            bags=lambda: clean_bags(self.bags))
+        return _CleanedTables(flights=lambda: clean_flights(self.flights),
+                              bookings=lambda: self.bookings, remarks=lambda: self.remarks,
+                              bags=lambda: clean_bags(self.bags), raw=self)
+
+
+class _CleanedTables(FlightTables):
+    """Cleaned tables that know the raw ones."""
+
+    def __init__(self, raw: FlightTables, **members: Source):
+        super().__init__(**members)
+        self._raw = raw
+
+    def bags_of(self, *columns: str) -> DataFrame:
+        from tarmac.plans.cleaning import clean_bags
+
+        return clean_bags(self._raw.bags, *columns)
 
 
 TABLE_FILES = {
@@ -63,16 +83,42 @@ def read_tables(spark: SparkSession, base: str, fmt: str = "parquet",
                 **options) -> FlightTables:
     """Read stored tables ``<base>/<table name>`` with their declared schema.
 
-    Parquet (the default) gets column pruning and filter pushdown; CSV is
-    read with the declared schema (header expected), never inferred.
+    The declared schema is given to the reader, so no job infers one and Parquet
+    gets column pruning and filter pushdown (CSV: header expected).  A Parquet
+    table that lacks a declared column is an error, found in the footer of one
+    of its files.
     """
     schemas = {"flights": FLIGHTS, "bookings": BOOKINGS, "remarks": REMARKS, "bags": BAGS}
     frames = {}
     for member, name in TABLE_FILES.items():
-        reader = spark.read.format(fmt).options(**options)
+        path = f"{base.rstrip('/')}/{name}"
+        reader = spark.read.format(fmt).options(**options).schema(schemas[member])
         if fmt == "csv":
-            reader = reader.schema(schemas[member]).option("header", options.get("header", "true"))
-        df = reader.load(f"{base.rstrip('/')}/{name}")
-        require_columns(df, schemas[member], name)
-        frames[member] = conform(df, schemas[member])
+            reader = reader.option("header", options.get("header", "true"))
+        elif fmt == "parquet":
+            require_columns(stored_columns(spark, path), schemas[member], name)
+        frames[member] = reader.load(path)
     return FlightTables(**frames)
+
+
+def stored_columns(spark: SparkSession, path: str) -> list[str]:
+    """Columns of a stored Parquet table: partition folders on the way to its
+    first file and that file's footer, read on the driver without a job."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    columns: list[str] = []
+    while fs.getFileStatus(at).isDirectory():
+        inside = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName()[0] not in "._"]
+        if not inside:
+            raise ValueError(f"{path} has no data file")
+        at = min(inside, key=lambda p: p.getName())
+        if "=" in at.getName():
+            columns.append(at.getName().partition("=")[0])
+    file = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(at, conf)
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(file)
+    try:
+        fields = reader.getFooter().getFileMetaData().getSchema().getFields()
+        return columns + [f.getName() for f in fields]
+    finally:
+        reader.close()

@@ -5,45 +5,80 @@ This is the daily-run form of the ranking query (no new operator): a
 Structured Streaming file source delivers new flight rows, and
 ``foreachBatch`` runs the batch ranking restricted to the dates present in
 the micro-batch.  A date is always re-ranked from *all* its flights in the
-full tables (ranks and thirds depend on the whole day), and the write uses
-dynamic partition overwrite, so re-running a batch after a failure gives the
-same folders (idempotent).  The stream's own checkpoint location tracks which
+full tables (ranks and thirds depend on the whole day).  The write uses
+dynamic partition overwrite and removes the folders of dates that lost all
+their flights, so the stored table equals a full batch run and re-running a
+batch after a failure gives the same folders (idempotent).  The stream's own checkpoint location tracks which
 files were processed.
 """
 
 from __future__ import annotations
 
-from typing import Callable
+import datetime as dt
+from typing import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac import params as P
+from tarmac.operators.skew import join_unique
+from tarmac.plans.cleaning import TAG, clean_flights
 from tarmac.plans.scoring import daily_ranking, write_flight_difficulty
+from tarmac.session import delete_folders, scratch_scope
 from tarmac.sources.schemas import FLIGHTS
 from tarmac.sources.tables import FlightTables
 
 DATE = "scheduled_departure_date_local"
 
 
-def restrict_to_dates(t: FlightTables, dates: DataFrame) -> FlightTables:
-    """The tables limited to the given departure dates (a left semi join, which
-    prunes date partitions of stored tables).  Remarks carry no date; they
-    meet bookings of those dates through the join inside the ranking."""
-    d = dates.select(DATE).distinct()
-    return t.replace(
-        flights=lambda: t.flights.join(d, on=DATE, how="left_semi"),
-        bookings=lambda: t.bookings.join(d, on=DATE, how="left_semi"),
-        bags=lambda: t.bags.join(d, on=DATE, how="left_semi"),
-    )
+def restrict_to_dates(t: FlightTables, dates: Sequence[dt.date | None]) -> FlightTables:
+    """The cleaned tables limited to the given departure dates (None: rows
+    without one).  The dates are literals, so date partitions of stored tables
+    are pruned.  Remarks carry no date; they meet bookings of those dates
+    through the join inside the ranking.
+
+    Bags are cleaned by the whole table: a tag of these dates is dropped if it
+    occurs again on any date.
+    """
+    known = [d for d in dates if d is not None]
+    mine = F.col(DATE).isin(known)
+    if len(known) < len(dates):
+        mine = F.coalesce(mine, F.lit(True))
+
+    def bags(*columns: str) -> DataFrame:
+        here = t.bags.select(*dict.fromkeys([*columns, DATE, TAG])).filter(mine)
+        tags = here.select(TAG).filter(F.col(TAG).isNotNull()).distinct()
+        repeated = (t.bags.select(TAG).join(tags, TAG, "left_semi").groupBy(TAG)
+                    .agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1).select(TAG))
+        return join_unique(here, repeated, [TAG], how="left_anti").select(*columns)
+
+    class Dated(FlightTables):
+        def bags_of(self, *columns: str) -> DataFrame:
+            return bags(*columns)
+
+    return Dated(flights=lambda: clean_flights(t.flights.filter(mine)),
+                 bookings=lambda: t.bookings.filter(mine), remarks=lambda: t.remarks,
+                 bags=lambda: bags(*t.bags.columns))
 
 
 def rank_dates(t: FlightTables, dates: DataFrame, out_path: str,
                p: P.ScoreParams = P.SCORE_PRESET) -> None:
-    """Batch daily run: rank the given dates from cleaned tables and replace
-    their folders in ``out_path``."""
-    write_flight_difficulty(daily_ranking(restrict_to_dates(t, dates).cleaned(), p, sort=False),
-                            out_path)
+    """Daily run: rank the given dates from the raw tables and replace their
+    folders in ``out_path``; the folder of a date without a flight goes.  The
+    distinct dates, at most the days of the calendar, come to the driver."""
+    spark = dates.sparkSession
+    days = [r[0] for r in dates.select(DATE).distinct().collect()]
+    if not days:
+        return
+    with scratch_scope(spark):
+        ranked = daily_ranking(restrict_to_dates(t, days), p, sort=False)
+        write_flight_difficulty(ranked, out_path)
+        left = {r[0] for r in ranked.select(DATE).distinct().collect()}
+    delete_folders(spark, out_path, [f"{DATE}={_folder(d)}" for d in days if d not in left])
+
+
+def _folder(day: dt.date | None) -> str:
+    return "__HIVE_DEFAULT_PARTITION__" if day is None else day.isoformat()
 
 
 def start_daily_ranking(spark: SparkSession, new_flights_dir: str,
@@ -56,8 +91,7 @@ def start_daily_ranking(spark: SparkSession, new_flights_dir: str,
     stream = spark.readStream.schema(FLIGHTS).parquet(new_flights_dir)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        dates = batch.select(DATE).filter(F.col(DATE).isNotNull())
-        rank_dates(tables(), dates, out_path, p)
+        rank_dates(tables(), batch.select(DATE), out_path, p)
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation",
                                                              checkpoint_location)

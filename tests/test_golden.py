@@ -4,6 +4,7 @@ by hand from the source-dialect semantics)."""
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from minidata import MON, SUN, mini_tables
 from tarmac import params as P
@@ -258,3 +259,31 @@ def test_clear_scratch(spark, t):
     assert any(n.startswith("tarmac-") for n in os.listdir(base))
     assert clear_scratch(spark) >= 1
     assert not any(n.startswith("tarmac-") for n in os.listdir(base))
+
+
+def test_zero_seats_give_null(spark, raw):
+    """A flight with 0 seats has no load factor and no load score, and counts
+    in no range (the same rule as in the check SQL)."""
+    zero = raw.replace(flights=lambda: raw.flights.withColumn("total_seats", F.lit(0))).cleaned()
+    got = eda.load_factor(zero.flights, zero.bookings).collect()
+    assert got and {r.load_factor for r in got} == {None}
+    scored = scoring.difficulty_scores(zero, sort=False).collect()
+    assert {(r.load_factor_score, r.difficulty_score) for r in scored} == {(None, None)}
+    assert rows(scoring.range_load_factor(zero), "*") == [(None, None)]
+
+
+def test_equal_means_are_not_above(spark):
+    """One destination, or destinations with equal means, are never above the
+    overall mean, however the scores are added up."""
+    import random
+    rng = random.Random(8)
+    for seed in range(6):
+        n = 5000
+        scores = [rng.uniform(-1, 1) for _ in range(n // 2)]
+        flights = [(f"F{i}", SUN, "ABC" if seed % 2 else ("ABC", "XYZ")[i % 2]) for i in range(n)]
+        data = [(f"F{i}", SUN, scores[i // 2]) for i in range(n)]
+        f = spark.createDataFrame(flights, "flight_number string, scheduled_departure_date_local date, "
+                                           "scheduled_arrival_station_code string").repartition(1 + seed)
+        s = spark.createDataFrame(data, "flight_number string, scheduled_departure_date_local date, "
+                                        "difficulty_score double").repartition(7 - seed)
+        assert insights.hard_destinations_above_avg(f, s).count() == 0

@@ -85,12 +85,11 @@ def test_rank_within_groups_hot_and_null_groups(spark):
     assert got == _window_rank(df, ["g"], order)
 
 
-def test_rank_within_groups_shuffle_fallback(spark):
+def test_rank_within_groups_shuffle_fallback(spark, eager_splitting):
     df = spark.createDataFrame([(i, i % 5, float(i % 7)) for i in range(200)],
                                "id int, g int, s double")
     order = [F.col("s").desc(), F.col("id")]
-    ranked = rank_within_groups(df, ["g"], order, rank_col="rank", size_col="size",
-                                max_broadcast_segments=0)
+    ranked = rank_within_groups(df, ["g"], order, rank_col="rank", size_col="size")
     assert {(r.id, r.rank, r.size) for r in ranked.collect()} == _window_rank(df, ["g"], order)
 
 
@@ -100,43 +99,83 @@ def test_attach_scalar(spark):
     assert sorted((r.x, r.total) for r in out.collect()) == [(1, 3), (2, 3)]
 
 
+@pytest.fixture
+def eager_splitting(spark):
+    """AQE settings under which small skewed joins are split."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.shuffle.partitions": "20",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _is_split(df) -> bool:
+    """The plan that ran split a skewed join."""
+    return "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
-def test_join_unique_matches_plain_join(spark, how):
-    from tarmac.operators.skew import hot_keys, join_unique
+def test_join_unique_matches_plain_join(spark, how, eager_splitting):
+    from tarmac.operators.skew import join_unique
     rnd = random.Random(3)
     big = [(("hot" if i % 3 == 0 else rnd.choice(["a", "b", "c", None])), i % 4 if i % 7 else None, i)
            for i in range(600)]
     small = [("hot", 0, "H0"), ("hot", 1, "H1"), ("a", 0, "A0"), ("b", 2, "B2"), (None, 0, "N0")]
     b = spark.createDataFrame(big, "k string, j int, v int")
     s = spark.createDataFrame(small, "k string, j int, w string")
-    hot = {tuple(r) for r in hot_keys(b.filter("k is not null and j is not null"),
-                                      ["k", "j"], 0.05, 1).collect()}
-    assert {("hot", 0), ("hot", 1), ("hot", 2), ("hot", 3)} <= hot
-    got = join_unique(b, s, ["k", "j"], how=how, hot_share=0.05, min_rows=1)
+    got = join_unique(b, s, ["k", "j"], how=how)
     want = b.join(s, ["k", "j"], how)
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
-def test_drop_all_duplicates_hot_tag(spark, monkeypatch):
-    from tarmac.operators import skew
-    monkeypatch.setattr(skew, "HOT_SHARE", 0.1)
-    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 5)
+def _hot_big(spark, n=30_000):
+    """A third of the rows share a key, another third have none."""
+    key = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("t"), F.col("id")))
+    return spark.range(n, numPartitions=8).select(key.alias("k"), F.col("id").alias("v"))
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+def test_join_unique_splits_a_hot_key(spark, how, eager_splitting):
+    """Against an aggregate a plain join is not split, join_unique is; no task
+    of the join has more than a few times the mean of rows."""
+    from tarmac.operators.skew import join_unique
+    big = _hot_big(spark)
+    per_key = big.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    plain = big.join(per_key, ["k"], how)
+    plain.collect()
+    assert not _is_split(plain)
+    got = join_unique(big, per_key, ["k"], how).withColumn("task", F.spark_partition_id())
+    tasks = [r.task for r in got.collect()]
+    assert _is_split(got)
+    assert len(tasks) == plain.count()
+    if tasks and how != "left_anti":
+        counts = [tasks.count(t) for t in set(tasks)]
+        assert max(counts) < 0.2 * len(tasks)
+
+
+def test_drop_all_duplicates_hot_tag(spark, eager_splitting):
     rows = [("HOT", i) for i in range(300)] + [(f"t{i}", i) for i in range(300)] + \
            [("dup", 1), ("dup", 2)] + [(None, i) for i in range(50)]
     df = spark.createDataFrame(rows, "k string, v int").repartition(5)
-    assert [tuple(r) for r in skew.hot_keys(skew.keyed_rows(df, ["k"]), ["k"]).collect()] == \
-        [("HOT",)]
     got = drop_all_duplicates(df, "k")
     assert got.columns == ["k", "v"]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(
         [(f"t{i}", i) for i in range(300)] + [(None, i) for i in range(50)], key=repr)
+    hot = drop_all_duplicates(_hot_big(spark), "k")
+    assert hot.count() == 20_000
 
 
-def test_drop_all_duplicates_hot_group_of_identical_copies(spark, monkeypatch):
+def test_drop_all_duplicates_hot_group_of_identical_copies(spark, eager_splitting):
     from tarmac.operators import skew
-    monkeypatch.setattr(skew, "HOT_SHARE", 0.1)
-    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 5)
     rows = [("COPY", 7)] * 400 + [(f"t{i}", i) for i in range(200)]
     df = spark.createDataFrame(rows, "k string, v int").repartition(8)
     assert sorted(map(tuple, drop_all_duplicates(df, "k").collect())) == \
@@ -148,6 +187,34 @@ def test_drop_all_duplicates_hot_group_of_identical_copies(spark, monkeypatch):
     assert got.count() == 600 and got.filter("w = 'c'").count() == 400
 
 
+def test_spread_sort_splits_identical_copies(spark):
+    """A third of the rows are identical; no partition of the sort holds more
+    than about twice the median."""
+    from tarmac.operators.ranking import spread_sort
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        v = F.when(F.col("id") % 3 == 0, F.lit(500)).otherwise(F.col("id") % 1000)
+        df = spark.range(60_000, numPartitions=24).select(v.cast("int").alias("v"))
+        got = spread_sort(df, F.col("v").asc()).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [r.v for r in got] == sorted(r.v for r in got)
+    sizes = sorted([r.part for r in got].count(p) for p in {r.part for r in got})
+    assert sizes[-1] <= 2.2 * sizes[len(sizes) // 2]
+
+
+def test_rank_within_groups_in_order(spark):
+    rows = [(i, f"g{i % 5}" if i % 7 else None, float(i * 37 % 101)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, g string, s double").repartition(6)
+    got = rank_within_groups(df, ["g"], [F.col("s").desc(), F.col("id")], rank_col="rank", in_order=True)
+    out = [(r.g, r["rank"]) for r in got.collect()]
+    assert out == sorted(out, key=lambda x: (x[0] is None, x[0] or "", x[1]))
+    assert len(out) == 400
+
+
 def test_rank_within_groups_identical_copies(spark):
     rows = [(1, "hot", 0.5)] * 400 + [(i, "cold", float(i)) for i in range(50)]
     df = spark.createDataFrame(rows, "id int, g string, s double").repartition(8)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import types as T
 
 from __spark_entry__ import entry
-from compare import digest, duck
+from compare import digest, duck, norm
 from tarmac.plans.catalog import queries
 from tarmac.plans.oracle import oracle_sql
 
@@ -56,13 +56,55 @@ SPLIT_USERS = ["clean_bags", "load_factor", "ssr_per_flight", "ssr_load_delay",
 
 
 @pytest.mark.parametrize("name", SPLIT_USERS)
-def test_all_keys_hot_matches_sql(spark, con, name, monkeypatch):
-    """Every key counted as hot: the broadcast side of each split join carries
-    all rows, and the results still equal the SQL."""
-    from tarmac.operators import skew
-    monkeypatch.setattr(skew, "HOT_SHARE", 1e-6)
-    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 1)
-    df = queries()[name](spark, SF)
+def test_split_joins_match_sql(spark, con, name):
+    """Every shuffle partition counts as skewed and no join is broadcast: the
+    results still equal the SQL."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "0.5"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = queries()[name](spark, SF)
+        got = digest(df.columns, [tuple(r) for r in df.collect()])
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    rel = con.sql(oracle_sql()[name])
+    assert got == digest(rel.columns, rel.fetchall())
+
+
+# columns whose order is fixed by the query (None first or last as in its sort)
+ORDERED = {
+    "departure_delay": ["scheduled_departure_datetime_local"],
+    "bags_per_pax": ["bags_per_pax"],
+    "lap_children_ratio": ["lap_children_ratio"],
+    "fleet_rarity": ["pct_of_flights", "carrier", "fleet_type"],
+    "difficulty_score": ["difficulty_score"],
+    "daily_ranking": ["scheduled_departure_date_local", "daily_rank"],
+    "hard_destinations_above_avg": ["avg_difficulty_score"],
+    "hard_destinations_majority": ["percent_difficult_flights", "avg_difficulty_score"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(ORDERED))
+def test_order_matches_sql(spark, con, name):
+    """The sort columns come in the SQL's order, row by row."""
+    cols = ORDERED[name]
+    got = [tuple(norm(r[c]) for c in cols) for r in queries()[name](spark, SF).collect()]
     rel = con.sql(oracle_sql()[name])
-    assert digest(df.columns, [tuple(r) for r in df.collect()]) == \
-        digest(rel.columns, rel.fetchall())
+    at = [rel.columns.index(c) for c in cols]
+    assert got == [tuple(norm(r[i]) for i in at) for r in rel.fetchall()]
+
+
+def test_checks_are_not_constant(con):
+    """The added keys compare values that vary."""
+    ssr = {r[0] for r in con.sql(f"SELECT ssr_score FROM ({oracle_sql()['daily_ranking_ssr10']})").fetchall()}
+    assert {0, 1} <= ssr
+    ratio = con.sql(f"SELECT count(DISTINCT transfer_to_origin_ratio) FROM ({oracle_sql()['bag_ratio_eda_canonical']})")
+    assert ratio.fetchone()[0] > 3
+    assert con.sql(oracle_sql()["avg_bag_ratio_canonical"]).fetchone()[0] > 0

@@ -34,3 +34,71 @@ def test_missing_column_is_reported(spark, tmp_path):
         df.write.parquet(str(tmp_path / name))
     with pytest.raises(ValueError, match="bag_type"):
         read_tables(spark, str(tmp_path))
+
+
+def _jobs(spark, run):
+    """Spark jobs that ``run`` starts."""
+    sc, group = spark.sparkContext, "reader-test"
+    sc.setJobGroup(group, group)
+    run()
+    return sc.statusTracker().getJobIdsForGroup(group)
+
+
+def _store(spark, folder):
+    t = mini_tables(spark)
+    for member, name in TABLE_FILES.items():
+        getattr(t, member).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def test_no_job_infers_a_schema(spark, tmp_path):
+    _store(spark, tmp_path)
+    assert _jobs(spark, lambda: read_tables(spark, str(tmp_path)).cleaned().flights) == []
+
+
+# columns that a query may scan, per stored table (none: the table is not read)
+KEY = {"flight_number", "scheduled_departure_date_local"}
+BAG_TYPES = KEY | {"bag_tag_unique_number", "bag_type"}
+BOOKED = KEY | {"record_locator", "total_pax", "lap_child_count"}
+SCORED = {"bags": BAG_TYPES, "bookings": BOOKED, "remarks": {"record_locator", "flight_number"},
+          "flights": KEY | {"scheduled_ground_time_minutes", "total_seats"}}
+ROLLED = {**SCORED, "flights": SCORED["flights"] | {"scheduled_arrival_station_code"}}
+SCANS = {
+    "bag_ratio_eda": {"bags": BAG_TYPES}, "avg_bag_ratio": {"bags": BAG_TYPES},
+    "transfer_to_checked_ratio": {"bags": BAG_TYPES}, "range_transfer_ratio": {"bags": BAG_TYPES},
+    "bags_per_pax": {"bags": KEY | {"bag_tag_unique_number"}, "bookings": KEY | {"total_pax"}},
+    "ssr_per_flight": {"bookings": KEY | {"record_locator"}, "remarks": SCORED["remarks"]},
+    "normalized_features": SCORED, "difficulty_score": SCORED,
+    "hard_destinations_above_avg": ROLLED,
+}
+
+
+@pytest.mark.parametrize("name", sorted(SCANS))
+def test_stored_scans_read_used_columns_only(spark, tmp_path, name):
+    """ReadSchema of every scan over stored tables holds used columns only."""
+    import re
+
+    from tarmac.plans.catalog import _PLANS
+    _store(spark, tmp_path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = _PLANS[name](spark, read_tables(spark, str(tmp_path)).cleaned())
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = re.findall(r"FileScan parquet .*?Location: [^\[]*\[[^\]]*?(\w+)\].*?ReadSchema: struct<(.*?)>(?=\s|$)",
+                       text)
+    assert scans
+    seen = {}
+    for table, schema in scans:
+        member = next(m for m, n in TABLE_FILES.items() if n.startswith(table) or table in n)
+        seen.setdefault(member, set()).update(re.findall(r"(\w+):", schema))
+    assert set(seen) == set(SCANS[name])
+    for member, columns in seen.items():
+        assert columns <= SCANS[name][member], member
+
+
+def test_cluster_settings_are_left_alone():
+    from tarmac.session import session_config
+    for master in ("yarn", "spark://host:7077", "k8s://https://host", "local-cluster[3,2,3000]"):
+        assert "spark.sql.shuffle.partitions" not in session_config(master)
+        assert "spark.driver.memory" not in session_config(master)
+        assert session_config(master, 4000)["spark.sql.shuffle.partitions"] == "4000"
+    assert session_config("local[4]")["spark.sql.shuffle.partitions"] == "8"
