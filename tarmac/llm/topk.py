@@ -202,7 +202,7 @@ class _Pivots:
 
     def __init__(self, sample: list, dim: int, rows: int, queries: int, base: int,
                  block_rows: int, query_rows: int):
-        self.x = np.array([r["v"] for r in sample], np.int64).reshape(-1, dim)
+        self.x = np.array([r["v"] for r in sample], np.int64).reshape(len(sample), dim)
         self.ids = np.array([r["vec_id"] for r in sample], np.int64)
         self.centres = self.x if len(sample) else np.zeros((1, dim), np.int64)
         self.n_data = min(len(self.centres), -(-rows // block_rows))
