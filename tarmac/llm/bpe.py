@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.llm.common import batches, materialize, tasks_for, utf8_rows
-from tarmac.llm.words import default_vocab, encode_words, load_tokenizer
+from tarmac.llm.words import default_vocab, encoder, load_tokenizer
 
 CHUNK_BYTES = 24 << 20
 CHUNK_ROWS = 100_000
@@ -133,7 +133,7 @@ def word_ids(table: DataFrame, vocab: str) -> DataFrame:
     def run(key: tuple, t: pa.Table) -> pa.Table:
         rows = [_bucket_words(d) for d in t.column("data").to_pylist()]
         distinct = list({w for _, words in rows for w in words})
-        ids = dict(zip(distinct, encode_words(_tokenizer(vocab), distinct)))
+        ids = dict(zip(distinct, encoder(vocab)(distinct)))
         numbers, sizes, packed = [], [], []
         for number, words in rows:
             mine = [ids[w] for w in words]
@@ -147,15 +147,6 @@ def word_ids(table: DataFrame, vocab: str) -> DataFrame:
             .applyInArrow(run, "chunk long, numbers binary, sizes binary, ids binary"))
 
 
-_TOKENIZERS: dict = {}
-
-
-def _tokenizer(vocab: str):
-    if vocab not in _TOKENIZERS:
-        _TOKENIZERS[vocab] = load_tokenizer(vocab)
-    return _TOKENIZERS[vocab]
-
-
 def encode(docs: DataFrame, vocab: str | None = None, text_col: str = "text",
            id_col: str = "doc_id") -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers) per row of ``docs``."""

@@ -60,8 +60,8 @@ def pieces(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY,
         ids_of = word_ids(vocab)
         for batch in it:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), utf8_rows(batch.column(1))):
-                ids = ids_of(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of(utf8_rows(batch.column(1)))):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     for col, v in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.llm.common import utf8_rows
-from tarmac.llm.words import WordCache, default_vocab, load_tokenizer
+from tarmac.llm.words import WordCache, default_vocab, groups, load_tokenizer
 
 WORD_END = "</w>"
 
@@ -117,9 +117,12 @@ class TokenCounter:
             out.append(complex(len(parts), tokens))    # two counts that add up as one number
         return out
 
-    def __call__(self, text: bytes | None) -> tuple[int, int]:
-        total = sum(self.cache((text or b"").split()), 0j)
-        return int(total.real), int(total.imag)
+    def __call__(self, texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
+        for group in groups(texts):
+            known = self.cache.learn(set().union(*group))
+            for words in group:
+                total = sum([known[w] for w in words], 0j)
+                yield int(total.real), int(total.imag)
 
 
 @lru_cache(maxsize=2)
@@ -137,7 +140,7 @@ def token_counts(docs: DataFrame, vocab: str | None = None, text_col: str = "tex
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = token_counter(vocab)
         for batch in it:
-            counts = np.array([counter(t) for t in utf8_rows(batch.column(1))], np.int64).reshape(-1, 2)
+            counts = np.array(list(counter(utf8_rows(batch.column(1)))), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts[:, 0]), pa.array(counts[:, 1])], schema=out)
 
