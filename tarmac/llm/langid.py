@@ -21,11 +21,11 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from typing import Iterator
+from typing import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
@@ -237,20 +237,24 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", id_col: str = "d
                  [r["lang"] for r in sample], idf)
 
 
+def predictor(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A column function: struct of lang_pred and score of a text column."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in it:
+            got = [shared.value.predict(t) for t in texts.to_pylist()]
+            yield pa.StructArray.from_arrays(
+                [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
+                names=["lang_pred", "score"])
+
+    return F.arrow_udf(run, "lang_pred string, score double")
+
+
 def predict(docs: DataFrame, model: Model, held_out: Column, text_col: str = "text",
             id_col: str = "doc_id") -> DataFrame:
     """doc_id, held_out, lang_pred, score per row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()),
-                     ("score", pa.float64())])
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            got = [shared.value.predict(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()),
-                 pa.array([g[1] for g in got], pa.float64())], schema=out)
-
-    return (docs.select(F.col(id_col).cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
-                        F.col(text_col).cast("string"))
-            .mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double"))
+    of_text = predictor(docs.sparkSession, model)(F.col(text_col).cast("string"))
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"),
+                        F.coalesce(held_out, F.lit(False)).alias("held_out"), of_text.alias("found"))
+            .select("doc_id", "held_out", "found.lang_pred", "found.score"))

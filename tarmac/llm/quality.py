@@ -22,11 +22,11 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from typing import Iterator
+from typing import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.llm.common import utf8_rows
@@ -229,21 +229,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text_col: str, id_col: s
             np.array([r["label"] for r in rows]))
 
 
+def scorer(spark: SparkSession, model) -> Callable[[Column], Column]:
+    """A column function: the model's score of a text column."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in it:
+            yield pa.array([shared.value.score([encode_passages(t)])[0] for t in utf8_rows(texts)], pa.float64())
+
+    return F.arrow_udf(run, "double")
+
+
 def score(docs: DataFrame, model, held_out: Column, threshold: float = THRESHOLD, text_col: str = "text",
           id_col: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score, predicted per row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            got = [shared.value.score([encode_passages(t)])[0] for t in utf8_rows(batch.column(2))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(got, pa.float64())], schema=out)
-
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
-                        F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, held_out boolean, score double")
+    of_text = scorer(docs.sparkSession, model)(F.col(text_col).cast("string"))
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"),
+                        F.coalesce(held_out, F.lit(False)).alias("held_out"), of_text.alias("score"))
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
 
 

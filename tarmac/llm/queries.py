@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import wraps
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.llm import (bpe, exact_dedup, langid, licenses, packing, quality, simhash, tokcount, topk,
@@ -26,9 +26,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, read_table(spark, sf_dir, "labels"))
 
 
+def quality_held_out() -> Column:
+    return crc_bucket(F.col("doc_id"), 5) == 0
+
+
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    held_out = crc_bucket(F.col("doc_id"), 5) == 0
-    return quality.score(docs, quality.fit(docs, labels, ~held_out), held_out)
+    return quality.score(docs, quality.fit(docs, labels, ~quality_held_out()), quality_held_out())
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +65,12 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(read_table(spark, sf_dir, "documents"))
 
 
+def language_held_out() -> Column:
+    return crc_bucket(F.col("doc_id"), 3) == 1
+
+
 def predict_language(docs: DataFrame) -> DataFrame:
-    held_out = crc_bucket(F.col("doc_id"), 3) == 1
-    return langid.predict(docs, langid.fit(docs, ~held_out), held_out)
+    return langid.predict(docs, langid.fit(docs, ~language_held_out()), language_held_out())
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
