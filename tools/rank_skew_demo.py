@@ -37,7 +37,7 @@ def main() -> None:
     print("busy day rows", df.filter(F.col(day) == hot_day).count(), "of", df.count())
     print("hash by date (window): max, median, partitions =",
           sizes(df.repartition(16, day)))
-    keys = [F.col(day).asc_nulls_first()] + scoring.rank_order()
+    keys = [F.col(day).asc_nulls_last()] + scoring.rank_order()
     print("range sort (rank_within_groups): max, median, partitions =",
           sizes(df.orderBy(*keys)))
 
