@@ -287,3 +287,27 @@ def test_equal_means_are_not_above(spark):
         s = spark.createDataFrame(data, "flight_number string, scheduled_departure_date_local date, "
                                         "difficulty_score double").repartition(7 - seed)
         assert insights.hard_destinations_above_avg(f, s).count() == 0
+
+
+def test_rollups_read_the_stored_ranking(spark, t, tmp_path):
+    """The destination roll-ups give the same from the stored table as from
+    the ranking itself (the source reads the stored table)."""
+    ranked = scoring.daily_ranking(t, sort=False)
+    path = str(tmp_path / "flight_difficulty")
+    scoring.write_flight_difficulty(ranked, path)
+    stored = scoring.read_flight_difficulty(spark, path)
+    for rollup in (insights.hard_destinations_above_avg, insights.hard_destinations_majority):
+        want = rows(rollup(t.flights, ranked), "*", ordered=True)
+        assert want and rows(rollup(t.flights, stored), "*", ordered=True) == want
+
+
+def test_stored_ranking_leaves_no_scratch(spark, t):
+    import os
+
+    from tarmac.plans.catalog import _flight_difficulty_table
+    from tarmac.session import clear_scratch, ensure_checkpoint_dir
+    clear_scratch(spark)
+    base = ensure_checkpoint_dir(spark).replace("file:", "")
+    before = {n for n in os.listdir(base) if n.startswith("tarmac-")}
+    assert _flight_difficulty_table(spark, t).count() > 0
+    assert {n for n in os.listdir(base) if n.startswith("tarmac-")} == before
