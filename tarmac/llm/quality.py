@@ -4,7 +4,7 @@ A document is a bag of passages (``PASSAGE_WORDS`` words each; the whole text,
 cut anew every ``SEGMENT_BYTES`` so that memory stays bounded).
 
 1. ``encode_passages`` turns every passage into a vector: shares of character
-   classes, word shape, repeated words and lines, and a hashed histogram of
+   classes, word shape, words and lines that repeat, and a hashed histogram of
    byte pairs (square roots of shares).
 2. ``train`` learns, from document labels alone, gated attention weights
    ``a_k ~ exp(w . (tanh(V h_k) * sigmoid(U h_k)))`` over a bag and a logistic
@@ -22,6 +22,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from operator import eq
 from typing import Callable, Iterator
 
 import numpy as np
@@ -55,7 +56,7 @@ def _class_table() -> np.ndarray:
 
 
 _CLASS = _class_table()
-_STATS = 8
+_STATS = 11
 DIM = len(_CLASSES) + _STATS + PAIR_BUCKETS
 
 
@@ -108,6 +109,9 @@ def _encode_segment(text: bytes, lines: float) -> np.ndarray:
         stat[k, 0] = len(set(part)) / len(part)
         stat[k, 1] = len(part) / PASSAGE_WORDS
         stat[k, 2] = sum(map(len, part)) / len(part) / 10
+        again = sum(map(eq, part, part[1:])) / len(part)
+        stat[k, 8], stat[k, 9] = again, np.sqrt(again)
+        stat[k, 10] = part.count(b"|") / len(part)
     stat[:, 3] = lines
     letters = shares[:, 0] + shares[:, 1]
     stat[:, 4] = shares[:, 0] / np.maximum(letters, 1e-3)
