@@ -106,5 +106,5 @@ def test_checks_are_not_constant(con):
     ssr = {r[0] for r in con.sql(f"SELECT ssr_score FROM ({oracle_sql()['daily_ranking_ssr10']})").fetchall()}
     assert {0, 1} <= ssr
     ratio = con.sql(f"SELECT count(DISTINCT transfer_to_origin_ratio) FROM ({oracle_sql()['bag_ratio_eda_canonical']})")
-    assert ratio.fetchone()[0] > 3
-    assert con.sql(oracle_sql()["avg_bag_ratio_canonical"]).fetchone()[0] > 0
+    assert ratio.fetchall()[0][0] > 3
+    assert con.sql(oracle_sql()["avg_bag_ratio_canonical"]).fetchall()[0][0] > 0
