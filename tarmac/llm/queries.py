@@ -36,7 +36,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's BPE ids and of their decoded text."""
-    return bpe.digests(bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"))))
+    return bpe.digests(bpe.encode(read_table(spark, sf_dir, "documents"), decoded=True))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
