@@ -208,10 +208,16 @@ def write_flight_difficulty(ranked: DataFrame, path: str) -> None:
     The ranking's sorted table already holds every date in one contiguous run,
     so its rows are written as they come, without another shuffle: a file of
     that table is part of one or a few dates, and a busy date is spread over
-    the tasks that read its files.  Dynamic partition overwrite replaces only
-    the dates present, so a daily run rewrites its own days and leaves the
-    others.
+    the tasks that read its files.  Only a table of few files with many dates
+    (a small backfill) is dealt over the cores by date, since the cost is then
+    in making the folders.  Dynamic partition overwrite replaces only the dates
+    present, so a daily run rewrites its own days and leaves the others.
     """
+    cores = ranked.sparkSession.sparkContext.defaultParallelism
+    if len(ranked.inputFiles()) < cores:
+        tasks = min(cores, ranked.select(DATE).distinct().count())
+        if tasks > 1:
+            ranked = ranked.repartitionByRange(tasks, F.col(DATE).asc_nulls_first(), F.col("daily_rank"))
     (ranked.write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
      .partitionBy(DATE)
