@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from tarmac.llm.common import batches, materialize, open_shared, tasks_for, utf8_rows
 from tarmac.session import scratch_path
 
-CHUNK_BYTES = 32 << 20      # text held by a task before a chunk is closed
+CHUNK_BYTES = 16 << 20      # text held by a task before a chunk is closed
 CHUNK_ROWS = 100_000
 ROWS_PER_OWNER = 250_000
 SPARE_BITS = 16             # fingerprint bits beyond log2(rows): 2^-16 false suspects a row

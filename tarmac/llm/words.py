@@ -14,7 +14,7 @@ from array import array
 from functools import lru_cache
 from typing import Callable, Iterator
 
-CACHE_WORDS = 300_000       # words in each of a cache's two generations
+CACHE_WORDS = 200_000       # words in each of a cache's two generations
 GROUP_BYTES = 1 << 20       # text whose new words are encoded together
 
 
