@@ -4,8 +4,9 @@ Texts are equal when identical after every run of ASCII white space
 (space, \\t \\n \\v \\f \\r) became one space.
 
 1. ``entries``: a task gathers its rows into chunks of bounded size.  Inside a
-   chunk equal texts (compared by bytes) become one entry with its row ids; an
-   entry has a short fingerprint, the leading bits of the text's SHA-256.
+   chunk equal texts (compared by bytes) become one entry with its row ids and
+   row keys, first row first; an entry has a short fingerprint, the leading
+   bits of the text's SHA-256.
    Fingerprint ranges belong to owners.  For every owner the chunk sends its
    distinct fingerprints, sorted, as Golomb-Rice coded gaps.  Entries and
    messages are one written table, read back by column.
@@ -24,8 +25,8 @@ result row per chunk, never one per copy.
 
 Edge cases: null text counts as empty; rows with a null doc_id take part, but a
 null id is never the smallest unless the group has no other; of rows that share
-the smallest doc_id exactly one stays; an empty table gives an empty result;
-other columns are ignored.
+the smallest doc_id the one with the smallest row key stays; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.llm.common import batches, materialize, open_shared, tasks_for, utf8_rows
@@ -48,10 +49,11 @@ SPARE_BITS = 16             # fingerprint bits beyond log2(rows): 2^-16 false su
 
 _ENTRY = pa.schema([
     ("chunk", pa.int64()), ("owner", pa.int32()), ("rank", pa.int32()), ("sha", pa.binary()),
-    ("check", pa.int64()), ("text", pa.binary()), ("ids", pa.list_(pa.int64())), ("n_sent", pa.int32()), ("sent", pa.binary()),
+    ("check", pa.int64()), ("text", pa.binary()), ("ids", pa.list_(pa.int64())),
+    ("keys", pa.list_(pa.int64())), ("n_sent", pa.int32()), ("sent", pa.binary()),
 ])
 _ENTRY_DDL = ("chunk long, owner int, rank int, sha binary, check long, text binary, ids array<long>, "
-              "n_sent int, sent binary")
+              "keys array<long>, n_sent int, sent binary")
 
 
 def normalise(text: bytes | None) -> bytes:
@@ -102,8 +104,8 @@ def _fingerprint_bits(rows: int) -> int:
     return min(63, max(1, rows).bit_length() + SPARE_BITS)
 
 
-def entries(docs: DataFrame, rows: int, owners: int, text_col: str, id_col: str) -> DataFrame:
-    """Entries (owner, rank, sha, text, ids set) and messages (owner, n_sent,
+def entries(docs: DataFrame, rows: int, owners: int, text_col: str, id_col: str, key: Column) -> DataFrame:
+    """Entries (owner, rank, sha, text, ids, keys set) and messages (owner, n_sent,
     sent set) of all chunks; not yet written."""
     bits = _fingerprint_bits(rows)
 
@@ -119,13 +121,14 @@ def entries(docs: DataFrame, rows: int, owners: int, text_col: str, id_col: str)
         of[at] = owner
         first = np.searchsorted(of, np.arange(owners + 1))
         for i, t in enumerate(texts):
+            ids, keys = zip(*sorted(held[t], key=_row_order))
             yield (chunk, int(owner[i]), int(at[i] - first[owner[i]]), shas[i],
-                   xxhash.xxh64_intdigest(t) - (1 << 63), t, held[t], None, None)
+                   xxhash.xxh64_intdigest(t) - (1 << 63), t, ids, keys, None, None)
         for o in np.unique(of):
             sent = distinct[first[o]:first[o + 1]]
             low = _range_start(int(o), owners, bits)
             span = _range_start(int(o) + 1, owners, bits) - low
-            yield (chunk, int(o), None, None, None, None, None, len(sent),
+            yield (chunk, int(o), None, None, None, None, None, None, len(sent),
                    rice_encode(sent - np.uint64(low), span))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +141,9 @@ def entries(docs: DataFrame, rows: int, owners: int, text_col: str, id_col: str)
             held: dict[bytes, list] = {}
             size = count = 0
             for batch in it:
-                for doc_id, text in zip(batch.column(0).to_pylist(), utf8_rows(batch.column(1))):
-                    held.setdefault(t := normalise(text), []).append(doc_id)
+                for doc_id, text, row_key in zip(batch.column(0).to_pylist(), utf8_rows(batch.column(1)),
+                                                 batch.column(2).to_pylist()):
+                    held.setdefault(t := normalise(text), []).append((doc_id, row_key))
                     size, count = size + len(t), count + 1
                     if size >= CHUNK_BYTES or count >= CHUNK_ROWS:
                         yield from close(chunk, held)
@@ -149,10 +153,15 @@ def entries(docs: DataFrame, rows: int, owners: int, text_col: str, id_col: str)
 
         yield from batches(rows_out(), _ENTRY, 512)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), key
                        ).mapInArrow(run, _ENTRY_DDL)
 
 
+def _row_order(row: tuple[int | None, int]) -> tuple:
+    """Rows (id, row key) by id, then row key; null ids last."""
+    return row[0] is None, row[0] or 0, row[1]
+
+
 def _range_start(owner: int, owners: int, bits: int) -> int:
     """Smallest fingerprint f with f * owners >> bits == owner."""
     return -(-(owner << bits) // owners)
@@ -204,7 +213,7 @@ def _suspects(table: DataFrame, folder: str) -> DataFrame:
 
     return (table.filter("rank IS NOT NULL").select(*schema.names)
             .mapInArrow(run, "chunk long, owner int, rank int, sha binary, check long, text binary, "
-                        "ids array<long>"))
+                        "ids array<long>, keys array<long>"))
 
 
 def _selector(path: str):
@@ -213,35 +222,36 @@ def _selector(path: str):
     return fs.FileSelector(path)
 
 
-def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 per row of ``docs``."""
+def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+                 key_col: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 per row of ``docs``;
+    with ``key_col``, a stored long that is unique per row, also that as
+    row_key."""
     spark = docs.sparkSession
     rows = docs.count()
     owners = max(16, -(-rows // ROWS_PER_OWNER))
-    table = materialize(entries(docs, rows, owners, text_col, id_col), "dedup-entries")
+    key = F.col(key_col) if key_col else F.monotonically_increasing_id()
+    table = materialize(entries(docs, rows, owners, text_col, id_col, key), "dedup-entries")
     folder = scratch_path(spark, "dedup-bitmaps")
     bitmaps = duplicate_bitmaps(table.filter("rank IS NULL"))
     (bitmaps.repartition(tasks_for(spark, rows, CHUNK_ROWS), "chunk")
      .write.partitionBy("chunk").parquet(folder))
 
-    found = _suspects(table, folder).select(
-        "chunk", "sha", "check", "text", F.size("ids").alias("n"), F.array_min("ids").alias("low"))
+    # the first row of an entry: null ids last, then by id and row key
+    first = F.struct(F.col("ids")[0].isNull().alias("no_id"), F.col("ids")[0].alias("id"),
+                     F.col("keys")[0].alias("key"))
+    found = _suspects(table, folder).select("sha", "check", "text", F.size("ids").alias("n"),
+                                            first.alias("first"))
     groups = materialize(
-        found.groupBy("sha", "check", "text").agg(F.min("low").alias("keep_id"), F.sum("n").alias("group_size"),
-                                         F.coalesce(F.min_by("chunk", "low"), F.min("chunk")).alias("at"))
+        found.groupBy("sha", "check", "text").agg(F.min("first").alias("keep"), F.sum("n").alias("group_size"))
         .drop("text"), "dedup-groups")
-    own = table.filter("rank IS NOT NULL").select("chunk", "sha", "check", "ids")
-    low = F.array_min("ids")
+    own = table.filter("rank IS NOT NULL").select("sha", "check", "ids", "keys")
     # an entry outside the groups is a group of its own
     joined = own.join(groups, ["sha", "check"], "left").select(
-        "ids", "sha",
-        F.when(F.col("at").isNull(), low).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.size("ids").cast("long")).alias("group_size"),
-        (F.col("at").isNull() | (F.col("at") == F.col("chunk"))).alias("here"))
-    first = F.when(F.col("keep_id").isNull(), F.lit(0)).otherwise(
-        F.array_position("ids", F.col("keep_id")) - 1)
-    return joined.select("keep_id", "group_size", "sha", "here", first.alias("first"),
-                         F.posexplode("ids").alias("pos", "doc_id")).select(
-        "doc_id", "keep_id", "group_size",
-        (F.col("here") & (F.col("pos") == F.col("first"))).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"))
+        "ids", "keys", "sha", F.coalesce("keep", first).alias("keep"),
+        F.coalesce("group_size", F.size("ids").cast("long")).alias("group_size"))
+    return joined.select("keep", "group_size", "sha", F.explode(F.arrays_zip("ids", "keys")).alias("row")).select(
+        F.col("row.ids").alias("doc_id"), F.col("keep.id").alias("keep_id"), "group_size",
+        (F.col("row.keys") == F.col("keep.key")).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
+        *([F.col("row.keys").alias("row_key")] if key_col else []))

@@ -30,9 +30,12 @@ links with pointer jumping, each round written to the shared folder.
 Exact copies meet as one fingerprint before any search (a grouped minimum with
 a map-side step), so a group of copies of any size costs one row per task.
 
+Every row has a row key.  Components are told apart by their smallest row key,
+and the first row of a component, by doc_id (nulls last) and row key, names it.
+
 Edge cases: null text counts as empty (fingerprint 0, linked like any other);
 a null doc_id is never a component id, a component of null ids has a null id;
-repeated rows are kept; an empty table gives an empty result; other columns are
+repeated rows are listed; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -80,20 +83,22 @@ def fingerprint(text: bytes | None, shingle_words: int = 3, seed: int = SEED) ->
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-                 shingle_words: int = 3, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long) per row."""
-    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+                 shingle_words: int = 3, seed: int = SEED, key_col: str | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint's 64 bits as a signed long), row_key per
+    row; the key is ``key_col`` or else a new one."""
+    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("row_key", pa.int64())])
+    key = F.col(key_col) if key_col else F.monotonically_increasing_id()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             fps = np.fromiter((fingerprint(t, shingle_words, seed)
                                for t in utf8_rows(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))],
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)],
                                              schema=out)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                       F.col(text_col).cast("string").alias("text")
-                       ).mapInArrow(run, "doc_id long, fp long")
+                       F.col(text_col).cast("string").alias("text"), key.alias("row_key")
+                       ).mapInArrow(run, "doc_id long, fp long, row_key long")
 
 
 # --- the index ----------------------------------------------------------------
@@ -300,17 +305,24 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicate_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                           shingle_words: int = 3, max_bits: int = 3, seed: int = SEED,
-                          node_rows: int = NODE_ROWS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id per row of ``docs``."""
-    fps = materialize(fingerprints(docs, text_col, id_col, shingle_words, seed), "simhash-fp")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("min_id")), "simhash-nodes")
+                          node_rows: int = NODE_ROWS, key_col: str | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id per row of ``docs``;
+    with ``key_col``, a stored long that is unique per row, also that as
+    row_key and whether the row is the first of its component (kept)."""
+    fps = materialize(fingerprints(docs, text_col, id_col, shingle_words, seed, key_col), "simhash-fp")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"),
+                     F.col("row_key").alias("key"))
+    nodes = materialize(fps.groupBy("fp").agg(F.min("row_key").alias("min_id"), F.min(first).alias("first")),
+                        "simhash-nodes")
     links = materialize(linked(nodes, max_bits, node_rows), "simhash-links")
-    found = components(nodes, links)
-    # written, so that both inputs of the last join are fresh scans and AQE can
-    # split a fingerprint that many rows share
-    ids = materialize(nodes.join(found, "fp", "left")
-                      .select("fp", F.when(F.col("component_id").isNull(), F.col("min_id"))
-                              .otherwise(F.col("component_id")).alias("component_id")), "simhash-ids")
-    return (fps.join(ids, "fp")
-            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                    "component_id"))
+    found = materialize(components(nodes.select("fp", "min_id"), links), "simhash-found")
+    # written, so that both inputs of the joins below are fresh scans and AQE can
+    # split a component or a fingerprint that many rows share
+    firsts = materialize(nodes.join(found, "fp").groupBy("component_id").agg(F.min("first").alias("component_first")),
+                         "simhash-firsts")
+    ids = materialize(nodes.join(found.join(firsts, "component_id"), "fp", "left")
+                      .select("fp", F.coalesce("component_first", "first").alias("keep")), "simhash-ids")
+    return fps.join(ids, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("keep.id").alias("component_id"),
+        *(["row_key", (F.col("row_key") == F.col("keep.key")).alias("kept")] if key_col else []))

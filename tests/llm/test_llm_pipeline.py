@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from cases import SF, edge_docs, rows_of, sf_docs
+from cases import EDGE_TEXTS, SF, edge_docs, rows_of, sf_docs
 from test_llm_packing import check_layout, plain_pieces
 from test_llm_simhash import plain_components, plain_fingerprint
 
@@ -71,3 +71,30 @@ def test_stages_on_edge_rows(spark):
         empty = f(spark, docs.limit(0), SF)
         assert empty.dtypes == docs.dtypes and empty.count() == 0
     assert rows_of(cp.STAGES[-1][1](spark, docs.limit(0), SF)) == []
+
+
+def test_dedup_stages_keep_one_row_of_each_group(spark):
+    """Repeated rows, rows without an id, and ids that rows of other texts share."""
+    texts = EDGE_TEXTS + [
+        (None, "no id on either row"), (None, "no id on either row"), (20, "one row twice over"),
+        (20, "one row twice over"), (20, "other words below the same id"), (21, "the cat sat on the mat"),
+        (21, "words that only this row has"), (None, "one row twice over")]
+    docs = edge_docs(spark, texts).repartition(5)
+
+    def survivors(group_of):
+        groups = {}
+        for (i, t), g in zip(texts, group_of):
+            groups.setdefault(g, []).append((i is None, i or 0))
+        return sorted((None if none else i) or -1 for none, i in map(min, groups.values()))
+
+    def left(df):
+        return sorted(r.doc_id or -1 for r in df.select("doc_id").collect())
+
+    exact = cp.drop_exact_copies(spark, docs, SF)
+    assert left(exact) == survivors([re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in texts])
+    assert exact.dtypes == docs.dtypes
+    # components by the row's place: every row has an id of its own
+    near = plain_components([(n, plain_fingerprint(t)) for n, (_, t) in enumerate(texts)])
+    assert left(cp.drop_near_copies(spark, docs, SF)) == survivors(near)
+    clash = docs.withColumn("row_key", docs["doc_id"])
+    assert left(cp.drop_exact_copies(spark, clash, SF)) == left(exact)
