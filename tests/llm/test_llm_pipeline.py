@@ -98,3 +98,17 @@ def test_dedup_stages_keep_one_row_of_each_group(spark):
     assert left(cp.drop_near_copies(spark, docs, SF)) == survivors(near)
     clash = docs.withColumn("row_key", docs["doc_id"])
     assert left(cp.drop_exact_copies(spark, clash, SF)) == left(exact)
+
+
+def test_language_filter_keeps_unsure_documents(spark):
+    """Short texts, and texts in two languages, among languages that share most words."""
+    langs = {f"l{k}": [f"{c}{c}{c}" for c in "abcdefgh"[2 * k:2 * k + 2]] for k in range(4)}
+    rows = [(100 * k + n, " ".join(["the", "common", "words", *(w if n % 2 else [])] * (1 + n % 3)), name)
+            for k, (name, w) in enumerate(langs.items()) for n in range(40)]
+    clean = [(1000 + n, t, "l0") for n, t in enumerate(
+        ["the", "common", "words", "the common words", "aaa bbb ccc ddd", "aaa ccc eee ggg", "the aaa words ggg"])]
+    gone = [(2000, "12 34 !!", "l0"), (2001, "", "l0"), (2002, None, "l0")]
+    docs = spark.createDataFrame(rows + clean + gone, "doc_id long, text string, lang string")
+    scores = {r.doc_id: r.score for r in predict_language(docs).collect()}
+    assert min(scores[i] for i, _, _ in clean) < 0.5
+    assert ids(cp.language_filter(spark, docs, SF)) == sorted(i for i, _, _ in rows + clean)
