@@ -37,8 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import materialize, utf8_rows
-from tarmac.llm.words import default_vocab, word_ids
+from tarmac.llm.common import materialize
+from tarmac.llm.textids import text_ids
+from tarmac.llm.words import default_vocab
 
 CAPACITY = 4096
 END_ID = 1
@@ -57,11 +58,11 @@ def pieces(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY,
     end = np.array([end_id], "<u4").tobytes()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(vocab)
+        ids_of = text_ids(vocab)
         for batch in it:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of(utf8_rows(batch.column(1)))):
-                ids += end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of(batch.column(1))):
+                ids = ids.tobytes() + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     for col, v in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))):
