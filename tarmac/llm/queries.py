@@ -8,8 +8,8 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import (bpe, exact_dedup, langid, licenses, packing, quality, simhash, tokcount, topk,
-                        warc)
+from tarmac.llm import (bpe, exact_dedup, langid, licenses, mixture, packing, quality, ranked, simhash,
+                        tokcount, topk, warc)
 from tarmac.llm.common import crc_bucket, read_table, ship_package
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(read_table(spark, sf_dir, "documents"), shingle_words=3, max_bits=3)
 
 
+def op11_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents of every benchmark item."""
+    return ranked.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of 4096 tokens that hold the mixture of sources."""
+    return mixture.pack(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,7 +110,7 @@ def _registered(op: QueryFn) -> QueryFn:
 
 def queries() -> dict[str, QueryFn]:
     ops = [op1_topk, op2_quality, op3_bpe, op4_warc, op5_packing, op6_licenses, op7_token_counts,
-           op8_langid, op9_exact_dedup, op10_simhash, pipeline]
+           op8_langid, op9_exact_dedup, op10_simhash, op11_nra, op13_mixture, pipeline]
     return {f.__name__: _registered(f) for f in ops}
 
 
@@ -185,7 +195,38 @@ SELECT doc.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_b
 FROM doc LEFT JOIN per USING (doc_id)
 """
 
+_RANKED_SQL = r"""
+WITH term AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), doc AS (
+  SELECT row_number() OVER () AS d, doc_id, w, len(w)::BIGINT AS n FROM term WHERE len(w) > 0
+), whole AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS l FROM doc
+), tf AS (
+  SELECT d, t, count(*)::BIGINT AS tf FROM (SELECT d, unnest(w) AS t FROM doc) AS words GROUP BY d, t
+), weight AS (
+  SELECT t, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tf, whole GROUP BY t, n_docs
+), item AS (
+  SELECT i, item_id, unnest(list_distinct(w)) AS t FROM (
+    SELECT row_number() OVER () AS i, item_id, regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM benchmark) AS texts
+), scored AS (
+  SELECT i, any_value(item_id) AS item_id, any_value(doc_id) AS doc_id,
+         sum(weight.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // l))))::BIGINT AS score
+  FROM item JOIN tf USING (t) JOIN weight USING (t) JOIN doc USING (d), whole GROUP BY i, d
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank
+  FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_topk": _TOPK_SQL, "op4_warc": _WARC_SQL, "op6_licenses": _LICENSE_SQL,
-            "op9_exact_dedup": _DEDUP_SQL}
+            "op9_exact_dedup": _DEDUP_SQL, "op11_nra": _RANKED_SQL}

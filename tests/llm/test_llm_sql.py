@@ -30,4 +30,4 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_registered_names():
-    assert [n.split("_")[0] for n in queries()] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in queries()] == [*(f"op{i}" for i in range(1, 14)), "pipeline"]
