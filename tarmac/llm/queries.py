@@ -8,8 +8,8 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import (bpe, exact_dedup, langid, licenses, mixture, packing, quality, ranked, simhash,
-                        tokcount, topk, warc)
+from tarmac.llm import (bpe, collocations, exact_dedup, langid, licenses, mixture, packing, quality,
+                        ranked, simhash, tokcount, topk, warc)
 from tarmac.llm.common import crc_bucket, read_table, ship_package
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,11 @@ def op11_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest collocations of every language."""
+    return collocations.top(collocations.collocations(read_table(spark, sf_dir, "documents")))
+
+
 def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of 4096 tokens that hold the mixture of sources."""
     return mixture.pack(read_table(spark, sf_dir, "documents"))
@@ -110,7 +115,8 @@ def _registered(op: QueryFn) -> QueryFn:
 
 def queries() -> dict[str, QueryFn]:
     ops = [op1_topk, op2_quality, op3_bpe, op4_warc, op5_packing, op6_licenses, op7_token_counts,
-           op8_langid, op9_exact_dedup, op10_simhash, op11_nra, op13_mixture, pipeline]
+           op8_langid, op9_exact_dedup, op10_simhash, op11_nra, op12_collocations,
+           op13_mixture, pipeline]
     return {f.__name__: _registered(f) for f in ops}
 
 
@@ -226,7 +232,50 @@ SELECT item_id, rank, doc_id, score FROM (
   FROM scored WHERE score > 0) WHERE rank <= 10
 """
 
+# words of a piece as a list; every run of one to five of them
+_PHRASE_SQL = r"""
+WITH text AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), piece AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM text
+), gram AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM piece) AS p, range(1, 6) AS t(k)
+  WHERE i + k - 1 <= len(w)
+), f AS (
+  SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM gram GROUP BY ALL HAVING count(*) >= 100
+), whole AS (
+  SELECT lang, sum(len(w))::HUGEINT AS n FROM piece GROUP BY lang
+), cand AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k >= 2
+), part AS (
+  SELECT lang, k, phrase, f, w, unnest(range(1, k)) AS cut FROM cand
+), scored AS (
+  SELECT part.*, x.f AS l, y.f AS r, n, (1000 * part.f * n) // (x.f * y.f) AS score
+  FROM part
+  JOIN f AS x ON x.lang = part.lang AND x.k = cut AND x.phrase = array_to_string(part.w[1:cut], ' ')
+  JOIN f AS y ON y.lang = part.lang AND y.k = part.k - cut AND y.phrase = array_to_string(part.w[cut + 1:], ' ')
+  JOIN whole ON whole.lang = part.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, cut) = 1
+), inside AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, max(f) AS f
+  FROM (SELECT lang, k, f, w, size, unnest(range(1, k - size + 2)) AS i
+        FROM cand, range(2, 5) AS t(size) WHERE size < k) AS sub
+  GROUP BY ALL
+)
+SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, best.f DESC, best.phrase) AS rank,
+       best.phrase, best.f::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM best LEFT JOIN inside ON inside.lang = best.lang AND inside.size = best.k AND inside.phrase = best.phrase
+WHERE inside.f IS NULL OR 100 * inside.f < 100 * best.f
+QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_topk": _TOPK_SQL, "op4_warc": _WARC_SQL, "op6_licenses": _LICENSE_SQL,
-            "op9_exact_dedup": _DEDUP_SQL, "op11_nra": _RANKED_SQL}
+            "op9_exact_dedup": _DEDUP_SQL, "op11_nra": _RANKED_SQL,
+            "op12_collocations": _PHRASE_SQL}

@@ -1,0 +1,120 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from cases import _EXTRA_ROW, EXTRA, edge_docs, rows_of, sf_docs
+
+from tarmac.llm import collocations as col
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute(docs, min_count, max_words=5, limit=2000):
+    """(lang, rank, phrase, a, l, r, n, score) of (lang, text) rows."""
+    f, n = {}, Counter()
+    for lang, text in docs:
+        lang = lang or "und"
+        for piece in re.split(r"[.,;:!?\n\x0b\x0c\r]", (text or "").translate(LOWER)):
+            words = re.findall("[^ \t]+", piece)
+            n[lang] += len(words)
+            for k in range(1, max_words + 1):
+                for i in range(len(words) - k + 1):
+                    f.setdefault(lang, Counter())[tuple(words[i:i + k])] += 1
+    out = []
+    for lang, count in f.items():
+        cands = {p: a for p, a in count.items() if len(p) > 1 and a >= min_count}
+        inside = {}
+        for p, a in cands.items():
+            for k in range(2, len(p)):
+                for i in range(len(p) - k + 1):
+                    inside[p[i:i + k]] = max(inside.get(p[i:i + k], 0), a)
+        rows = []
+        for p, a in cands.items():
+            if inside.get(p, 0) >= a:
+                continue
+            score, _, left, rest = min((1000 * a * n[lang] // (count[p[:k]] * count[p[k:]]), k, count[p[:k]], count[p[k:]])
+                                       for k in range(1, len(p)))
+            rows.append((-score, -a, " ".join(p).encode(), left, rest))
+        out += [(lang, i + 1, p.decode(), -a, left, rest, n[lang], -score)
+                for i, (score, a, p, left, rest) in enumerate(sorted(rows)[:limit])]
+    return sorted(out)
+
+
+def found(docs, min_count, max_words=5, limit=2000):
+    return sorted(rows_of(col.top(col.collocations(docs, min_count, max_words), limit)))
+
+
+def plain(docs):
+    return [(r["lang"], r["text"]) for r in docs.select("lang", "text").collect()]
+
+
+def random_docs(spark, seed, n=300):
+    rng = random.Random(seed)
+    words = ["a", "b", "c", "dd", "É", "x-y", "the", "w w"]
+    rows = [(i, "".join(rng.choice(words) + rng.choice([" "] * 8 + ["\t", ". ", ",", "\n", "  "])
+                        for _ in range(rng.randint(0, 40))), rng.choice(["en", "de", None, "und"]), *_EXTRA_ROW)
+            for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, " + EXTRA)
+
+
+@pytest.mark.parametrize("seed,min_count,max_words", [(1, 5, 5), (2, 20, 5), (3, 3, 3), (4, 3, 2), (5, 2, 6)])
+def test_random_texts(spark, monkeypatch, seed, min_count, max_words):
+    monkeypatch.setattr(col, "CHUNK_BYTES", 700)
+    docs = random_docs(spark, seed).repartition(3)
+    assert found(docs, min_count, max_words) == brute(plain(docs), min_count, max_words)
+
+
+def test_documents(spark, monkeypatch):
+    monkeypatch.setattr(col, "CHUNK_BYTES", 100_000)
+    docs = sf_docs(spark)
+    assert found(docs, 12, limit=50) == brute(plain(docs), 12, limit=50)
+
+
+def test_without_and_with_few_buckets(spark, monkeypatch):
+    docs = random_docs(spark, 7)
+    want = brute(plain(docs), 8)
+    monkeypatch.setattr(col, "FULL", 0)
+    assert found(docs, 8) == want
+    monkeypatch.setattr(col, "FULL", 1 << 40)
+    monkeypatch.setattr(col, "MAX_BUCKETS", 1 << 10)
+    assert found(docs, 8) == want
+
+
+def test_edges(spark):
+    docs = edge_docs(spark)
+    assert found(docs, 4) == brute(plain(docs), 4)
+
+
+def test_ties_and_nested_phrases(spark):
+    docs = spark.createDataFrame([("en", "new york city hall. new york. old york city. b c. c b")] * 6 + [("de", "b c")] * 6,
+                                 "lang string, text string")
+    got = found(docs, 6)
+    assert got == brute(plain(docs), 6)
+    assert "york city hall" not in {r[2] for r in got} and "new york city hall" in {r[2] for r in got}
+
+
+def test_extension_counts(spark):
+    docs = spark.createDataFrame([("en", "a b c")] * 5 + [("en", "a b d")] * 4 + [("en", "a b")], "lang string, text string")
+    rows = {r["phrase"]: (r["left"], r["right"]) for r in col.collocations(docs, 4).collect()}
+    assert rows["a b"] == (None, 5) and rows["a b c"] == (None, None)
+
+
+def test_empty_table(spark):
+    assert found(edge_docs(spark, []), 1) == [] and found(edge_docs(spark, [(1, None), (2, " ."), (3, "x")]), 1) == []
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_intervals_hold_all_phrases(seed):
+    """Extension from all words finds every phrase with its exact count."""
+    rng = np.random.default_rng(seed)
+    words = rng.integers(0, 4, 400)
+    index = col.Index.unpack(col.Index.of(words, np.arange(3) + 10, 5).pack())
+    lo, rlo, n = index.words()
+    phrase = [(i,) for i in range(1, 4)]
+    for k in range(2, 6):
+        lo, rlo, n, prefix, suffix = index.extend(lo, rlo, n)
+        phrase = [phrase[p] + phrase[s][-1:] for p, s in zip(prefix, suffix)]
+        want = Counter(tuple(words[i:i + k].tolist()) for i in range(401 - k) if words[i:i + k].all())
+        assert dict(zip(phrase, n.tolist())) == want
