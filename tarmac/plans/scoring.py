@@ -17,7 +17,10 @@ Plan shape (one job per query, all built-in operators):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+from typing import Iterable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac import params as P
@@ -27,6 +30,8 @@ from tarmac.operators.dedupe import keep_first
 from tarmac.operators.fanout import count_join_rows
 from tarmac.operators.ranking import rank_within_groups, spread_sort
 from tarmac.operators.skew import join_unique
+from tarmac.sources.published import Manifest, PublishedTable
+from tarmac.sources.schemas import FLIGHT_DIFFICULTY
 from tarmac.sources.tables import FlightTables
 
 KEY = list(P.FLIGHT_KEY)
@@ -202,36 +207,39 @@ def params_from_data(t: FlightTables, base: P.ScoreParams = P.SCORE_PRESET,
 
 # -------------------------------------------------------------------- sink
 
-def write_flight_difficulty(ranked: DataFrame, path: str) -> None:
-    """Store the ranking as ``flight_difficulty`` partitioned by departure date.
+def flight_difficulty_store(spark: SparkSession, path: str) -> PublishedTable:
+    return PublishedTable(spark, path, FLIGHT_DIFFICULTY, DATE)
+
+
+def write_flight_difficulty(ranked: DataFrame, path: str, dates: Iterable[dt.date | None] = (),
+                            batch: tuple[str, int] | None = None) -> Manifest:
+    """Store the ranking as ``flight_difficulty``, partitioned by departure date.
 
     The ranking's sorted table already holds every date in one contiguous run,
-    so its rows are written as they come, without another shuffle: a file of
+    so its rows are staged as they come, without another shuffle: a file of
     that table is part of one or a few dates, and a busy date is spread over
     the tasks that read its files.  Only a table of few files with many dates
     (a small backfill) is dealt over the cores by date, since the cost is then
-    in making the folders.  Dynamic partition overwrite replaces only the dates
-    present, so a daily run rewrites its own days and leaves the others.
+    in making the folders.  One rename then publishes the dates present, so a
+    daily run replaces its own days and leaves the others, and readers see all
+    of them change at once.  ``dates`` are replaced too: one without a row goes.
+    ``batch`` (stream, number) is published once.
     """
     cores = ranked.sparkSession.sparkContext.defaultParallelism
     if len(ranked.inputFiles()) < cores:
         tasks = min(cores, ranked.select(DATE).distinct().count())
         if tasks > 1:
             ranked = ranked.repartitionByRange(tasks, F.col(DATE).asc_nulls_first(), F.col("daily_rank"))
-    (ranked.write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic")
-     .partitionBy(DATE)
-     .parquet(path))
-
+    store = flight_difficulty_store(ranked.sparkSession, path)
+    return store.publish(store.stage(ranked), remove=dates, batch=batch)
 
-def read_flight_difficulty(spark, path: str) -> DataFrame:
-    from tarmac.sources.schemas import FLIGHT_DIFFICULTY
 
-    df = spark.read.schema(FLIGHT_DIFFICULTY).parquet(path)
-    return df.select([f.name for f in FLIGHT_DIFFICULTY.fields])
+def read_flight_difficulty(spark: SparkSession, path: str, dates: Iterable[dt.date | None] | None = None) -> DataFrame:
+    """The newest published ranking, or only some dates of it."""
+    return flight_difficulty_store(spark, path).read(dates)
 
 
-__all__ = ["daily_ranking", "dedupe_bookings", "difficulty_scores", "normalized_features",
+__all__ = ["daily_ranking", "dedupe_bookings", "difficulty_scores", "flight_difficulty_store", "normalized_features",
            "params_from_data", "passenger_loads", "range_ground_time", "range_load_factor",
            "range_ssr", "range_transfer_ratio", "read_flight_difficulty",
            "ssr_counts", "transfer_ratio_by_flight", "write_flight_difficulty", "booking_features"]

@@ -139,11 +139,6 @@ def _delete_owned() -> None:
         pass
 
 
-def delete_folders(spark: SparkSession, base: str, names: list[str]) -> int:
-    """Remove the sub-folders ``names`` of ``base``; returns how many existed."""
-    return _delete(spark, [f"{base.rstrip('/')}/{n}" for n in names])
-
-
 def clear_scratch(spark: SparkSession) -> int:
     """Delete this process's scratch tables (sorted tables of the ranking and
     similar).  Call it when the DataFrames built on them are no longer needed.
