@@ -15,10 +15,12 @@ from pyspark.sql import types as T
 
 from tarmac import params as P
 from tarmac.functions.columns import round6
-from tarmac.plans import eda, features, insights, scoring
+from tarmac.plans import eda, facts, features, scoring
 from tarmac.plans.cleaning import TAG
+from tarmac.plans.facts import FlightFacts
 from tarmac.session import result_path, scratch_scope
-from tarmac.sources.standin import standin_tables
+from tarmac.sources.derived import derived
+from tarmac.sources.standin import source_files, standin_tables
 from tarmac.sources.tables import FlightTables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -39,13 +41,26 @@ def _bag_types(t: FlightTables) -> DataFrame:
     return t.bags_of(*P.FLIGHT_KEY, "bag_type")
 
 
-def _flight_difficulty_table(spark: SparkSession, t: FlightTables) -> DataFrame:
+def _stored_ranking(spark: SparkSession, ranked: Callable[[], DataFrame]) -> DataFrame:
     path = result_path(spark, "flight_difficulty")
     with scratch_scope(spark):          # the ranking's sorted table goes once the result is stored
-        scoring.write_flight_difficulty(scoring.daily_ranking(t, sort=False), path)
+        scoring.write_flight_difficulty(ranked(), path)
     return scoring.read_flight_difficulty(spark, path)
 
 
+def _flight_difficulty_table(spark: SparkSession, t: FlightTables) -> DataFrame:
+    return _stored_ranking(spark, lambda: scoring.daily_ranking(t, sort=False))
+
+
+def flight_facts(spark: SparkSession, sf_dir: str) -> FlightFacts:
+    """The facts of ``sf_dir``, stored when a query of this application first
+    needs them.  Its dates hold few rows each, hence parts of many days."""
+    def build(path: str) -> None:
+        FlightFacts(spark, path, days_per_part=400).build(tables(spark, sf_dir))
+
+    return FlightFacts(spark, derived(spark, "facts", source_files(sf_dir), build))
+
+
 _PLANS: dict[str, Callable[[SparkSession, FlightTables], DataFrame]] = {
     # cleaning
     "clean_flights": lambda s, t: t.flights,
@@ -80,33 +95,34 @@ _PLANS: dict[str, Callable[[SparkSession, FlightTables], DataFrame]] = {
     "temporal_features": lambda s, t: features.temporal_features(t.flights),
     # normalisation ranges
     "range_ground_time": lambda s, t: scoring.range_ground_time(t.flights),
-    "range_transfer_ratio": lambda s, t: scoring.range_transfer_ratio(_bag_types(t)),
-    "range_ssr": lambda s, t: scoring.range_ssr(t),
-    "range_load_factor": lambda s, t: scoring.range_load_factor(t),
+}
+
+# queries of the stored facts
+_FACT_PLANS: dict[str, Callable[[SparkSession, FlightFacts], DataFrame]] = {
+    "range_transfer_ratio": lambda s, f: facts.range_of(f, "tr"),
+    "range_ssr": lambda s, f: facts.range_of(f, "ssr"),
+    "range_load_factor": lambda s, f: facts.range_of(f, "lf"),
     # score, rank, store
-    "normalized_features": lambda s, t: scoring.normalized_features(t, P.NORMALIZE_PRESET),
-    "difficulty_score": lambda s, t: scoring.difficulty_scores(t, P.SCORE_PRESET),
-    "daily_ranking": lambda s, t: scoring.daily_ranking(t, P.SCORE_PRESET),
-    "daily_ranking_ssr10": lambda s, t: scoring.daily_ranking(
-        t, P.SCORE_PRESET.with_bounds(max_ssr=10)),
-    "flight_difficulty_table": _flight_difficulty_table,
+    "normalized_features": lambda s, f: facts.normalized_features(f, P.NORMALIZE_PRESET),
+    "difficulty_score": lambda s, f: facts.difficulty_scores(f, P.SCORE_PRESET),
+    "daily_ranking": lambda s, f: facts.daily_ranking(f, P.SCORE_PRESET),
+    "daily_ranking_ssr10": lambda s, f: facts.daily_ranking(f, P.SCORE_PRESET.with_bounds(max_ssr=10)),
+    "flight_difficulty_table": lambda s, f: _stored_ranking(s, lambda: facts.daily_ranking(f, sort=False)),
     # destination roll-ups
-    "hard_destinations_above_avg": lambda s, t: insights.hard_destinations_above_avg(
-        t.flights, scoring.difficulty_scores(t, P.SCORE_PRESET, sort=False)),
-    "hard_destinations_majority": lambda s, t: insights.hard_destinations_majority(
-        t.flights, scoring.daily_ranking(t, P.SCORE_PRESET, sort=False)),
+    "hard_destinations_above_avg": lambda s, f: facts.hard_destinations_above_avg(f),
+    "hard_destinations_majority": lambda s, f: facts.hard_destinations_majority(f),
 }
 
 
 def _registered(name: str) -> QueryFn:
-    plan = _PLANS[name]
-
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return check_view(plan(spark, tables(spark, sf_dir)))
+        if name in _FACT_PLANS:
+            return check_view(_FACT_PLANS[name](spark, flight_facts(spark, sf_dir)))
+        return check_view(_PLANS[name](spark, tables(spark, sf_dir)))
 
     run.__name__ = name
     return run
 
 
 def queries() -> dict[str, QueryFn]:
-    return {name: _registered(name) for name in _PLANS}
+    return {name: _registered(name) for name in (*_PLANS, *_FACT_PLANS)}

@@ -20,7 +20,8 @@ from __future__ import annotations
 import datetime as dt
 from typing import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac import params as P
@@ -120,7 +121,13 @@ def _scores(p: P.ScoreParams) -> list:
 def normalized_features(t: FlightTables, p: P.ScoreParams = P.NORMALIZE_PRESET) -> DataFrame:
     """The four normalised features per flight row (unclamped).  The
     service-request score is an integer division, as in the source."""
-    return _flight_inputs(t).select(*KEY, *_scores(p))
+    return normalized_from(_flight_inputs(t), p)
+
+
+def normalized_from(inputs: DataFrame, p: P.ScoreParams) -> DataFrame:
+    """The normalised features of flight rows that carry their key's bag ratio,
+    service requests and loads."""
+    return inputs.select(*KEY, *_scores(p))
 
 
 def difficulty_score_col(p: P.ScoreParams):
@@ -131,7 +138,11 @@ def difficulty_score_col(p: P.ScoreParams):
 def difficulty_scores(t: FlightTables, p: P.ScoreParams = P.SCORE_PRESET,
                       sort: bool = True) -> DataFrame:
     """Normalised features plus the weighted score, highest first."""
-    df = normalized_features(t, p).withColumn("difficulty_score", difficulty_score_col(p))
+    return scores_from(_flight_inputs(t), p, sort)
+
+
+def scores_from(inputs: DataFrame, p: P.ScoreParams, sort: bool = True) -> DataFrame:
+    df = normalized_from(inputs, p).withColumn("difficulty_score", difficulty_score_col(p))
     if not sort:
         return df
     return spread_sort(df, F.col("difficulty_score").desc_nulls_first(),
@@ -151,7 +162,11 @@ def daily_ranking(t: FlightTables, p: P.ScoreParams = P.SCORE_PRESET,
     """Rank per departure date by score and label the top, middle and bottom
     third (integer thirds of the day's flight count).  With ``sort`` the
     output is ordered by date and rank (skip it when storing the result)."""
-    scored = difficulty_scores(t, p, sort=False)
+    return ranking_from(_flight_inputs(t), p, sort)
+
+
+def ranking_from(inputs: DataFrame, p: P.ScoreParams, sort: bool = True) -> DataFrame:
+    scored = scores_from(inputs, p, sort=False)
     ranked = rank_within_groups(scored, by=[DATE], order=rank_order(),
                                 rank_col="daily_rank", size_col="total_flights", in_order=sort)
     return ranked.select(
@@ -190,19 +205,44 @@ def range_load_factor(t: FlightTables) -> DataFrame:
 
 def params_from_data(t: FlightTables, base: P.ScoreParams = P.SCORE_PRESET,
                      keep_min_ssr: bool = True) -> P.ScoreParams:
-    """Fill the bounds from the four range queries (the source's workflow:
-    compute ranges, then use them as constants).  Runs four small jobs, each
-    returning one row."""
-    g = range_ground_time(t.flights).first()
-    tr = range_transfer_ratio(t.bags_of(*KEY, "bag_type")).first()
-    s = range_ssr(t).first()
-    lf = range_load_factor(t).first()
-    bounds = dict(min_ground=float(g.min_ground), max_ground=int(g.max_ground),
-                  min_tr=float(tr.min_tr), max_tr=float(tr.max_tr),
-                  max_ssr=int(s.max_ssr), min_lf=float(lf.min_lf), max_lf=float(lf.max_lf))
-    if not keep_min_ssr:
-        bounds["min_ssr"] = int(s.min_ssr)
-    return base.with_bounds(**bounds)
+    """Fill the bounds from the data (the source's workflow: compute ranges, then
+    use them as constants) in one action: the scoring plan runs once, and the
+    four ranges are observed where their rows pass by.  The bag ratio and the
+    service requests are observed per flight key, before the flights join."""
+    seen = {name: Observation(f"range_{name}") for name in ("keys", "flights", "loads")}
+    g, tr = F.col("scheduled_ground_time_minutes"), F.col("transfer_to_checked_ratio")
+    ssr = F.col("num_special_service_requests")
+    flights = t.flights.select(*KEY, "scheduled_ground_time_minutes", "total_seats").observe(
+        seen["flights"], F.min(F.when(g > 0, g)).alias("min_ground"), F.max(F.when(g > 0, g)).alias("max_ground"))
+    per_key = transfer_ratio_by_flight(t.bags_of(*KEY, "bag_type")).join(
+        booking_features(t.remarks, t.bookings), on=KEY, how="full").observe(
+        seen["keys"], F.min(tr).alias("min_tr"), F.max(tr).alias("max_tr"),
+        F.min(ssr).alias("min_ssr"), F.max(ssr).alias("max_ssr"))
+    load = ratio("seat_occupying_passengers", "total_seats").alias("load_factor")
+    loads = join_unique(flights, per_key, KEY, how="left").select(load).observe(
+        seen["loads"], F.min("load_factor").alias("min_lf"), F.max("load_factor").alias("max_lf"))
+    loads.write.format("noop").mode("overwrite").save()
+    # a part of the plan that Spark drops, as one of its tables is empty, observes nothing
+    instead = {"flights": lambda: [range_ground_time(t.flights)],
+               "keys": lambda: [range_transfer_ratio(t.bags_of(*KEY, "bag_type")), range_ssr(t)],
+               "loads": lambda: [range_load_factor(t)]}
+    found = {}
+    for name, o in seen.items():
+        try:
+            found |= o.get
+        except Py4JJavaError:
+            for rows in instead[name]():
+                found |= rows.first().asDict()
+    return bounded(base, found, keep_min_ssr)
+
+
+def bounded(base: P.ScoreParams, found: dict, keep_min_ssr: bool = True) -> P.ScoreParams:
+    """``base`` with the found bounds (those without data stay as they are)."""
+    kinds = dict(min_ground=float, max_ground=int, min_tr=float, max_tr=float, min_ssr=int, max_ssr=int,
+                 min_lf=float, max_lf=float)
+    if keep_min_ssr:
+        del kinds["min_ssr"]
+    return base.with_bounds(**{k: as_(found[k]) for k, as_ in kinds.items() if found.get(k) is not None})
 
 
 # -------------------------------------------------------------------- sink
@@ -239,7 +279,8 @@ def read_flight_difficulty(spark: SparkSession, path: str, dates: Iterable[dt.da
     return flight_difficulty_store(spark, path).read(dates)
 
 
-__all__ = ["daily_ranking", "dedupe_bookings", "difficulty_scores", "flight_difficulty_store", "normalized_features",
+__all__ = ["daily_ranking", "dedupe_bookings", "difficulty_scores", "flight_difficulty_store", "normalized_features", "normalized_from", "ranking_from", "scores_from",
+           "bounded",
            "params_from_data", "passenger_loads", "range_ground_time", "range_load_factor",
            "range_ssr", "range_transfer_ratio", "read_flight_difficulty",
            "ssr_counts", "transfer_ratio_by_flight", "write_flight_difficulty", "booking_features"]

@@ -128,6 +128,11 @@ def derive_bags(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     })
 
 
+def source_files(sf_dir: str) -> list[str]:
+    """The stored tables that the flight tables derive from."""
+    return [f"{sf_dir.rstrip('/')}/{name}.parquet" for name in ("orders", "lineitem", "customer")]
+
+
 def standin_tables(spark: SparkSession, sf_dir: str) -> FlightTables:
     """Raw (uncleaned) flight tables derived from ``sf_dir``'s parquet files."""
     base = sf_dir.rstrip("/")
