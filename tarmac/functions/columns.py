@@ -43,6 +43,15 @@ def minutes_between(start: ColumnLike, end: ColumnLike) -> Column:
     return micros_between(start, end) / F.lit(MICROS_PER_MINUTE)
 
 
+def mean_minutes(micros: ColumnLike) -> Column:
+    """Mean of microseconds in minutes (an aggregate; NULL over no value).  The sum
+    is exact, so the result is the same to the last bit in whatever order and
+    partitions the rows come."""
+    micros = col(micros)
+    return (F.sum(micros.cast("decimal(20,0)")).cast("double")
+            / F.nullif(F.count(micros) * F.lit(MICROS_PER_MINUTE), F.lit(0.0)))
+
+
 def hours_between(start: ColumnLike, end: ColumnLike) -> Column:
     """``end - start`` in hours (double)."""
     return micros_between(start, end) / F.lit(MICROS_PER_HOUR)

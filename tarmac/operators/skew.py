@@ -32,3 +32,10 @@ def join_unique(big: DataFrame, per_key: DataFrame, on: Sequence[str], how: str
     key_hash = F.xxhash64(*on)
     return (big.withColumn(_FRESH, key_hash)
             .join(per_key.withColumn(_FRESH, key_hash), on=[*on, _FRESH], how=how).drop(_FRESH))
+
+
+def join_stored(big: DataFrame, per_key: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """``join_unique`` for inputs that lie bucketed on (part of) ``on`` and hold no
+    hot key (``sources.bucketed``): a plain join, which reads bucket by bucket
+    without a shuffle."""
+    return big.join(per_key, on=list(on), how=how)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac import params as P
-from tarmac.functions.columns import count_where, minutes_between, pct, ratio
+from tarmac.functions.columns import count_where, mean_minutes, micros_between, minutes_between, pct, ratio
 from tarmac.operators.fanout import count_join_rows
 from tarmac.operators.ranking import spread_sort
 from tarmac.operators.skew import join_unique
@@ -43,7 +43,7 @@ def departure_delay(flights: DataFrame) -> DataFrame:
 def avg_positive_delay(flights: DataFrame) -> DataFrame:
     """Mean delay over flights that left after their scheduled time."""
     return (flights.filter(_late())
-            .agg(F.avg(departure_delay_col()).alias("avg_departure_delay_mins")))
+            .agg(mean_minutes(micros_between(SCHED_DEP, ACTUAL_DEP)).alias("avg_departure_delay_mins")))
 
 
 def pct_late_departures(flights: DataFrame) -> DataFrame:
@@ -82,13 +82,18 @@ def bag_ratio_eda(bags: DataFrame,
 
 def avg_bag_ratio(bags: DataFrame, transfer: str = P.EDA_AVG_TRANSFER,
                   checked: str = P.EDA_AVG_CHECKED) -> DataFrame:
-    """Mean over flights of the transfer/checked ratio, NULL ratios excluded."""
+    """Mean over flights of the transfer/checked ratio, NULL ratios excluded.
+
+    The ratios of flights with equal checked bags share a divisor, so they are
+    summed as integers; one decimal quotient per divisor is left to add, which is
+    the same in any order, unlike a sum of doubles."""
     bt = F.col("bag_type")
-    per_flight = bags.groupBy(*KEY).agg(
-        ratio(count_where(bt == transfer), count_where(bt == checked))
-        .alias("transfer_to_checked_ratio"))
-    return (per_flight.filter(F.col("transfer_to_checked_ratio").isNotNull())
-            .agg(F.avg("transfer_to_checked_ratio").alias("avg_transfer_to_checked_ratio")))
+    per_flight = bags.groupBy(*KEY).agg(count_where(bt == transfer).alias("_t"),
+                                        count_where(bt == checked).alias("_c")).filter(F.col("_c") != 0)
+    by_divisor = per_flight.groupBy("_c").agg(F.sum("_t").alias("_t"), F.count(F.lit(1)).alias("_n"))
+    part = F.col("_t").cast("decimal(20,0)") / F.col("_c").cast("decimal(12,0)")
+    return by_divisor.agg((F.sum(part).cast("double") / F.nullif(F.sum("_n"), F.lit(0)))
+                          .alias("avg_transfer_to_checked_ratio"))
 
 
 def pax_per_flight(bookings: DataFrame, name: str = "total_passengers") -> DataFrame:
@@ -96,21 +101,21 @@ def pax_per_flight(bookings: DataFrame, name: str = "total_passengers") -> DataF
     return bookings.groupBy(*KEY).agg(F.sum("total_pax").alias(name))
 
 
-def _with_load(flights: DataFrame, bookings: DataFrame) -> DataFrame:
+def _with_load(flights: DataFrame, bookings: DataFrame, join) -> DataFrame:
     f = flights.select(*KEY, "total_seats", SCHED_DEP, ACTUAL_DEP)
-    return (join_unique(f, pax_per_flight(bookings), KEY, how="inner")
+    return (join(f, pax_per_flight(bookings), KEY, how="inner")
             .withColumn("load_factor", ratio("total_passengers", "total_seats")))
 
 
-def load_factor(flights: DataFrame, bookings: DataFrame) -> DataFrame:
+def load_factor(flights: DataFrame, bookings: DataFrame, join=join_unique) -> DataFrame:
     """Passengers / seats per flight (flights without bookings drop out)."""
-    return _with_load(flights, bookings).select(*KEY, "total_seats", "total_passengers",
-                                                "load_factor")
+    return _with_load(flights, bookings, join).select(*KEY, "total_seats", "total_passengers",
+                                                      "load_factor")
 
 
-def load_vs_delay(flights: DataFrame, bookings: DataFrame) -> DataFrame:
+def load_vs_delay(flights: DataFrame, bookings: DataFrame, join=join_unique) -> DataFrame:
     """Load factor next to departure delay per flight."""
-    return _with_load(flights, bookings).select(
+    return _with_load(flights, bookings, join).select(
         *KEY, "load_factor", departure_delay_col().alias("departure_delay_mins"))
 
 
@@ -123,13 +128,14 @@ def ssr_per_flight(remarks: DataFrame, bookings: DataFrame) -> DataFrame:
 
 
 def ssr_load_delay(flights: DataFrame, bookings: DataFrame, remarks: DataFrame,
-                   with_passengers: bool = True) -> DataFrame:
+                   with_passengers: bool = True, micros: bool = False) -> DataFrame:
     """Late flights with passengers and service requests (0 when none).
 
     The late filter touches only flights, so it runs before the joins.  The
     passenger aggregate has one row per flight key, so a left join with it
     never changes the rows; callers that do not read ``total_passengers``
-    pass ``with_passengers=False`` and skip that aggregation.
+    pass ``with_passengers=False`` and skip that aggregation.  With ``micros``
+    the delay comes as whole microseconds.
     """
     f = flights.filter(_late()).select(*KEY, "total_seats", SCHED_DEP, ACTUAL_DEP)
     per_key = ssr_per_flight(remarks, bookings)
@@ -141,15 +147,16 @@ def ssr_load_delay(flights: DataFrame, bookings: DataFrame, remarks: DataFrame,
         cols.append(F.coalesce("total_passengers", F.lit(0)).alias("total_passengers"))
     cols += [F.coalesce("num_special_service_requests", F.lit(0))
              .alias("num_special_service_requests"),
-             departure_delay_col().alias("departure_delay_mins")]
+             micros_between(SCHED_DEP, ACTUAL_DEP).alias("departure_delay_micros") if micros
+             else departure_delay_col().alias("departure_delay_mins")]
     return j.select(*cols)
 
 
 def delay_by_ssr_group(flights: DataFrame, bookings: DataFrame, remarks: DataFrame,
                        high_at: int = P.HIGH_SSR_AT) -> DataFrame:
     """Mean delay of late flights with >= ``high_at`` requests vs the rest."""
-    t = ssr_load_delay(flights, bookings, remarks, with_passengers=False)
+    t = ssr_load_delay(flights, bookings, remarks, with_passengers=False, micros=True)
     group = (F.when(F.col("num_special_service_requests") >= high_at, "High SSR")
              .otherwise("Low SSR"))
     return t.groupBy(group.alias("ssr_group")).agg(
-        F.avg("departure_delay_mins").alias("avg_departure_delay_mins"))
+        mean_minutes("departure_delay_micros").alias("avg_departure_delay_mins"))

@@ -25,6 +25,15 @@ def ground_time_margin(flights: DataFrame) -> DataFrame:
 
 
 def bags_per_pax(bags: DataFrame, bookings: DataFrame) -> DataFrame:
+    """``bags_per_pax_rows``, highest first."""
+    return highest_first(bags_per_pax_rows(bags, bookings), "bags_per_pax")
+
+
+def highest_first(df: DataFrame, name: str) -> DataFrame:
+    return df.orderBy(F.col(name).desc_nulls_first(), *tie_breakers())
+
+
+def bags_per_pax_rows(bags: DataFrame, bookings: DataFrame) -> DataFrame:
     """Bags per passenger as the source computes it: over the join of bag rows
     with booking rows of the same flight key, so ``total_bags`` is multiplied
     by the bookings of the flight and ``total_pax`` by its bags.
@@ -42,8 +51,7 @@ def bags_per_pax(bags: DataFrame, bookings: DataFrame) -> DataFrame:
     total_bags = (F.col("_nt") * F.col("_np")).alias("total_bags")
     total_pax = (F.col("_nb") * F.col("_sp")).alias("total_pax")
     return (j.select(*KEY, total_bags, total_pax)
-            .withColumn("bags_per_pax", ratio("total_bags", "total_pax"))
-            .orderBy(F.col("bags_per_pax").desc_nulls_first(), *tie_breakers()))
+            .withColumn("bags_per_pax", ratio("total_bags", "total_pax")))
 
 
 def transfer_to_checked_ratio(bags: DataFrame) -> DataFrame:
@@ -57,12 +65,16 @@ def transfer_to_checked_ratio(bags: DataFrame) -> DataFrame:
 
 
 def lap_children_ratio(bookings: DataFrame) -> DataFrame:
-    """Lap children over passengers per flight key, highest first."""
+    """``lap_children_rows``, highest first."""
+    return highest_first(lap_children_rows(bookings), "lap_children_ratio")
+
+
+def lap_children_rows(bookings: DataFrame) -> DataFrame:
+    """Lap children over passengers per flight key."""
     return (bookings.groupBy(*KEY)
             .agg(F.sum("lap_child_count").alias("lap_children"),
                  F.sum("total_pax").alias("total_passengers"))
-            .withColumn("lap_children_ratio", ratio("lap_children", "total_passengers"))
-            .orderBy(F.col("lap_children_ratio").desc_nulls_first(), *tie_breakers()))
+            .withColumn("lap_children_ratio", ratio("lap_children", "total_passengers")))
 
 
 def haul(flights: DataFrame) -> DataFrame:
