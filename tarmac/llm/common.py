@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import math
 import zipfile
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.session import scratch_path
+from tarmac.session import result_path, scratch_path
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,14 +41,56 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f"{package.name}/{f.relative_to(package).as_posix()}")
-    uri = scratch_path(spark, "sources") + ".zip"
+    uri = result_path(spark, "sources") + ".zip"       # no scratch table: workers need it to the end
     fs, path = open_shared(uri)
     with fs.open_output_stream(path, compression=None) as out:
         out.write(held.getvalue())
+    atexit.register(_delete_quietly, fs, path)
     sc.addPyFile(uri)
     sc._tarmac_shipped = True
 
 
+def _delete_quietly(fs, path: str) -> None:
+    try:
+        fs.delete_file(path)
+    except OSError:             # gone already, with the whole folder
+        pass
+
+
+def hash_sample(rows: DataFrame, key: Column, n_rows: int, wanted: int) -> DataFrame:
+    """The ``wanted`` distinct rows with the smallest hashes ``key`` (64 bits) of
+    ``n_rows``: first those below a bound that about twice as many pass, so that
+    what the tasks send does not grow with their number.  Fewer come back if
+    most rows are repeated (``hash_sampled`` tries again then)."""
+    if n_rows > 4 * wanted:
+        rows = rows.filter(key < (1 << 64) * 2 * wanted // n_rows - (1 << 63))
+    return rows.distinct().orderBy(key).limit(wanted)
+
+
+def hash_sampled(rows: DataFrame, key: Column, n_rows: int, wanted: int) -> list:
+    """The rows of ``hash_sample`` on the driver."""
+    got = hash_sample(rows, key, n_rows, wanted).collect()
+    if len(got) < wanted and n_rows > 4 * wanted:
+        got = hash_sample(rows, key, wanted, wanted).collect()
+    return got
+
+
+def first_bytes(rows: DataFrame, size: Column, limit: int) -> list:
+    """The rows of a bounded, written table (columns ``order`` and ``id``) on the
+    driver, in that order as long as their sizes stay within ``limit``."""
+    sizes = sorted((r["order"], r["id"], r["size"]) for r in rows.select("order", "id", size.alias("size")).collect())
+    whole, last = 0, None
+    for order, id_, n in sizes:
+        whole += n
+        if whole > limit and last is not None:
+            break
+        last = (order, id_)
+    if last is None:
+        return []
+    kept = (F.col("order") < last[0]) | ((F.col("order") == last[0]) & (F.col("id") <= last[1]))
+    return rows.filter(kept).collect()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

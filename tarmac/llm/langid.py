@@ -8,13 +8,17 @@
 3. ``train``: follow-the-regularised-leader with per-coordinate rates and an
    elastic net (``L1``, ``L2``), so most weights stay exactly zero.  It sees a
    bounded sample of about ``SAMPLE_ROWS`` documents, as many of each language,
-   picked by hash of the id; their whole texts are read.
+   picked by hash of id and text, one row per id, and in the order of the hash
+   up to ``SAMPLE_BYTES`` of vectors; their whole texts are read.  Every language
+   is learned (with more than ``SAMPLE_ROWS`` of them, about one document of
+   each; the driver then holds a weight per bucket and language).
 4. Calibration: a temperature, fitted on a fifth of the sample that training
    left out, divides the logits.
 5. ``predict`` scores every document in one pass without a shuffle.
 
 Edge cases: null text or a text without a letter is ``und`` with score 0, as is
-every text when nothing can be learned; a null doc_id is predicted, never
+every text when nothing can be learned; a very long text is read whole, a block
+of characters at a time; equal probabilities go to the first language by name; a null doc_id is predicted, never
 learned from, and not held out; repeated rows are predicted each; an empty table
 gives an empty result; other columns are ignored.
 """
@@ -28,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarmac.llm.common import first_bytes, materialize
+
 BUCKETS = 1 << 16
 SAMPLE_ROWS = 6000          # expected rows of the sample, the same number from each language
-MAX_LANGUAGES = 1000        # the most frequent languages are learned
+SAMPLE_BYTES = 256 << 20    # of the sample's vectors; the first in hash order are taken
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 BLOCK_CHARS = 1 << 19       # characters hashed at a time
@@ -210,28 +216,32 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", id_col: str = "d
     idf = np.log((1 + n) / (1 + df)) + 1
     spark = docs.sparkSession
     sizes = (rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("rows"))
-             .orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES).collect())
+             .orderBy("lang").collect())                       # one row per language
     if not sizes:
         return train([], [], idf)
     span = 1 << 30
-    below = spark.createDataFrame([(r["lang"], min(span, span * sample_rows // (len(sizes) * r["rows"])))
-                                   for r in sizes], "lang string, below long")
+    below = spark.createDataFrame([(r["lang"], min(span, max(span // r["rows"], span * sample_rows // (
+        len(sizes) * r["rows"])))) for r in sizes], "lang string, below long")
+    at = F.pmod(F.xxhash64("id", "text"), F.lit(span))
     picked = (rows.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"),
                           F.col(text_col).cast("string").alias("text"))
-              .join(F.broadcast(below), "lang")               # at most MAX_LANGUAGES rows
-              .filter(F.pmod(F.xxhash64("id"), F.lit(span)) < F.col("below")))
+              .join(F.broadcast(below), "lang")               # one row per language
+              .filter(at < F.col("below")).groupBy("id").agg(F.min(F.struct(at.alias("order"), "lang", "text")).alias("m"))
+              .select("id", "m.order", "m.lang", "m.text"))
     shared = docs.sparkSession.sparkContext.broadcast(idf)
-    schema = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("at", pa.binary()), ("x", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("order", pa.int64()), ("lang", pa.string()), ("at", pa.binary()),
+                        ("x", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            got = [vector(t, shared.value) for t in batch.column(2).to_pylist()]
+            got = [vector(t, shared.value) for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([a.astype("<u2").tobytes() for a, _ in got], pa.binary()),
+                [*batch.columns[:3], pa.array([a.astype("<u2").tobytes() for a, _ in got], pa.binary()),
                  pa.array([x.astype("<f4").tobytes() for _, x in got], pa.binary())], schema=schema)
 
-    sample = picked.select("id", "lang", "text").mapInArrow(
-        run, "id long, lang string, at binary, x binary").limit(2 * sample_rows + MAX_LANGUAGES).collect()
+    vectors = materialize(picked.mapInArrow(run, "id long, order long, lang string, at binary, x binary"),
+                          "langid-sample")
+    sample = first_bytes(vectors, F.octet_length("at") + F.octet_length("x"), SAMPLE_BYTES)
     sample.sort(key=lambda r: (r["id"], r["lang"], r["at"]))
     return train([(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["x"], "<f4")) for r in sample],
                  [r["lang"] for r in sample], idf)

@@ -17,17 +17,23 @@ spaces, are the text that is searched, and a match always covers whole words.
 first word, number of words, edits) and the derived columns.  ``score`` is 1
 with a base place, else the best 1 - edits / phrase length, else 0.
 
+A text takes time in proportion to its length, however many notices it repeats:
+word numbers come from the sorted places of the spaces, and a fuzzy match is
+compared with the matches around it alone.
+
 Edge cases: null or empty text has no words and score 0; null doc_ids and
-repeated rows are kept; invalid UTF-8 is read with replacement characters; an
+repeated rows are kept; a very long text is searched whole; invalid UTF-8 is read with replacement characters; an
 empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass
 from functools import lru_cache
 from typing import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +72,21 @@ def seeds(phrase: Phrase) -> list[tuple[int, str]]:
     return [(a, phrase.text[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def _places(text: str, char: str) -> np.ndarray:
+    """Where a character stands."""
+    return np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == ord(char))
+
+
+def _meets(a: int, b: int, longest: int, begins: list[int], ends: list[int]) -> bool:
+    """Does [a, b) meet any of the spans, none of which is over ``longest``?"""
+    at = bisect.bisect_left(begins, b)
+    while at and begins[at - 1] > a - longest:
+        at -= 1
+        if ends[at] > a:
+            return True
+    return False
+
+
 class Scanner:
     def __init__(self, phrases: tuple[Phrase, ...] = PHRASES):
         import ahocorasick
@@ -108,22 +129,28 @@ class Scanner:
         places: list[tuple[str, int]] = []
         spans: list[tuple[str, int, int, int]] = []
         best = 0.0
-        for i, parts in sorted(self.windows(text).items()):
+        windows = self.windows(text)
+        spaces = _places(text, " ") if windows else None
+        for i, parts in sorted(windows.items()):
             p = self.phrases[i]
+            longest = len(p.text) + p.edits
             for low, high in parts:
-                taken: list[tuple[int, int]] = []
+                # (begins, ends) of the matches with 0, 1, ... edits, each in order
+                taken: list[tuple[list[int], list[int]]] = []
                 # some room, so that no match that is tried ends at the window's edge
                 high = min(len(text), high + p.edits + 1)
                 for edits, pattern in enumerate(self.patterns[i]):
+                    taken.append(([], []))
                     for m in pattern.finditer(text, low, high, overlapped=True):
                         a, b = m.span()
                         # word ends of the text, not of the window
                         if (a and text[a - 1] != " ") or (b < len(text) and text[b] != " ") or a == b:
                             continue
-                        if edits and any(a < y and x < b for x, y in taken):
+                        if edits and any(_meets(a, b, longest, *held) for held in taken):
                             continue            # part of a closer match
-                        taken.append((a, b))
-                        first = text.count(" ", 0, a)
+                        taken[-1][0].append(a)
+                        taken[-1][1].append(b)
+                        first = int(spaces.searchsorted(a))
                         spans.append((p.label, first, text.count(" ", a, b) + 1, edits))
                         best = max(best, 1 - edits / len(p.text))
                         if not edits:

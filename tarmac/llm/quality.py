@@ -30,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import utf8_rows
+from tarmac.llm.common import first_bytes, hash_sample, materialize, utf8_rows
 
 PASSAGE_WORDS = 100
 SEGMENT_BYTES = 1 << 20
 TRAIN_ROWS = 6000           # bound of the labelled sample
+TRAIN_BYTES = 256 << 20     # of its passages; the first ids in hash order are taken
 PAIR_BUCKETS = 96
 HIDDEN = 24
 EPOCHS = 30
@@ -212,22 +213,27 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str,
                     label_col: str, train_rows: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Bags and labels of at most ``train_rows`` labelled ids, picked by hash."""
-    picked = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-              .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).alias("label"))
-              .orderBy(F.xxhash64("id"), "id").limit(train_rows))
+    """Bags and labels of at most ``train_rows`` labelled ids, picked by hash, and
+    of at most ``TRAIN_BYTES`` in the order of the hash.  Of the texts that share
+    an id the one with the smallest hash counts."""
+    known = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+             .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).alias("label")))
+    known = materialize(known, "quality-labels")
+    picked = hash_sample(known, F.xxhash64("id"), known.count(), train_rows)
     texts = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-             .join(F.broadcast(picked), "id").select("id", "label", "text"))
-    out = pa.schema([("id", pa.int64()), ("label", pa.int32()), ("bag", pa.binary())])
+             .join(F.broadcast(picked), "id").groupBy("id")
+             .agg(F.max("label").alias("label"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m"))
+             .select("id", F.xxhash64("id").alias("order"), "label", "m.text"))
+    out = pa.schema([("id", pa.int64()), ("order", pa.int64()), ("label", pa.int32()), ("bag", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            bags = [encode_passages(t).astype("<f4").tobytes() for t in utf8_rows(batch.column(2))]
+            bags = [encode_passages(t).astype("<f4").tobytes() for t in utf8_rows(batch.column(3))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1).cast(pa.int32()), pa.array(bags, pa.binary())], schema=out)
+                [batch.column(0), batch.column(1), batch.column(2).cast(pa.int32()), pa.array(bags, pa.binary())], schema=out)
 
-    # one row per id, so that repeated rows do not lift the bound
-    rows = (texts.mapInArrow(run, "id long, label int, bag binary").dropDuplicates(["id"]).collect())
+    bags = materialize(texts.mapInArrow(run, "id long, order long, label int, bag binary"), "quality-bags")
+    rows = first_bytes(bags, F.octet_length("bag"), TRAIN_BYTES)
     rows.sort(key=lambda r: r["id"])
     return ([np.frombuffer(r["bag"], "<f4").reshape(-1, DIM) for r in rows],
             np.array([r["label"] for r in rows]))

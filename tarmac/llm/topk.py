@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import materialize, tasks_for
+from tarmac.llm.common import hash_sampled, materialize, tasks_for
 
 SCALE = 1024
 PIVOTS = 256                # sampled pivots, a fixed bound
@@ -264,12 +264,12 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
     which ``is_query`` holds."""
     spark = df.sparkSession
     rows = integer_vectors(df, is_query, id_col, vector_col, scale)
-    sample = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(pivots).collect()
+    counts = (rows.groupBy(F.size("v").alias("dim"))        # one row per vector length
+              .agg(F.count(F.lit(1)).alias("n"), F.count_if("query").alias("queries")).collect())
+    sample = hash_sampled(rows.select("vec_id", "v"), F.xxhash64("vec_id", "v"), sum(r["n"] for r in counts), pivots)
     by_dim: dict[int, _Pivots] = {}
     base = 0
-    # one row per vector length
-    for r in (rows.groupBy(F.size("v").alias("dim"))
-              .agg(F.count(F.lit(1)).alias("n"), F.count_if("query").alias("queries")).collect()):
+    for r in counts:
         mine = [s for s in sample if len(s["v"]) == r["dim"]]
         by_dim[r["dim"]] = p = _Pivots(mine, r["dim"], r["n"], r["queries"], base, block_rows, query_rows)
         base += len(p.centres)

@@ -21,7 +21,8 @@ in lower case, without scheme, leading www, default port and fragment.
 Edge cases: a null payload is empty; a null URL gets the URI
 ``urn:page:<page_id>``; rows with a null page_id are always responses and never
 referred to; rows that share the largest page_id of equal payloads are all
-responses; an empty table gives an empty result; other columns are ignored.
+responses; very long payloads are archives of their own; without a date column,
+or where it is null, ``WARC-Date`` is ``EPOCH``; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,10 +36,10 @@ from typing import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import batches, materialize, open_shared, shuffle_partitions, tasks_for
+from tarmac.llm.common import batches, hash_sampled, materialize, open_shared, shuffle_partitions, tasks_for
 from tarmac.session import scratch_path
 
 REVISIT_BYTES = 1000        # shorter payloads are always stored
@@ -51,12 +52,19 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 # --- which records refer to another ------------------------------------------------
 
+def capture_date(date_col: str | None) -> Column:
+    """WARC-Date of a timestamp column (EPOCH where it is null or there is none)."""
+    if date_col is None:
+        return F.lit(EPOCH)
+    return F.coalesce(F.date_format(F.col(date_col), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(EPOCH))
+
+
 def mark_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str,
-                  min_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """page_id, url, payload, digest, refers_to (null: response)."""
+                  min_bytes: int = REVISIT_BYTES, date_col: str | None = None) -> DataFrame:
+    """page_id, url, payload, digest, refers_to (null: response), date."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = (pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
-                         payload.alias("payload"))
+                         payload.alias("payload"), capture_date(date_col).alias("date"))
             .withColumn("digest", F.sha1("payload")))
     long_ = F.octet_length("payload") >= min_bytes
     # equal payloads are few: only their digests and ids are joined back, by page
@@ -66,7 +74,7 @@ def mark_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str,
     same = materialize(same, "warc-same")      # a fresh scan, so AQE can split a digest that many pages share
     known = rows.join(same, "digest", "left")
     return known.select("page_id", "url", "payload", "digest",
-                        F.when(long_ & (F.col("page_id") != F.col("keeper")), F.col("keeper")).alias("refers_to"))
+                        F.when(long_ & (F.col("page_id") != F.col("keeper")), F.col("keeper")).alias("refers_to"), "date")
 
 
 # --- records ------------------------------------------------------------------------
@@ -75,13 +83,14 @@ def _b32(sha1_hex: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1_hex)).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None,
+           date: str = EPOCH) -> bytes:
     """One WARC record: an HTTP response block, without the payload for a revisit."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if refers_to is None else b"")
     uri = "".join(c for c in url or "" if c >= " " and c != "\x7f").strip() or f"urn:page:{page_id}"
     head = [("WARC-Type", "response" if refers_to is None else "revisit"),
-            ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Date", EPOCH), ("WARC-Target-URI", uri),
+            ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Date", date), ("WARC-Target-URI", uri),
             ("WARC-Payload-Digest", "sha1:" + _b32(digest)),
             ("Content-Type", "application/http;msgtype=response")]
     if refers_to is not None:
@@ -273,17 +282,20 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     return runs.groupBy("range").applyInArrow(merge, ddl)
 
 
-def splitters(pages: DataFrame, id_col: str, url_col: str, payload_col: str, ranges: int,
-              sample: int = SAMPLE_ROWS) -> list[tuple]:
-    """``ranges`` - 1 splitters from a bounded sample of the captures, picked by hash."""
+def splitters(pages: DataFrame, id_col: str, url_col: str, payload_col: str, ranges: int, n_pages: int,
+              sample: int = SAMPLE_ROWS, date_col: str | None = None) -> list[tuple]:
+    """``ranges`` - 1 splitters from a bounded sample of the captures, picked by
+    hash; equal captures, which no splitter can part, count as one."""
     if ranges < 2:
         return []
-    got = (pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
+                        capture_date(date_col).alias("date"),
                         F.sha1(F.coalesce(F.col(payload_col).cast("string"), F.lit(""))).alias("sha"))
-           .orderBy(F.xxhash64("id", "url"), "id").limit(sample).collect())
+    got = hash_sampled(rows, F.xxhash64("id", "url", "date"), n_pages, sample)
     keys = []
     for r in got:
-        head, block = next(parse_records(io.BytesIO(record(r["id"], r["url"], b"", hashlib.sha1(b"").hexdigest(), None))))
+        head, block = next(parse_records(io.BytesIO(record(
+            r["id"], r["url"], b"", hashlib.sha1(b"").hexdigest(), None, r["date"]))))
         e = entry(head, block)
         keys.append(_order((*e[:6], r["sha"])))
     keys.sort()
@@ -292,16 +304,17 @@ def splitters(pages: DataFrame, id_col: str, url_col: str, payload_col: str, ran
 
 def capture_index(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
                   min_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES,
-                  range_rows: int = RANGE_ROWS) -> DataFrame:
+                  range_rows: int = RANGE_ROWS, date_col: str | None = None) -> DataFrame:
     """Write ``pages`` as archives, read them back and merge the index runs:
     range, position, url_key, date, page_id, record_type, refers_to,
-    payload_bytes, payload_digest, archive per row, in global order."""
+    payload_bytes, payload_digest, archive per row, in global order (URL key, date,
+    page).  ``date_col``: the captures' timestamps."""
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")
     n = pages.count()
     ranges = max(1, -(-n // range_rows), min(2 * shuffle_partitions(spark), n // 500))
-    cuts = splitters(pages, id_col, url_col, payload_col, ranges)
-    marked = mark_revisits(pages, id_col, url_col, payload_col, min_bytes)
+    cuts = splitters(pages, id_col, url_col, payload_col, ranges, n, date_col=date_col)
+    marked = mark_revisits(pages, id_col, url_col, payload_col, min_bytes, date_col)
     archives = materialize(
         write_archives(marked, folder, archive_bytes).withColumn("run", F.monotonically_increasing_id()),
         "warc-archives")

@@ -50,6 +50,31 @@ def test_edges_and_empty(spark):
     assert rows_of(licenses.scan(edge_docs(spark, []))) == []
 
 
+def test_time_follows_the_length(spark):
+    """Megabytes of repeated notices, exact and fuzzy, and what a short repeat gives."""
+    import time
+    find = licenses.scanner(licenses.PHRASES)
+    notice = "mit license see the gnu genral public licence "
+    for n in (3, 20):
+        words, places, spans, best = find((notice * n).encode())
+        assert (words, places, sorted({s[0] for s in spans}), best) == plain_scan(notice * n)
+    words, places, spans, _ = find((notice * 20).encode())
+    took = {}
+    for n in (4_000, 16_000):
+        start = time.process_time()
+        many = find((notice * n).encode())
+        took[n] = time.process_time() - start
+        assert many[0] == n * words // 20 and len(many[1]) == n
+        assert len(many[2]) == n * len(spans) // 20
+    assert took[16_000] < 8 * took[4_000] + 1
+
+
+def test_long_text(spark):
+    docs = edge_docs(spark, [r for r in edge_docs.__defaults__[0] if r[1] and len(r[1]) > 1000])
+    got = rows_of(licenses.digest(licenses.scan(docs)))
+    assert len(got) == docs.count() and all(r[1] > 100_000 and r[5] == "" for r in got)
+
+
 def test_spans_are_reported(spark):
     docs = spark.createDataFrame([(1, "Under the GNU Genral Publik License; see mit licence.")],
                                  "doc_id long, text string")

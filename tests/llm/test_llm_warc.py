@@ -7,6 +7,7 @@ import random
 from cases import EXTRA, _EXTRA_ROW, rows_of
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tarmac.llm import warc
 from tarmac.llm.common import materialize
@@ -64,6 +65,28 @@ def test_index_is_globally_ordered(spark):
     assert max(sum(r["range"] == k for r in got) for k in {r["range"] for r in got}) < 400
 
 
+def test_captures_of_one_url_come_in_the_order_of_their_times(spark):
+    """Shuffled times, some equal and some missing; splitters part the hot URL by time."""
+    rng = random.Random(4)
+    rows = [(i, "http://hot.example/", f"page {i}", None if i % 50 == 0 else f"2024-0{rng.randint(1, 9)}-1{i % 10} 0{i % 7}:00:00")
+            for i in range(2000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, t string").withColumn(
+        "t", F.col("t").cast("timestamp_ntz")).repartition(5)
+    got = warc.capture_index(df, archive_bytes=20_000, range_rows=300, date_col="t").orderBy("range", "position").collect()
+    want = sorted((warc.EPOCH if t is None else t.replace(" ", "T") + "Z", i) for i, _, _, t in rows)
+    assert [(r.date, r.page_id) for r in got] == want
+    ends = [[r.date for r in got if r["range"] == k] for k in sorted({r["range"] for r in got})]
+    assert len(ends) > 3 and all(a[-1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_splitters_of_repeated_captures(spark):
+    """Almost all captures are copies of one: the sample is taken from all of them."""
+    rows = [(1, "http://a/", "x")] * 3000 + [(i, f"http://b{i}/", "x") for i in range(40)]
+    cuts = warc.splitters(make(spark, rows), "page_id", "url", "html", 8, len(rows), sample=30)
+    assert len(cuts) == 7 and cuts == sorted(cuts)
+
+
 def test_archives_are_readable_members(spark):
     """Each record is a gzip member of its own and starts with its type."""
     folder = scratch_path(spark, "warc-test")
