@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tarmac import params as P
 from tarmac.functions.columns import round6
-from tarmac.plans import eda, facts, features, scoring, stored
+from tarmac.plans import eda, facts, features, insights, scoring, stored
 from tarmac.plans.cleaning import TAG
 from tarmac.plans.facts import FlightFacts
 from tarmac.session import result_path, scratch_scope
@@ -96,9 +96,24 @@ _PLANS: dict[str, Callable[[SparkSession, FlightTables], DataFrame]] = {
     "temporal_features": lambda s, t: features.temporal_features(t.flights),
     # normalisation ranges
     "range_ground_time": lambda s, t: scoring.range_ground_time(t.flights),
+    "range_transfer_ratio": lambda s, t: scoring.range_transfer_ratio(_bag_types(t)),
+    "range_ssr": lambda s, t: scoring.range_ssr(t),
+    "range_load_factor": lambda s, t: scoring.range_load_factor(t),
+    # score, rank, store
+    "normalized_features": lambda s, t: scoring.normalized_features(t, P.NORMALIZE_PRESET),
+    "difficulty_score": lambda s, t: scoring.difficulty_scores(t, P.SCORE_PRESET),
+    "daily_ranking": lambda s, t: scoring.daily_ranking(t, P.SCORE_PRESET),
+    "daily_ranking_ssr10": lambda s, t: scoring.daily_ranking(
+        t, P.SCORE_PRESET.with_bounds(max_ssr=10)),
+    "flight_difficulty_table": _flight_difficulty_table,
+    # destination roll-ups
+    "hard_destinations_above_avg": lambda s, t: insights.hard_destinations_above_avg(
+        t.flights, scoring.difficulty_scores(t, P.SCORE_PRESET, sort=False)),
+    "hard_destinations_majority": lambda s, t: insights.hard_destinations_majority(
+        t.flights, scoring.daily_ranking(t, P.SCORE_PRESET, sort=False)),
 }
 
-# queries of the stored facts
+# the same over the stored facts, which the registered queries use
 _FACT_PLANS: dict[str, Callable[[SparkSession, FlightFacts], DataFrame]] = {
     "range_transfer_ratio": lambda s, f: facts.range_of(f, "tr"),
     "range_ssr": lambda s, f: facts.range_of(f, "ssr"),
@@ -143,4 +158,4 @@ def _registered(name: str) -> QueryFn:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {name: _registered(name) for name in (*_PLANS, *_FACT_PLANS, *_STORED_PLANS)}
+    return {name: _registered(name) for name in (*_PLANS, *_STORED_PLANS)}

@@ -6,6 +6,7 @@ from typing import Callable, Union
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarmac.sources import drift
 from tarmac.sources.schemas import BAGS, BOOKINGS, FLIGHTS, REMARKS, require_columns
 
 
@@ -79,24 +80,33 @@ TABLE_FILES = {
 }
 
 
-def read_tables(spark: SparkSession, base: str, fmt: str = "parquet",
-                **options) -> FlightTables:
+def read_tables(spark: SparkSession, base: str, fmt: str = "parquet", all_files: bool = False,
+                quarantine_to: str | None = None, **options) -> FlightTables:
     """Read stored tables ``<base>/<table name>`` with their declared schema.
 
     The declared schema is given to the reader, so no job infers one and Parquet
     gets column pruning and filter pushdown (CSV: header expected).  A Parquet
     table that lacks a declared column is an error, found in the footer of one
-    of its files.
+    of its files; with ``all_files`` the footers of all files are read (one Spark
+    job a table) and a column of another type is an error too.  With
+    ``quarantine_to``, CSV rows that do not fit the schema go, with their file, to
+    ``<quarantine_to>/<table name>`` instead of being read with NULLs.
     """
     schemas = {"flights": FLIGHTS, "bookings": BOOKINGS, "remarks": REMARKS, "bags": BAGS}
     frames = {}
     for member, name in TABLE_FILES.items():
         path = f"{base.rstrip('/')}/{name}"
+        if fmt == "csv" and quarantine_to is not None:
+            frames[member], rejected = drift.read_csv_checked(spark, path, schemas[member], **options)
+            drift.quarantine(rejected, f"{quarantine_to.rstrip('/')}/{name}")
+            continue
         reader = spark.read.format(fmt).options(**options).schema(schemas[member])
         if fmt == "csv":
             reader = reader.option("header", options.get("header", "true"))
         elif fmt == "parquet":
             require_columns(stored_columns(spark, path), schemas[member], name)
+            if all_files:
+                drift.require_all_files(spark, path, schemas[member], name)
         frames[member] = reader.load(path)
     return FlightTables(**frames)
 

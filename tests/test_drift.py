@@ -1,0 +1,87 @@
+"""Files and rows that do not fit the declared schemas are reported."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from minidata import mini_tables
+from tarmac.sources import drift, read_tables
+from tarmac.sources.schemas import BAGS, FLIGHTS
+from tarmac.sources.tables import TABLE_FILES
+
+
+def store(t, base, fmt="parquet"):
+    for member, name in TABLE_FILES.items():
+        df = getattr(t, member).coalesce(1)
+        df.write.option("header", "true").format(fmt).mode("append").save(f"{base}/{name}")
+
+
+@pytest.fixture
+def base(spark, tmp_path):
+    store(mini_tables(spark), str(tmp_path / "db"))
+    return str(tmp_path / "db")
+
+
+def report(spark, base, member, schema):
+    return {(r.column, r.problem, r.declared, r.found) for r in drift.footer_report(
+        spark, f"{base}/{TABLE_FILES[member]}", schema).collect()}
+
+
+def test_a_table_that_fits(spark, base):
+    assert report(spark, base, "bags", BAGS) == set()
+    assert read_tables(spark, base, all_files=True).bags.count() == mini_tables(spark).bags.count()
+
+
+def test_one_odd_file_among_many(spark, base):
+    """The first file fits, so only reading all footers finds the other."""
+    t, path = mini_tables(spark), f"{base}/{TABLE_FILES['bags']}"
+    odd = t.bags.drop("bag_type").withColumn("bag_tag_unique_number", F.lit(7)).withColumn("surprise", F.lit(1.5))
+    odd.coalesce(1).write.parquet(f"{path}/zz")
+    read_tables(spark, base)                                # looks at one file
+    assert report(spark, base, "bags", BAGS) == {("bag_type", "missing", "string", None),
+                                                 ("bag_tag_unique_number", "type", "string", "int"),
+                                                 ("surprise", "extra", None, "double")}
+    with pytest.raises(ValueError, match="bag_tag_unique_number string int"):
+        read_tables(spark, base, all_files=True)
+
+
+def test_unreadable_files_and_partition_folders(spark, tmp_path):
+    path = str(tmp_path / "f")
+    flights = mini_tables(spark).flights
+    flights.write.partitionBy("scheduled_departure_date_local").parquet(path)
+    assert drift.footer_report(spark, path, FLIGHTS).count() == 0
+    (tmp_path / "f" / "broken.parquet").write_bytes(b"no parquet")
+    (tmp_path / "f" / "_SUCCESS2").write_bytes(b"")
+    rows = drift.footer_report(spark, path, FLIGHTS).collect()
+    assert [(r.problem, r.file.endswith("broken.parquet")) for r in rows] == [("unreadable", True)]
+
+
+def test_malformed_csv_rows_are_set_aside(spark, tmp_path):
+    base, aside = str(tmp_path / "csv"), str(tmp_path / "aside")
+    t = mini_tables(spark)
+    store(t, base, "csv")
+    path = f"{base}/{TABLE_FILES['bookings']}"
+    names = t.bookings.columns
+    bad = ["X," * (len(names) - 1) + "not a number", "too,few", ",".join(["1"] * (len(names) + 3))]
+    with open(path + "/part-odd.csv", "w") as f:
+        f.write("\n".join([",".join(names), *bad]) + "\n")
+    for _ in range(2):                                      # rows are appended, the result is the same
+        got = read_tables(spark, base, fmt="csv", quarantine_to=aside)
+        assert sorted(map(repr, got.bookings.collect())) == sorted(map(repr, t.bookings.collect()))
+        assert got.bookings.count() == t.bookings.count()
+    kept = spark.read.parquet(f"{aside}/{TABLE_FILES['bookings']}")
+    assert sorted(r.line for r in kept.distinct().collect()) == sorted(bad)
+    assert kept.count() == 2 * len(bad) and all("part-odd.csv" in r.file for r in kept.collect())
+    assert spark.read.parquet(f"{aside}/{TABLE_FILES['flights']}").count() == 0
+    good, rejected = drift.read_csv_checked(spark, path, t.bookings.schema)
+    assert rejected.count() == len(bad) and good.select("flight_number").count() == t.bookings.count()
+
+
+def test_csv_with_other_names_is_an_error(spark, tmp_path):
+    path = str(tmp_path / "c")
+    spark.createDataFrame([("a", "b")], "x string, y string").write.option("header", "true").csv(path)
+    from pyspark.sql import types as T
+    with pytest.raises(Exception):
+        drift.read_csv_checked(spark, path, T.StructType([T.StructField("x", T.StringType()),
+                                                          T.StructField("z", T.StringType())]))[0].collect()
