@@ -26,9 +26,9 @@ import pyarrow.compute as pc
 
 from tarmac.llm.words import byte_alphabet, load_tokenizer
 
-BLOCK_BYTES = 16 << 20      # text that is encoded together
+BLOCK_BYTES = 8 << 20       # text that is encoded together
 LINE_WORDS = 256            # words per text given to the library
-KNOWN_PARTS = 400_000       # parts whose ids a worker remembers
+KNOWN_PARTS = 300_000       # parts whose ids a worker remembers
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _MARK = "\x01"              # between words that are several pieces
