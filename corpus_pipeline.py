@@ -8,6 +8,11 @@ classifiers decide row by row.  The deduplication stages number the rows and
 keep exactly one row of each group, that with the smallest doc_id (nulls last),
 then the smallest number; rows that share a doc_id or have none are told apart.
 
+Edge cases: null and empty texts are scored like any other and are ``und``, so the
+language filter drops them; very long texts are read whole by every stage; an
+empty table gives an empty result with the same columns; extra columns pass
+through all stages but the last.
+
 ``ORACLE_SQL`` is None: SQL expresses neither classifier.  The tests compare
 the stages with brute force.
 """
@@ -21,7 +26,6 @@ from tarmac.llm import exact_dedup, langid, packing, quality, simhash
 from tarmac.llm.common import materialize, read_table, ship_package
 from tarmac.llm.queries import language_held_out, quality_held_out
 
-MIN_LANGUAGE_SCORE = 0.0    # no recognised language is dropped for its score
 ORACLE_SQL = None
 
 
@@ -34,7 +38,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a recognised language."""
     found = langid.predictor(spark, langid.fit(docs, ~language_held_out()))(F.col("text"))
-    return docs.filter((found["lang_pred"] != langid.UNDETERMINED) & (found["score"] >= MIN_LANGUAGE_SCORE))
+    return docs.filter(found["lang_pred"] != langid.UNDETERMINED)
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
