@@ -24,7 +24,8 @@ The number of buckets grows with the text, so a bucket stays of bounded size; a
 word that occurs in every document reaches its bucket once per chunk.
 
 Edge cases: null or empty text has no ids and decodes to the empty string; a
-null doc_id is kept; repeated rows are each returned; an id outside the
+null doc_id is kept; repeated rows are each returned; a text longer than a chunk
+is a chunk of its own, so memory follows the longest text; an id outside the
 vocabulary decodes to nothing, as in the library; an empty table gives an empty
 result; other columns are ignored.
 """

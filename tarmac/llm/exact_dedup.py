@@ -25,7 +25,8 @@ result row per chunk, never one per copy.
 
 Edge cases: null text counts as empty; rows with a null doc_id take part, but a
 null id is never the smallest unless the group has no other; of rows that share
-the smallest doc_id the one with the smallest row key stays; an empty table
+the smallest doc_id the one with the smallest row key stays; very long texts are
+hashed and compared whole; an empty table
 gives an empty result; other columns are ignored.
 """
 

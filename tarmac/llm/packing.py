@@ -22,7 +22,8 @@ dominance reduction.
    number finds its pattern, bin and offset.
 
 Edge cases: null or empty text is one piece with the end id alone; a null
-doc_id is kept; repeated rows are packed each; an empty table gives an empty
+doc_id is kept; repeated rows are packed each; a text of more than ``capacity``
+tokens is cut; pieces of equal length take any places of that length; an empty table gives an empty
 result; other columns are ignored.
 """
 

@@ -16,7 +16,8 @@ cut anew every ``SEGMENT_BYTES`` so that memory stays bounded).
 Edge cases: null or empty text is a bag of one empty passage; a null doc_id is
 scored, never learned from, and not held out; a doc_id with several labels
 learns from the largest; without labels of both classes the score is their
-share (0.5 without labels); repeated rows are scored each; an empty table gives
+share (0.5 without labels); repeated rows are scored each; a very long text is a
+bag of all its passages; an empty table gives
 an empty result; other columns are ignored.
 """
 

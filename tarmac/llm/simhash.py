@@ -35,7 +35,8 @@ and the first row of a component, by doc_id (nulls last) and row key, names it.
 
 Edge cases: null text counts as empty (fingerprint 0, linked like any other);
 a null doc_id is never a component id, a component of null ids has a null id;
-repeated rows are listed; an empty table gives an empty result; other columns are
+repeated rows are listed; a very long text gives one fingerprint of all its
+shingles; an empty table gives an empty result; other columns are
 ignored.
 """
 

@@ -16,8 +16,8 @@ so each word can be cut.  Words come from the tokenizer file's own normaliser
 and pre-tokenizer.  Counts of words seen before are remembered (bounded).
 
 Edge cases: null or empty text has 0 words and 0 tokens; a word with a symbol
-outside the vocabulary counts as one (unknown) token; null doc_ids and repeated
-rows are kept; an empty table gives an empty result; other columns are ignored.
+outside the vocabulary counts as one (unknown) token; a very long text is counted
+whole; null doc_ids and repeated rows are kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
