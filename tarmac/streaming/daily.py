@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from tarmac import params as P
 from tarmac.operators.skew import join_unique
 from tarmac.plans.cleaning import TAG, clean_flights
-from tarmac.plans.scoring import daily_ranking, write_flight_difficulty
+from tarmac.plans.facts import FlightFacts
+from tarmac.plans.scoring import daily_ranking, ranking_from, write_flight_difficulty
 from tarmac.plans.tag_counts import TagCounts
 from tarmac.session import scratch_scope
 from tarmac.sources.schemas import BAGS, FLIGHTS
@@ -75,14 +76,16 @@ def restrict_to_dates(t: FlightTables, dates: Sequence[dt.date | None],
 
 def rank_dates(t: FlightTables, dates: DataFrame, out_path: str,
                p: P.ScoreParams = P.SCORE_PRESET, counts: TagCounts | None = None,
-               new_bags: DataFrame | None = None, batch: tuple[str, int] | None = None) -> None:
+               new_bags: DataFrame | None = None, batch: tuple[str, int] | None = None,
+               facts: FlightFacts | None = None) -> None:
     """Daily run: rank the given dates from the raw tables and replace them in
     the ranking at ``out_path``; a date without a flight goes.
 
     With ``counts``, ``new_bags`` are the bag rows that came since the last run
     (already part of ``t.bags``): they are merged into the counts, and their
-    dates and the dates of tags that they repeat are ranked too.  The distinct
-    dates, at most the days of the calendar, come to the driver."""
+    dates and the dates of tags that they repeat are ranked too.  With ``facts``,
+    the stored facts of these dates are refreshed first and ranked from.  The
+    distinct dates, at most the days of the calendar, come to the driver."""
     spark = dates.sparkSession
     days = {r[0] for r in dates.select(DATE).distinct().collect()}
     if counts is not None and new_bags is not None:
@@ -91,7 +94,12 @@ def rank_dates(t: FlightTables, dates: DataFrame, out_path: str,
     if not days:
         return
     with scratch_scope(spark):
-        ranked = daily_ranking(restrict_to_dates(t, sorted(days, key=str), counts), p, sort=False)
+        mine = restrict_to_dates(t, sorted(days, key=str), counts)
+        if facts is None:
+            ranked = daily_ranking(mine, p, sort=False)
+        else:
+            facts.refresh(mine, days, batch)
+            ranked = ranking_from(facts.inputs(days), p, sort=False)
         write_flight_difficulty(ranked, out_path, dates=days, batch=batch)
 
 
@@ -99,7 +107,8 @@ def start_daily_ranking(spark: SparkSession, new_flights_dir: str,
                         tables: Callable[[], FlightTables], out_path: str,
                         checkpoint_location: str, p: P.ScoreParams = P.SCORE_PRESET,
                         available_now: bool = False, counts: TagCounts | None = None,
-                        new_bags_dir: str | None = None, name: str = "daily"):
+                        new_bags_dir: str | None = None, name: str = "daily",
+                        facts: FlightFacts | None = None):
     """Start the stream.  ``new_flights_dir`` receives flight files (declared
     flight schema, parquet), ``new_bags_dir`` bag files for ``counts``;
     ``tables`` returns the full, raw tables (already holding the new rows) when
@@ -113,7 +122,7 @@ def start_daily_ranking(spark: SparkSession, new_flights_dir: str,
 
     def handle(rows: DataFrame, batch_id: int) -> None:
         rank_dates(tables(), rows.filter(~F.col("bag")), out_path, p, counts,
-                   rows.filter("bag").drop("bag"), (name, batch_id))
+                   rows.filter("bag").drop("bag"), (name, batch_id), facts)
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation",
                                                              checkpoint_location)

@@ -13,6 +13,7 @@ import pytest
 from minidata import MON, SUN, mini_tables
 from tarmac.plans import scoring
 from tarmac.plans.cleaning import TAG
+from tarmac.plans.facts import FlightFacts
 from tarmac.plans.tag_counts import TagCounts
 from tarmac.sources.published import PublishedTable
 from tarmac.streaming import start_daily_ranking
@@ -142,9 +143,12 @@ def test_run_reads_bags_of_its_dates_and_buckets_of_their_tags(spark, tmp_path):
     assert key(mine) == key(cleaned.filter(cleaned[DATE] == SUN))
 
 
-def test_stream_of_flights_and_bags_equals_the_batch(spark, tmp_path):
+@pytest.mark.parametrize("days", [None, 1, 30])
+def test_stream_of_flights_and_bags_equals_the_batch(spark, tmp_path, days):
+    """With and without stored facts."""
     raw = mini_tables(spark)
-    dirs = {n: str(tmp_path / n) for n in ("flights", "bags", "out", "ckpt", "counts")}
+    dirs = {n: str(tmp_path / n) for n in ("flights", "bags", "out", "ckpt", "counts", "facts")}
+    facts = FlightFacts(spark, dirs["facts"], days_per_part=days) if days else None
     counts = TagCounts(spark, dirs["counts"], buckets=5)
 
     def tables():
@@ -157,6 +161,9 @@ def test_stream_of_flights_and_bags_equals_the_batch(spark, tmp_path):
         _, new = with_bags(spark, raw, [bag])
         raw.bags.filter(raw.bags[DATE] == day).unionByName(new).write.mode("append").parquet(dirs["bags"])
         q = start_daily_ranking(spark, dirs["flights"], tables, dirs["out"], dirs["ckpt"], available_now=True,
-                                counts=counts, new_bags_dir=dirs["bags"])
+                                counts=counts, new_bags_dir=dirs["bags"], facts=facts)
         q.awaitTermination(300)
         assert ranking(spark, dirs["out"]) == rows(scoring.daily_ranking(tables().cleaned(), sort=False), *RANK_COLS)
+        if facts:
+            assert rows(scoring.ranking_from(facts.inputs(), scoring.P.SCORE_PRESET, sort=False),
+                        *RANK_COLS) == ranking(spark, dirs["out"])
