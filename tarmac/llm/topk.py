@@ -48,6 +48,7 @@ BLOCK_ROWS = 2048           # candidates of a unit
 QUERY_ROWS = 1024           # queries of a unit
 BASE = 1.3                  # ratio of the radii of a level and the next
 LEAF_ROWS = 48
+QUERY_LEAF_ROWS = 6
 SMALL_ROWS = 16
 _LIMIT = 1 << 31
 _EXACT = 1 << 53
@@ -86,11 +87,12 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 class CoverTree:
     """A node's children cover its points within 1 / BASE of its radius, with
-    centres further apart than that.  ``LEAF_ROWS`` points or fewer (or equal
-    points) stay together; children of fewer than ``SMALL_ROWS`` points share
+    centres further apart than that.  ``leaf_rows`` points or fewer (or equal
+    points) stay together; children of fewer than ``small_rows`` points share
     one leaf around the node's own centre."""
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, leaf_rows: int = LEAF_ROWS, small_rows: int = SMALL_ROWS):
+        self.leaf_rows, self.small_rows = leaf_rows, small_rows
         self.x = points.astype(np.float64)
         self.rows: list[np.ndarray] = []       # points below a node
         self.centre: list[int] = []
@@ -115,13 +117,13 @@ class CoverTree:
 
     def _split(self, node: int) -> list[int]:
         rows, scale = self.rows[node], self.radius[node] / BASE
-        if len(rows) <= LEAF_ROWS or scale == 0:
+        if len(rows) <= self.leaf_rows or scale == 0:
             return []
         centre, left, small, open_ = self.centre[node], rows, [], []
         while len(left):
             dist = self._distance(centre, left)
             near = dist <= scale
-            if near.sum() < SMALL_ROWS:
+            if near.sum() < self.small_rows:
                 small.append(left[near])
             else:
                 open_.append(self._node(centre, left[near], dist[near]))
@@ -140,7 +142,8 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray,
                 floor: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
     """(query row, id, score) of each query's k best points (best first), less
     those below its ``floor``, a kth score it is known to reach."""
-    qt, dt = CoverTree(queries), CoverTree(points)
+    # a group of queries prunes by the worst of its kth scores, so few share a leaf
+    qt, dt = CoverTree(queries, QUERY_LEAF_ROWS, 1), CoverTree(points)
     if not qt.rows or not dt.rows:
         return
     worst = floor.astype(np.float64)

@@ -69,6 +69,29 @@ def test_dual_search_prunes_nothing_it_needs():
             assert got[row] == want
 
 
+def test_clusters_are_pruned(monkeypatch):
+    """Node pairs of far clusters are never scored; the results stay exact."""
+    scored, real = [0], topk.scores
+
+    def counted(a, b):
+        scored[0] += len(a) * len(b)
+        return real(a, b)
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 16))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    make = lambda n: np.floor(1024 * (centres[rng.integers(0, 20, n)] + rng.normal(size=(n, 16)) * .02)).astype(np.int64)
+    q, x = make(400), make(4000)
+    monkeypatch.setattr(topk, "scores", counted)
+    got = {}
+    for row, i, s in topk.dual_search(q, np.full(400, -1), x, np.arange(4000), np.full(400, -(1 << 63)), 10):
+        got.setdefault(row, []).append((s, i))
+    assert scored[0] < 0.15 * len(q) * len(x)
+    whole = x @ q.T
+    for row in range(0, 400, 7):
+        assert got[row] == sorted(((int(s), i) for i, s in enumerate(whole[:, row])), key=lambda t: (-t[0], t[1]))[:10]
+
+
 def test_cover_tree_covers():
     x = np.random.default_rng(2).integers(-100, 100, (500, 3))
     t = topk.CoverTree(x)
