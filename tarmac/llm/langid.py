@@ -10,8 +10,8 @@
    bounded sample of about ``SAMPLE_ROWS`` documents, as many of each language,
    picked by hash of id and text, one row per id, and in the order of the hash
    up to ``SAMPLE_BYTES`` of vectors; their whole texts are read.  Every language
-   is learned (with more than ``SAMPLE_ROWS`` of them, about one document of
-   each; the driver then holds a weight per bucket and language).
+   has a document in the sample, unless a text of another language shares its id
+   (the driver holds a weight per bucket and language).
 4. Calibration: a temperature, fitted on a fifth of the sample that training
    left out, divides the logits.
 5. ``predict`` scores every document in one pass without a shuffle.
@@ -215,12 +215,14 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", id_col: str = "d
     n, df = document_counts(rows, text_col)
     idf = np.log((1 + n) / (1 + df)) + 1
     spark = docs.sparkSession
-    sizes = (rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("rows"))
+    span = 1 << 30
+    at = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")), F.lit(span))
+    sizes = (rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("rows"), F.min(at).alias("first"))
              .orderBy("lang").collect())                       # one row per language
     if not sizes:
         return train([], [], idf)
-    span = 1 << 30
-    below = spark.createDataFrame([(r["lang"], min(span, max(span // r["rows"], span * sample_rows // (
+    # at least the first row of each language
+    below = spark.createDataFrame([(r["lang"], min(span, max(r["first"] + 1, span * sample_rows // (
         len(sizes) * r["rows"])))) for r in sizes], "lang string, below long")
     at = F.pmod(F.xxhash64("id", "text"), F.lit(span))
     picked = (rows.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"),

@@ -1,4 +1,5 @@
 import os
+import random
 
 import numpy as np
 import pytest
@@ -82,3 +83,22 @@ def test_temperature_calibrates():
     logits = rng.normal(size=(4000, 3)) * 2
     labels = np.array([rng.choice(3, p=langid.softmax(x)) for x in logits])
     assert langid.fit_temperature(logits * 5, labels) == pytest.approx(5, rel=0.15)
+
+
+def test_every_language_is_learned_from_a_sample_of_any_partitioning(spark, monkeypatch):
+    """More languages than the sample has rows for, ids that several texts share."""
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choices("abcdefgh" + chr(0x100 + k), k=30)), f"l{k:02d}") for i, k in
+            ((i, i % 60) for i in range(300))]
+    rows += [(i, "another text", "l00") for i in range(20)]
+    docs = spark.createDataFrame(rows + rows[:40] * 5, "doc_id long, text string, lang string")
+    models = [langid.fit(docs.repartition(n), F.lit(True), sample_rows=30) for n in (1, 5)]
+    assert models[0].languages == models[1].languages and len(models[0].languages) >= 55
+    assert np.array_equal(models[0].weights, models[1].weights)
+
+
+def test_sample_bytes(spark, monkeypatch):
+    from tarmac.llm.common import first_bytes
+    rows = spark.createDataFrame([(i, 1000 - i, b"x" * 10) for i in range(100)], "id long, order long, x binary")
+    assert [r["id"] for r in sorted(first_bytes(rows, F.octet_length("x"), 35), key=lambda r: r["order"])] == [99, 98, 97]
+    assert len(first_bytes(rows, F.octet_length("x"), 1)) == 1 and first_bytes(rows.filter("false"), F.lit(1), 9) == []

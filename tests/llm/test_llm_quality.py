@@ -96,3 +96,13 @@ def test_passages_cover_whole_texts(monkeypatch):
     monkeypatch.setattr(quality, "SEGMENT_BYTES", 997)
     assert b"".join(quality._segments(text)) == text
     assert b"".join(quality._segments(b"x" * 5000)) == b"x" * 5000
+
+
+def test_sample_keeps_one_text_of_an_id_in_a_defined_order(spark):
+    rows = [(i % 20, f"text {i} of many words " * (1 + i % 3)) for i in range(200)]
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    got = [quality.labelled_sample(docs.repartition(n), labels.repartition(n), "text", "doc_id", "quality", 30)
+           for n in (1, 4)]
+    assert len(got[0][0]) == len(got[1][0]) <= 20
+    assert all(np.array_equal(a, b) for a, b in zip(got[0][0], got[1][0])) and (got[0][1] == got[1][1]).all()
