@@ -4,8 +4,10 @@ Lower-cased texts are cut into pieces at punctuation and line ends, and pieces
 into words; a phrase lies within a piece.  Everything is per language.
 
 1. ``split``: a task turns chunks of texts into sequences of the chunk's own
-   word numbers (side files of the shared folder) and counts its words.  Words
-   that occur ``min_count`` times over all chunks get a global id.
+   word numbers (side files of the shared folder) and counts its words.  The
+   counts go, packed, to the owners of the words' hashes, which sum them and
+   send back a global id for every word that occurs ``min_count`` times over all
+   chunks (``settle_words``).
 2. ``build``: a chunk is a shard.  Its frequent words, with a separator between
    stretches of them, are indexed in both directions (``Index``): rows in the
    order of the words that follow and, for the second index, that precede, each
@@ -17,22 +19,17 @@ into words; a phrase lies within a piece.  Everything is per language.
    frequent over all shards, the backward steps give every phrase with one word
    more on the left, the steps of the other index every phrase with one more on
    the right, each with its interval in both.  A phrase found by both has two
-   frequent parts and is sent, with its count, under the ids of these parts.
-4. The shards' counts are summed; phrases of at least ``min_count`` get an id,
-   which goes back to the shards that hold them, for the next length.  So a
-   shard sends no phrase with a rare part.
+   frequent parts; it goes, with its count and the ids of these parts, to the
+   owner of its hash.  So a shard sends no phrase with a rare part.
+4. An owner sums the shards' counts.  Phrases of at least ``min_count`` get an
+   id, and every shard that sent one gets the id back, for the next length.
+   What a shard sends an owner, and gets back, is one packed row (``deal``,
+   ``settle``), as most of its phrases are rare in all shards together.
 5. The parts' ids chain every phrase to its prefixes and suffixes, which gives
    the counts at every cut; longer phrases that contain it give the drops.
 
-Pairs of frequent words are by far the most candidates, and most are rare.
-Before step 4 for pairs, the shards add their pair counts in hashed buckets
-(``SLICE`` buckets a row); a pair whose bucket stays below ``min_count`` over all
-shards cannot be frequent and is not sent.  This changes no result.  The number
-of buckets follows the words up to ``MAX_BUCKETS``; where even those would be
-full (over ``FULL`` words a bucket) the step is left out.
-
-Every step is a sum or join over rows of (shard, phrase); no phrase, word or
-language is gathered in one task.  Ids are exact: no hash stands for a phrase.
+Every step is a sum or join over shards, words or phrases; no language or hot
+word is gathered in one task.  Ids are exact: no hash stands for a phrase.
 
 Edge cases: null or empty text has no words; a null language is ``und``, as is a
 language of that name; repeated rows count each; equal scores are ordered by
@@ -42,6 +39,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from typing import Iterator
 
 import numpy as np
@@ -58,25 +56,30 @@ from tarmac.session import scratch_path
 MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2000
+PARTS = 64                  # parts of a language that are ranked first
 CHUNK_BYTES = 16 << 20      # text of a shard
 CHUNK_ROWS = 200_000
 CHUNKS_PER_TASK = 2
-SLICE = 1 << 18             # buckets of pair counts in one row
-MAX_BUCKETS = 1 << 28       # 32 MB of bits
-FULL = 64                   # words a bucket beyond which buckets cannot tell pairs apart
+OWNER_BYTES = 24 << 20      # text behind one owner of words and phrases
+HOT_WORD = 1 << 22          # pairs of a word that occurs so often go to many owners
+SMALL_ROWS = 200_000        # tables of frequent phrases are broadcast up to this number of rows
 
 _SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
 _TO_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x2E if b in _SEPARATORS else 0x20 if b == 9 else b
                   for b in range(256))
 
-_SPLIT = pa.schema([("chunk", pa.int64()), ("no", pa.int32()), ("lang", pa.string()), ("word", pa.string()),
-                    ("n", pa.int64()), ("file", pa.string()), ("start", pa.int64()), ("size", pa.int64())])
-_SPLIT_DDL = "chunk long, no int, lang string, word string, n long, file string, start long, size long"
-_PLACE_DDL = "chunk long, file string, start long, size long, slice int, data binary"
-_PLACE = pa.schema([("chunk", pa.int64()), ("file", pa.string()), ("start", pa.int64()), ("size", pa.int64()),
-                    ("slice", pa.int32()), ("data", pa.binary())])
-_NODE = pa.schema([(c, pa.int64()) for c in ("chunk", "lo", "rlo", "n", "p", "s")])
-_NODE_DDL = "chunk long, lo long, rlo long, n long, p long, s long"
+_SPLIT = pa.schema([("chunk", pa.int64()), ("file", pa.string()), ("start", pa.int64()), ("size", pa.int64()),
+                    ("owner", pa.int32()), ("lang", pa.string()), ("data", pa.binary())])
+_SPLIT_DDL = "chunk long, file string, start long, size long, owner int, lang string, data binary"
+_WORDS = pa.schema([("gid", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("f", pa.int64()),
+                    ("chunk", pa.int64()), ("data", pa.binary())])
+_WORDS_DDL = "gid long, lang string, word string, f long, chunk long, data binary"
+_SENT_DDL = "chunk long, file string, size long, nodes string, nodes_size long, owner int, data binary"
+_SENT = pa.schema([("chunk", pa.int64()), ("file", pa.string()), ("size", pa.int64()), ("nodes", pa.string()),
+                   ("nodes_size", pa.int64()), ("owner", pa.int32()), ("data", pa.binary())])
+_OWNED_DDL = "gid long, p long, s long, f long, chunk long, owner int, data binary"
+_OWNED = pa.schema([(c, pa.int64()) for c in ("gid", "p", "s", "f", "chunk")] + [("owner", pa.int32()),
+                                                                                 ("data", pa.binary())])
 
 
 # --- the index of a shard --------------------------------------------------------
@@ -121,15 +124,28 @@ def steps_rank(one: np.ndarray, depth: int, n: int) -> np.ndarray:
     return rank
 
 
+def pack_steps(step: np.ndarray) -> bytes:
+    """Steps by their differences (they ascend within a word), the sign in the low bit."""
+    d = np.diff(step.astype(np.int64), prepend=0)
+    return planes(np.where(d < 0, -2 * d - 1, 2 * d))
+
+
+def unpack_steps(raw: bytes) -> np.ndarray:
+    z = from_planes(raw).astype(np.int64)
+    return np.cumsum(np.where(z & 1, -(z + 1) // 2, z // 2)).astype(np.int32)
+
+
 class Index:
     """Both indexes of a shard: ``forward`` and ``backward`` steps, the first
-    row of each word (``starts``; the same in both) and the words' global ids."""
+    row of each word (``starts``; the same in both), the words' global ids and
+    which of these are hot."""
 
-    def __init__(self, forward: np.ndarray, backward: np.ndarray, starts: np.ndarray, ids: np.ndarray):
-        self.forward, self.backward, self.starts, self.ids = forward, backward, starts, ids
+    def __init__(self, forward: np.ndarray, backward: np.ndarray, starts: np.ndarray, ids: np.ndarray,
+                 hot: np.ndarray):
+        self.forward, self.backward, self.starts, self.ids, self.hot = forward, backward, starts, ids, hot
 
     @classmethod
-    def of(cls, words: np.ndarray, ids: np.ndarray, depth: int) -> "Index":
+    def of(cls, words: np.ndarray, ids: np.ndarray, depth: int, hot: np.ndarray | None = None) -> "Index":
         """From a shard's words: numbers from 1 into ``ids``, 0 for anything else."""
         words = np.concatenate([[0], words, [0]])
         word = words > 0
@@ -137,7 +153,8 @@ class Index:
         kept = words[beside | (~word & np.roll(beside, 1))]
         kept = np.concatenate([[0], kept, [0]]).astype(np.int64)
         counts = np.bincount(kept, minlength=len(ids) + 1)
-        return cls(steps(kept, depth), steps(kept[::-1], depth), np.cumsum(counts), ids)
+        hot = np.zeros(0, np.int64) if hot is None else hot
+        return cls(steps(kept, depth), steps(kept[::-1], depth), np.cumsum(counts), ids, hot)
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first row, first row of the other index, size) of every word."""
@@ -145,14 +162,13 @@ class Index:
         return lo, lo, np.diff(self.starts)
 
     def pack(self) -> bytes:
-        return pack_parts(planes(self.forward), planes(self.backward), self.starts.astype(np.int64).tobytes(),
-                          self.ids.astype(np.int64).tobytes())
+        return pack_parts(pack_steps(self.forward), pack_steps(self.backward), *(
+            long_planes(x) for x in (self.starts, self.ids, self.hot)))
 
     @classmethod
     def unpack(cls, blob: bytes) -> "Index":
-        forward, backward, starts, ids = unpack_parts(blob)
-        return cls(from_planes(forward).astype(np.int32), from_planes(backward).astype(np.int32),
-                   np.frombuffer(starts, np.int64), np.frombuffer(ids, np.int64))
+        forward, backward, *rest = unpack_parts(blob)
+        return cls(unpack_steps(forward), unpack_steps(backward), *map(from_long_planes, rest))
 
     def _one_side(self, step: np.ndarray, first: np.ndarray, other: np.ndarray, size: np.ndarray
                   ) -> tuple[np.ndarray, ...]:
@@ -190,90 +206,134 @@ class Index:
         return left_lo[a], left_rlo[a], left_n[a], prefix[b], suffix[a]
 
 
-# --- pair counts in buckets ------------------------------------------------------
+# --- phrases between shards and owners -------------------------------------------
+
+def long_planes(x: np.ndarray) -> bytes:
+    """64-bit integers byte plane by byte plane, which compresses better."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_long_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
-def bucket(p: np.ndarray, s: np.ndarray, bits: int) -> np.ndarray:
-    mixed = p.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s.astype(np.uint64)
+
+def dealt(p: np.ndarray, s: np.ndarray, owners: int, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases by owner: (order, first place of each owner and the end).  Phrases
+    with the same first part go to one owner, next to each other, unless they
+    are to go ``alone``: their first part may have any number of phrases."""
+    mixed = p.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.where(alone, s, 0).astype(np.uint64)
     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+    owner = ((mixed >> np.uint64(32)) % np.uint64(owners)).astype(np.int64)
+    return np.argsort(owner, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=owners))])
 
 
-def bucket_rows(where: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(slice, packed counts) of bucketed counts."""
-    order = np.argsort(where, kind="stable")
-    where, n = where[order], n[order]
-    heads = np.flatnonzero(np.r_[True, np.diff(where) != 0]) if len(where) else np.zeros(0, int)
-    where, n = where[heads], np.add.reduceat(n, heads) if len(heads) else n
-    cuts = np.flatnonzero(np.diff(where // SLICE)) + 1
-    for w, c in zip(np.split(where, cuts), np.split(n, cuts)):
-        if len(w):
-            yield int(w[0] // SLICE), pack_parts(pack_numbers(np.diff(w % SLICE, prepend=0)),
-                                                 pack_numbers(np.minimum(c, (1 << 28) - 1)))
+def messages(p: np.ndarray, s: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(owner, packed phrases) of phrases in the order of their owners."""
+    for owner in np.flatnonzero(np.diff(at)).tolist():
+        mine = slice(at[owner], at[owner + 1])
+        yield owner, pack_parts(*pack_pairs(p[mine], s[mine]), pack_numbers(n[mine]))
 
 
-def full_buckets(rows: DataFrame, bits: int, min_count: int, tasks: int) -> np.ndarray:
-    """Bits of the buckets that reach ``min_count`` (at most MAX_BUCKETS bits)."""
-    out = pa.schema([("slice", pa.int32()), ("data", pa.binary())])
-    width = min(SLICE, 1 << bits)
+def pack_pairs(p: np.ndarray, s: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Pairs as runs of equal ``p`` and the steps of ``s`` within a run."""
+    heads = np.flatnonzero(np.r_[True, np.diff(p) != 0])
+    step = np.diff(s, prepend=0)
+    step[heads] = s[heads]
+    return long_planes(p[heads]), pack_numbers(np.diff(np.append(heads, len(p)))), long_planes(step)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, np.zeros(width, np.int64)
 
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array(
-                [np.packbits(held >= min_count).tobytes()], pa.binary())], schema=out)
+def unpack_pairs(p: bytes, runs: bytes, steps: bytes) -> tuple[np.ndarray, np.ndarray]:
+    runs, steps = unpack_numbers(runs), from_long_planes(steps)
+    heads = np.cumsum(runs) - runs
+    upto = np.cumsum(steps)
+    return np.repeat(from_long_planes(p), runs), upto - np.repeat(upto[heads] - steps[heads], runs)
 
-        for batch in it:
-            for at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if at != now:
-                    if now is not None:
-                        yield done()
-                    now, held[:] = at, 0
-                gaps, counts = unpack_parts(data)
-                held[np.cumsum(unpack_numbers(gaps))] += unpack_numbers(counts)
-        if now is not None:
-            yield done()
-
-    summed = (rows.select("slice", "data").repartition(tasks, "slice").sortWithinPartitions("slice")
-              .mapInArrow(run, "slice int, data binary"))
-    bitmap = np.zeros(1 << bits, bool)
-    for r in summed.toLocalIterator():
-        bitmap[r["slice"] * width:(r["slice"] + 1) * width] = np.unpackbits(
-            np.frombuffer(r["data"], np.uint8))[:width].astype(bool)
-    return np.packbits(bitmap)
+
+def settle(sent: DataFrame, min_count: int) -> DataFrame:
+    """Frequent phrases (gid, p, s, f) and, per message, which of its phrases
+    they are (chunk, owner, data)."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        owner = key[0].as_py()
+        parts = [unpack_parts(d) for d in rows.column("data").to_pylist()]
+        p, s = (np.concatenate(x) for x in zip(*(unpack_pairs(*x[:3]) for x in parts)))
+        n = [unpack_numbers(x[3]) for x in parts]
+        sizes, n = [len(x) for x in n], np.concatenate(n)
+        order = np.lexsort((s, p))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(p[order]) != 0) | (np.diff(s[order]) != 0)
+        heads = np.flatnonzero(new)
+        f = np.add.reduceat(n[order], heads)
+        enough = f >= min_count
+        gid = np.where(enough, (np.int64(owner) << 40) + np.cumsum(enough) - 1, -1)
+        of = np.empty(len(order), np.int64)
+        of[order] = gid[np.cumsum(new) - 1]
+        first = order[heads[enough]]
+        k = len(first)
+        found = pa.RecordBatch.from_arrays(
+            [pa.array(gid[enough]), pa.array(p[first]), pa.array(s[first]), pa.array(f[enough]),
+             pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=_OWNED)
+        replies = []
+        for chunk, mine in zip(rows.column("chunk").to_pylist(), np.split(of, np.cumsum(sizes)[:-1])):
+            where = np.flatnonzero(mine >= 0)
+            if len(where):
+                replies.append({"chunk": chunk, "owner": owner, "data": pack_parts(
+                    pack_numbers(np.diff(where, prepend=0)), long_planes(mine[where]))})
+        return pa.Table.from_batches([found, pa.RecordBatch.from_pylist(replies, schema=_OWNED)])
+
+    return sent.groupBy("owner").applyInArrow(run, _OWNED_DDL)
+
+
+def known_gids(replies: pa.Table, at: np.ndarray) -> np.ndarray:
+    """Ids of a chunk's phrases in the order of their owners (-1: not frequent)."""
+    out = np.full(int(at[-1]), -1, np.int64)
+    for owner, data in zip(replies.column("owner").to_pylist(), replies.column("data").to_pylist()):
+        gaps, gid = unpack_parts(data)
+        out[at[owner] + np.cumsum(unpack_numbers(gaps))] = from_long_planes(gid)
+    return out
 
 
 # --- Spark -----------------------------------------------------------------------
 
-def split(docs: DataFrame, folder: str, text_col: str, lang_col: str | None) -> DataFrame:
-    """Rows (chunk, no, lang, word, n) and, without ``no``, the place of a chunk's
-    sequence of word numbers.  To be written once."""
+def split(docs: DataFrame, folder: str, owners: int, text_col: str, lang_col: str | None) -> DataFrame:
+    """Rows with the place of a chunk's sequence of word numbers and rows (chunk,
+    owner, lang, data: words in the order of their numbers, the first number and
+    the counts).  To be written once."""
 
     def close(chunk: int, by_lang: dict[str, list[bytes]], file) -> Iterator[pa.RecordBatch]:
-        parts, base = [], 1
+        parts, rows, base = [], [], 1
         for lang, texts in by_lang.items():
             flat = pc.ascii_split_whitespace(
                 pa.array([b" . ".join(texts)], pa.binary()).cast(pa.string())).flatten().dictionary_encode()
-            number, names = flat.indices.to_numpy().astype(np.int64), flat.dictionary
+            number, names = flat.indices.to_numpy(), flat.dictionary.cast(pa.binary()).to_pylist()
             counts = np.bincount(number, minlength=len(names))
-            word = pc.and_(pc.not_equal(names, "."), pc.not_equal(names, "")).to_numpy(zero_copy_only=False)
-            rows = np.flatnonzero(word)
-            new = np.zeros(len(names), np.int64)                # separators stay 0
-            new[rows] = base + np.arange(len(rows))
-            empty = pc.equal(names, "").to_numpy(zero_copy_only=False)
-            parts += [new[number[~empty[number]]], np.zeros(1, np.int64)]
-            n = len(rows)
-            none = pa.nulls(n, pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, chunk)), pa.array(new[rows].astype(np.int32)), pa.array([lang] * n, pa.string()),
-                 names.take(pa.array(rows)), pa.array(counts[rows]), none, pa.nulls(n, pa.int64()),
-                 pa.nulls(n, pa.int64())], schema=_SPLIT)
-            base += n
-        blob = pack_parts(planes(np.concatenate(parts)))
-        start = file.tell()
+            seed = zlib.crc32(lang.encode())
+            owner = np.fromiter((zlib.crc32(w, seed) % owners if w and w != b"." else -1 for w in names),
+                                np.int64, len(names))
+            # an owner's words in alphabetical order, which compresses better
+            order = pc.sort_indices(pa.table({"owner": owner, "word": flat.dictionary}), sort_keys=[
+                ("owner", "ascending"), ("word", "ascending")]).to_numpy().astype(np.int64)
+            order = order[np.count_nonzero(owner < 0):]         # separators and empty words have no number
+            new = np.zeros(len(names), np.int64)
+            new[order] = base + np.arange(len(order))
+            filled = np.array([bool(w) for w in names], bool)
+            parts += [new[number[filled[number]]], np.zeros(1, np.int64)]
+            cuts = np.flatnonzero(np.diff(owner[order])) + 1
+            for mine in np.split(order, cuts):
+                if len(mine):
+                    rows.append({"chunk": chunk, "owner": int(owner[mine[0]]), "lang": lang, "data": pack_parts(
+                        b" ".join([names[i] for i in mine]), np.int64(new[mine[0]]).tobytes(), pack_numbers(counts[mine]))})
+            base += len(order)
+        # the sequence by frequency, which compresses better, and the words' numbers
+        text = np.concatenate(parts)
+        counts = np.bincount(text)
+        order = np.argsort(-counts, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        blob = pack_parts(planes(place[text]), planes(order))
+        rows.append({"chunk": chunk, "file": file.name, "start": file.tell(), "size": len(blob)})
         file.write(blob)
-        yield pa.RecordBatch.from_pylist([{"chunk": chunk, "file": file.name, "start": start, "size": len(blob)}],
-                                         schema=_SPLIT)
+        yield pa.RecordBatch.from_pylist(rows, schema=_SPLIT)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -298,81 +358,126 @@ def split(docs: DataFrame, folder: str, text_col: str, lang_col: str | None) ->
     return docs.select(lang, F.col(text_col).cast("string")).mapInArrow(run, _SPLIT_DDL)
 
 
-def _numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written with a column ``gid``."""
-    return materialize(df.withColumn("gid", F.monotonically_increasing_id()), name)
-
-
-def build(chunks: DataFrame, words: DataFrame, folder: str, depth: int, bits: int | None) -> DataFrame:
-    """Index of every chunk: its place (and, with ``bits``, its pair counts)."""
+def settle_words(sent: DataFrame, min_count: int, owners: int) -> DataFrame:
+    """Frequent words (gid, lang, word, f), the words of a language in all (lang,
+    f) and, per message, the numbers of its frequent words (chunk, data)."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        out, owner, held = [], key[0].as_py(), []
+        for lang in pc.unique(rows.column("lang")).to_pylist():
+            mine = rows.filter(pc.equal(rows.column("lang"), lang))
+            parts = [unpack_parts(d) for d in mine.column("data").to_pylist()]
+            words = [x[0].split(b" ") for x in parts]
+            coded = pa.array([w for same in words for w in same], pa.binary()).dictionary_encode()
+            number = coded.indices.to_numpy()
+            f = np.zeros(len(coded.dictionary), np.int64)
+            np.add.at(f, number, np.concatenate([unpack_numbers(x[2]) for x in parts]))
+            out.append({"lang": lang, "f": int(f.sum())})
+            held.append((lang, mine.column("chunk").to_pylist(), [x[1] for x in parts], [len(w) for w in words],
+                         number, coded.dictionary, f))
+        # the owner's frequent words by frequency; owners deal their numbers out in
+        # turn, so a number is about the word's rank, and ids of one phrase compress well
+        counts = np.concatenate([x[-1] for x in held])
+        ids = np.full(len(counts), -1, np.int64)
+        first = np.argsort(-counts, kind="stable")[:np.count_nonzero(counts >= min_count)]
+        ids[first] = np.arange(len(first)) * owners + owner
+        at = 0
+        for lang, chunks, bases, sizes, number, names, f in held:
+            gid = ids[at:at + len(f)]
+            at += len(f)
+            enough = np.flatnonzero(gid >= 0)
+            out += [{"gid": g, "lang": lang, "word": w.decode("utf-8", "replace"), "f": k} for g, w, k in zip(
+                gid[enough].tolist(), names.take(pa.array(enough)).to_pylist(), f[enough].tolist())]
+            for chunk, base, mine in zip(chunks, bases, np.split(number, np.cumsum(sizes)[:-1])):
+                where = np.flatnonzero(gid[mine] >= 0)
+                if len(where):
+                    hot = gid[mine][where][f[mine][where] >= HOT_WORD]
+                    out.append({"chunk": chunk, "data": pack_parts(
+                        base, pack_numbers(np.diff(where, prepend=0)), long_planes(gid[mine][where]), long_planes(hot))})
+        return pa.Table.from_pylist(out, schema=_WORDS)
+
+    return sent.groupBy("owner").applyInArrow(run, _WORDS_DDL)
+
+
+def build(chunks: DataFrame, words: DataFrame, folder: str, depth: int, owners: int) -> DataFrame:
+    """Index of every chunk (its place) and its pairs of frequent words, packed
+    for their owners."""
 
     def run(key: tuple, place: pa.Table, known: pa.Table) -> pa.Table:
-        from pyspark import TaskContext
-
         rows = place.to_pylist()
         if not rows or not known.num_rows:
-            return pa.Table.from_pylist([], schema=_PLACE)
-        (raw,) = unpack_parts(read_side(folder, rows[0]["file"], rows[0]["start"], rows[0]["size"]))
-        text = from_planes(raw)
-        no = known.column("no").to_numpy()
+            return _SENT.empty_table()
+        raw, order = unpack_parts(read_side(folder, rows[0]["file"], rows[0]["start"], rows[0]["size"]))
+        text = from_planes(order)[from_planes(raw)]
+        replies = [unpack_parts(d) for d in known.column("data").to_pylist()]
+        no = np.concatenate([np.frombuffer(x[0], np.int64)[0] + np.cumsum(unpack_numbers(x[1])) for x in replies])
+        gid = np.concatenate([from_long_planes(x[2]) for x in replies])
+        hot = np.concatenate([from_long_planes(x[3]) for x in replies])
+        order = np.argsort(gid)
+        gid, no = gid[order], no[order]
         to_word = np.zeros(int(max(text.max(initial=0), no.max(initial=0))) + 1, np.int64)
         to_word[no] = 1 + np.arange(len(no))
-        index = Index.of(to_word[text], known.column("gid").to_numpy(), depth)
-        file = _SideFile(folder, f"index-{rows[0]['chunk']}-{TaskContext.get().taskAttemptId()}.bin")
+        index = Index.of(to_word[text], gid, depth, hot)
         blob = index.pack()
-        file.write(blob)
-        file.close()
-        out = [{"chunk": rows[0]["chunk"], "file": file.name, "start": 0, "size": len(blob)}]
-        if bits is not None:
-            _, _, n, p, s = index.extend(*index.words())
-            out += [{"slice": i, "data": d} for i, d in bucket_rows(bucket(index.ids[p], index.ids[s], bits), n)]
-        return pa.Table.from_pylist(out, schema=_PLACE)
-
-    return chunks.groupBy("chunk").cogroup(words.groupBy("shard")).applyInArrow(run, _PLACE_DDL)
+        name = _put(folder, f"index-{rows[0]['chunk']}", blob)
+        _, _, n, p, s, at = _pairs(index, owners)
+        return _sent(rows[0]["chunk"], name, len(blob), None, 0, messages(p, s, n, at))
 
+    return chunks.groupBy("chunk").cogroup(words.groupBy("shard")).applyInArrow(run, _SENT_DDL)
 
-def _candidates(index: Index, chunk: int, lo: np.ndarray, rlo: np.ndarray, size: np.ndarray, gid: np.ndarray,
-                wanted=None) -> pa.RecordBatch:
-    lo, rlo, size, prefix, suffix = index.extend(lo, rlo, size)
-    cols = [np.full(len(lo), chunk, np.int64), lo, rlo, size, gid[prefix], gid[suffix]]
-    if wanted is not None:
-        keep = wanted(cols[4], cols[5])
-        cols = [c[keep] for c in cols]
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], schema=_NODE)
 
+def _pairs(index: Index, owners: int) -> tuple[np.ndarray, ...]:
+    """Pairs of frequent words by owner: (lo, rlo, n, p, s, first places)."""
+    lo, rlo, n, prefix, suffix = index.extend(*index.words())
+    p, s = index.ids[prefix], index.ids[suffix]
+    order, at = dealt(p, s, owners, np.isin(p, index.hot))
+    return lo[order], rlo[order], n[order], p[order], s[order], at
 
-def pairs(indexes: DataFrame, folder: str, bitmap, bits: int | None) -> DataFrame:
-    """Phrases of two words in every shard that may be frequent."""
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = bitmap.value if bitmap is not None else None
+def _put(folder: str, name: str, blob: bytes) -> str:
+    """Write a file of the shared folder that belongs to one task attempt."""
+    from pyspark import TaskContext
 
-        def wanted(p: np.ndarray, s: np.ndarray) -> np.ndarray:
-            at = bucket(p, s, bits)
-            return (full[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+    file = _SideFile(folder, f"{name}-{TaskContext.get().taskAttemptId()}.bin")
+    file.write(blob)
+    file.close()
+    return file.name
 
-        for batch in it:
-            for r in batch.to_pylist():
-                index = Index.unpack(read_side(folder, r["file"], r["start"], r["size"]))
-                yield _candidates(index, r["chunk"], *index.words(), index.ids, wanted if full is not None else None)
 
-    return indexes.mapInArrow(run, _NODE_DDL)
+def _sent(chunk: int, file: str, size: int, nodes: str | None, nodes_size: int, parts: Iterator[tuple[int, bytes]]
+          ) -> pa.Table:
+    rows = [{"chunk": chunk, "file": file, "size": size, "nodes": nodes, "nodes_size": nodes_size}]
+    rows += [{"chunk": chunk, "owner": owner, "data": data} for owner, data in parts]
+    return pa.Table.from_pylist(rows, schema=_SENT)
 
 
-def longer(indexes: DataFrame, nodes: DataFrame, folder: str) -> DataFrame:
-    """From the frequent phrases of k words in every shard to k + 1 words."""
+def longer(places: DataFrame, replies: DataFrame, folder: str, owners: int) -> DataFrame:
+    """From the phrases of k words in every shard, whose ids have come back, to
+    those of k + 1 words: their intervals in a side file and packed rows for
+    their owners, like ``build``."""
 
     def run(key: tuple, place: pa.Table, known: pa.Table) -> pa.Table:
-        rows = place.to_pylist()
-        if not rows or not known.num_rows:
-            return pa.Table.from_pylist([], schema=_NODE)
-        index = Index.unpack(read_side(folder, rows[0]["file"], rows[0]["start"], rows[0]["size"]))
-        lo = known.column("lo").to_numpy()
-        order = np.argsort(lo)
-        lo, rlo, n, gid = (known.column(c).to_numpy()[order] for c in ("lo", "rlo", "n", "gid"))
-        return pa.Table.from_batches([_candidates(index, rows[0]["chunk"], lo, rlo, n, gid)], schema=_NODE)
-
-    return indexes.groupBy("chunk").cogroup(nodes.groupBy("chunk")).applyInArrow(run, _NODE_DDL)
+        if not place.num_rows or not known.num_rows:
+            return _SENT.empty_table()
+        (row,) = place.to_pylist()
+        index = Index.unpack(read_side(folder, row["file"], 0, row["size"]))
+        if row["nodes"] is None:                # pairs are found again
+            lo, rlo, n, _, _, at = _pairs(index, owners)
+        else:
+            lo, rlo, n, at = (from_long_planes(x) for x in unpack_parts(
+                read_side(folder, row["nodes"], 0, row["nodes_size"])))
+        gid = known_gids(known, at)
+        rows = np.flatnonzero(gid >= 0)
+        rows = rows[np.argsort(lo[rows])]
+        lo, rlo, n, prefix, suffix = index.extend(lo[rows], rlo[rows], n[rows])
+        p, s = gid[rows][prefix], gid[rows][suffix]
+        order, at = dealt(p, s, owners, np.ones(len(p), bool))
+        blob = pack_parts(*map(long_planes, (lo[order], rlo[order], n[order], at)))
+        name = _put(folder, f"nodes-{row['chunk']}", blob)
+        return _sent(row["chunk"], row["file"], row["size"], name, len(blob),
+                     messages(p[order], s[order], n[order], at))
+
+    return places.groupBy("chunk").cogroup(replies.groupBy("shard")).applyInArrow(run, _SENT_DDL)
 
 
 def phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, text_col: str = "text",
@@ -381,44 +486,47 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WO
     lang and word, else the ids ``p`` and ``s`` of the first and last k - 1 words)."""
     spark = docs.sparkSession
     folder = scratch_path(spark, "phrase-index")
-    table = materialize(split(docs, folder, text_col, lang_col), "phrase-words")
-    words, chunks = table.filter("no IS NOT NULL"), table.filter("no IS NULL")
-    totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-    enough = F.col("f") >= min_count
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    owners = max(spark.sparkContext.defaultParallelism, -(-size // OWNER_BYTES))
+    table = materialize(split(docs, folder, owners, text_col, lang_col), "phrase-words")
+    chunks = table.filter("owner IS NULL").select("chunk", "file", "start", "size")
+    words = materialize(settle_words(table.filter("owner IS NOT NULL").select("chunk", "owner", "lang", "data")
+                                     .repartition(owners, "owner"), min_count, owners), "phrase-1")
+    totals = words.filter("chunk IS NULL AND word IS NULL").groupBy("lang").agg(F.sum("f").alias("n"))
+    level = [words.filter("word IS NOT NULL").select("gid", "lang", "word", "f")]
+    known = words.filter("chunk IS NOT NULL").select(F.col("chunk").alias("shard"), "data")
     tasks = tasks_for(spark, chunks.count(), CHUNKS_PER_TASK)
-    level = [_numbered(words.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(enough), "phrase-1")]
-    known = words.join(level[0], ["lang", "word"]).select(F.col("chunk").alias("shard"), "no", "gid")
-    all_words = int(totals.agg(F.sum("n")).first()[0] or 0)
-    bits = max(10, min((max(1, all_words // 4)).bit_length(), MAX_BUCKETS.bit_length() - 1))
-    if all_words > FULL << bits:
-        bits = None
-    built = materialize(build(chunks.select("chunk", "file", "start", "size").repartition(tasks, "chunk"),
-                              known.repartition(tasks, "shard"), folder, max_words, bits), "phrase-shards")
-    indexes = built.filter("slice IS NULL").select("chunk", "file", "start", "size").repartition(tasks, "chunk")
-    bitmap = None
-    if bits is not None:
-        bitmap = spark.sparkContext.broadcast(full_buckets(built.filter("slice IS NOT NULL"), bits, min_count, tasks))
-    found = pairs(indexes, folder, bitmap, bits)
+    sent = build(chunks.repartition(tasks, "chunk"), known.repartition(tasks, "shard"), folder, max_words, owners)
     for k in range(2, max_words + 1):
-        found = materialize(found, f"phrase-nodes-{k}")
-        level.append(_numbered(found.groupBy("p", "s").agg(F.sum("n").alias("f")).filter(enough), f"phrase-{k}"))
+        sent = materialize(sent, f"phrase-sent-{k}")
+        owned = materialize(settle(sent.filter("owner IS NOT NULL").select("chunk", "owner", "data")
+                                   .repartition(owners, "owner"), min_count), f"phrase-{k}")
+        level.append(owned.filter("chunk IS NULL").select("gid", "p", "s", "f"))
         if k < max_words:
-            nodes = found.join(level[-1].select("p", "s", "gid"), ["p", "s"]).select("chunk", "lo", "rlo", "n", "gid")
-            found = longer(indexes, nodes.repartition(tasks, "chunk"), folder)
+            replies = owned.filter("chunk IS NOT NULL").select(F.col("chunk").alias("shard"), "owner", "data")
+            places = sent.filter("owner IS NULL").select("chunk", "file", "size", "nodes", "nodes_size")
+            sent = longer(places.repartition(tasks, "chunk"), replies.repartition(tasks, "shard"), folder, owners)
     return totals, level
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, text_col: str = "text",
                  lang_col: str | None = "lang") -> DataFrame:
     """lang, phrase, a, l, r, n, score of every candidate that no longer one of
     the same count contains (the extension counts are ``left`` and ``right``: the
     most frequent phrase with one word more on that side, null if none)."""
     totals, level = phrases(docs, min_count, max_words, text_col, lang_col)
+    level = [materialize(t, "phrase-level") for t in level]
     held = level[0].select("gid", "lang", "f", F.array("word").alias("words"),
                            F.array().cast("array<long>").alias("first"), F.array().cast("array<long>").alias("rest"))
     out = None
     for k, table in enumerate(level[1:], start=2):
-        a, b = held.alias("a"), held.alias("b")
+        small = _small(held)
+        a, b = small.alias("a"), small.alias("b")
         held = (table.join(a, F.col("p") == F.col("a.gid")).join(b, F.col("s") == F.col("b.gid")).select(
             table["gid"], F.col("a.lang").alias("lang"), table["f"],
             F.concat("a.words", F.slice("b.words", -1, 1)).alias("words"),
@@ -429,7 +537,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
             rows = held
             for side, part in (("right", "p"), ("left", "s")):
                 grown = level[k].groupBy(F.col(part).alias("gid")).agg(F.max("f").alias(side))
-                rows = rows.join(grown, "gid", "left")
+                rows = rows.join(_small(materialize(grown, f"phrase-{side}")), "gid", "left")
             rows = rows.filter(F.coalesce(F.greatest("left", "right"), F.lit(0)) < F.col("f"))
         else:
             rows = rows.select("*", F.lit(None).cast("long").alias("right"), F.lit(None).cast("long").alias("left"))
@@ -449,7 +557,12 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
 
 
 def top(found: DataFrame, limit: int = TOP) -> DataFrame:
-    """The first ``limit`` collocations of each language."""
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
+    """The first ``limit`` collocations of each language (of parts of a language
+    first, so that no task ranks a whole one)."""
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    first = F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))
+    best = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    found = found.withColumn("rank", first).filter(F.col("rank") <= limit)
+    return (found.withColumn("rank", best).filter(F.col("rank") <= limit)
             .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"))

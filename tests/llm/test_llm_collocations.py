@@ -72,14 +72,14 @@ def test_documents(spark, monkeypatch):
     assert found(docs, 12, limit=50) == brute(plain(docs), 12, limit=50)
 
 
-def test_without_and_with_few_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("size,hot,small", [(50, 20, 0), (1 << 40, 1, 1 << 20)])
+def test_many_and_few_owners_and_hot_words(spark, monkeypatch, size, hot, small):
+    monkeypatch.setattr(col, "OWNER_BYTES", size)
+    monkeypatch.setattr(col, "HOT_WORD", hot)
+    monkeypatch.setattr(col, "SMALL_ROWS", small)
+    monkeypatch.setattr(col, "CHUNK_BYTES", 2000)
     docs = random_docs(spark, 7)
-    want = brute(plain(docs), 8)
-    monkeypatch.setattr(col, "FULL", 0)
-    assert found(docs, 8) == want
-    monkeypatch.setattr(col, "FULL", 1 << 40)
-    monkeypatch.setattr(col, "MAX_BUCKETS", 1 << 10)
-    assert found(docs, 8) == want
+    assert found(docs, 8) == brute(plain(docs), 8)
 
 
 def test_edges(spark):
