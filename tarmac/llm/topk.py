@@ -48,7 +48,7 @@ BLOCK_ROWS = 2048           # candidates of a unit
 QUERY_ROWS = 1024           # queries of a unit
 BASE = 1.3                  # ratio of the radii of a level and the next
 LEAF_ROWS = 48
-QUERY_LEAF_ROWS = 6
+QUERY_LEAF_ROWS = 16
 SMALL_ROWS = 16
 _LIMIT = 1 << 31
 _EXACT = 1 << 53
