@@ -40,7 +40,7 @@ def test_classifiers_keep_what_they_accept(spark, stages):
     assert ids(after) == sorted(r.doc_id for r in scored if r.predicted == 1)
     _, before, after = stages[1]
     found = predict_language(before).collect()
-    assert ids(after) == sorted(r.doc_id for r in found if r.lang_pred != "und" and r.score >= cp.MIN_LANGUAGE_SCORE)
+    assert ids(after) == sorted(r.doc_id for r in found if r.lang_pred != "und")
 
 
 def test_dedup_stages(stages):
