@@ -139,6 +139,14 @@ def _delete_owned() -> None:
         pass
 
 
+def delete_scratch(spark: SparkSession, *paths: str) -> int:
+    """Delete scratch tables that a job has read for the last time."""
+    for p in paths:
+        if p in _OWNED:
+            _OWNED.remove(p)
+    return _delete(spark, list(paths))
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete this process's scratch tables (sorted tables of the ranking and
     similar).  Call it when the DataFrames built on them are no longer needed.
