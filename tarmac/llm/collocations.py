@@ -13,7 +13,8 @@ into words; a phrase lies within a piece.  Everything is per language.
    order of the words that follow and, for the second index, that precede, each
    with its step to the next row.  Rows are sorted by as many words as the
    longest phrase has, which is all that interval extension up to that length
-   looks at.
+   looks at.  What is stored is the sequence of frequent words and, once the
+   frequent pairs are known, the index of the words in these.
 3. ``extend``: bidirectional interval extension.  A phrase is an interval in
    both indexes.  From the intervals of the phrases of k words that are
    frequent over all shards, the backward steps give every phrase with one word
@@ -23,7 +24,7 @@ into words; a phrase lies within a piece.  Everything is per language.
    owner of its hash.  So a shard sends no phrase with a rare part.
 4. An owner sums the shards' counts.  Phrases of at least ``min_count`` get an
    id, and every shard that sent one gets the id back, for the next length.
-   What a shard sends an owner, and gets back, is one packed row (``deal``,
+   What a shard sends an owner, and gets back, is one packed row (``messages``,
    ``settle``), as most of its phrases are rare in all shards together.
 5. The parts' ids chain every phrase to its prefixes and suffixes, which gives
    the counts at every cut; longer phrases that contain it give the drops.
@@ -51,7 +52,7 @@ from pyspark.sql import functions as F
 from tarmac.llm.bpe import (_SideFile, from_planes, pack_numbers, pack_parts, planes, read_side, unpack_numbers,
                             unpack_parts)
 from tarmac.llm.common import materialize, tasks_for
-from tarmac.session import scratch_path
+from tarmac.session import delete_scratch, scratch_path
 
 MIN_COUNT = 100
 MAX_WORDS = 5
@@ -62,7 +63,6 @@ CHUNK_ROWS = 200_000
 CHUNKS_PER_TASK = 2
 OWNER_BYTES = 24 << 20      # text behind one owner of words and phrases
 HOT_WORD = 1 << 22          # pairs of a word that occurs so often go to many owners
-SMALL_ROWS = 200_000        # tables of frequent phrases are broadcast up to this number of rows
 
 _SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
 _TO_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x2E if b in _SEPARATORS else 0x20 if b == 9 else b
@@ -124,6 +124,14 @@ def steps_rank(one: np.ndarray, depth: int, n: int) -> np.ndarray:
     return rank
 
 
+def trimmed(words: np.ndarray) -> np.ndarray:
+    """Words that stand beside another one, with one 0 between their stretches."""
+    words = np.concatenate([[0], words, [0]])
+    word = words > 0
+    beside = word & (np.roll(word, 1) | np.roll(word, -1))          # a word alone is in no phrase
+    return words[beside | (~word & np.roll(beside, 1))]
+
+
 def pack_steps(step: np.ndarray) -> bytes:
     """Steps by their differences (they ascend within a word), the sign in the low bit."""
     d = np.diff(step.astype(np.int64), prepend=0)
@@ -137,24 +145,21 @@ def unpack_steps(raw: bytes) -> np.ndarray:
 
 class Index:
     """Both indexes of a shard: ``forward`` and ``backward`` steps, the first
-    row of each word (``starts``; the same in both), the words' global ids and
-    which of these are hot."""
+    row of each word (``starts``; the same in both) and the words' global ids."""
 
-    def __init__(self, forward: np.ndarray, backward: np.ndarray, starts: np.ndarray, ids: np.ndarray,
-                 hot: np.ndarray):
-        self.forward, self.backward, self.starts, self.ids, self.hot = forward, backward, starts, ids, hot
+    def __init__(self, forward: np.ndarray, backward: np.ndarray, starts: np.ndarray, ids: np.ndarray):
+        self.forward, self.backward, self.starts, self.ids = forward, backward, starts, ids
 
     @classmethod
-    def of(cls, words: np.ndarray, ids: np.ndarray, depth: int, hot: np.ndarray | None = None) -> "Index":
+    def of(cls, words: np.ndarray, ids: np.ndarray, depth: int) -> "Index":
         """From a shard's words: numbers from 1 into ``ids``, 0 for anything else."""
-        words = np.concatenate([[0], words, [0]])
-        word = words > 0
-        beside = word & (np.roll(word, 1) | np.roll(word, -1))      # a word alone is in no phrase
-        kept = words[beside | (~word & np.roll(beside, 1))]
-        kept = np.concatenate([[0], kept, [0]]).astype(np.int64)
+        kept = np.concatenate([[0], trimmed(words), [0]]).astype(np.int64)
         counts = np.bincount(kept, minlength=len(ids) + 1)
-        hot = np.zeros(0, np.int64) if hot is None else hot
-        return cls(steps(kept, depth), steps(kept[::-1], depth), np.cumsum(counts), ids, hot)
+        return cls(steps(kept, depth), steps(kept[::-1], depth), np.cumsum(counts), ids)
+
+    def extend_words(self) -> tuple[np.ndarray, ...]:
+        """``extend`` from the words alone; prefix and suffix number them."""
+        return self.extend(*self.words())
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first row, first row of the other index, size) of every word."""
@@ -163,7 +168,7 @@ class Index:
 
     def pack(self) -> bytes:
         return pack_parts(pack_steps(self.forward), pack_steps(self.backward), *(
-            long_planes(x) for x in (self.starts, self.ids, self.hot)))
+            long_planes(x) for x in (self.starts, self.ids)))
 
     @classmethod
     def unpack(cls, blob: bytes) -> "Index":
@@ -399,15 +404,15 @@ def settle_words(sent: DataFrame, min_count: int, owners: int) -> DataFrame:
     return sent.groupBy("owner").applyInArrow(run, _WORDS_DDL)
 
 
-def build(chunks: DataFrame, words: DataFrame, folder: str, depth: int, owners: int) -> DataFrame:
-    """Index of every chunk (its place) and its pairs of frequent words, packed
-    for their owners."""
+def build(chunks: DataFrame, words: DataFrame, texts: str, folder: str, depth: int, owners: int) -> DataFrame:
+    """The frequent words of every chunk (a side file) and, by an index of them,
+    its pairs of frequent words, packed for their owners."""
 
     def run(key: tuple, place: pa.Table, known: pa.Table) -> pa.Table:
         rows = place.to_pylist()
         if not rows or not known.num_rows:
             return _SENT.empty_table()
-        raw, order = unpack_parts(read_side(folder, rows[0]["file"], rows[0]["start"], rows[0]["size"]))
+        raw, order = unpack_parts(read_side(texts, rows[0]["file"], rows[0]["start"], rows[0]["size"]))
         text = from_planes(order)[from_planes(raw)]
         replies = [unpack_parts(d) for d in known.column("data").to_pylist()]
         no = np.concatenate([np.frombuffer(x[0], np.int64)[0] + np.cumsum(unpack_numbers(x[1])) for x in replies])
@@ -417,21 +422,39 @@ def build(chunks: DataFrame, words: DataFrame, folder: str, depth: int, owners:
         gid, no = gid[order], no[order]
         to_word = np.zeros(int(max(text.max(initial=0), no.max(initial=0))) + 1, np.int64)
         to_word[no] = 1 + np.arange(len(no))
-        index = Index.of(to_word[text], gid, depth, hot)
-        blob = index.pack()
-        name = _put(folder, f"index-{rows[0]['chunk']}", blob)
-        _, _, n, p, s, at = _pairs(index, owners)
+        kept = trimmed(to_word[text])
+        _, _, n, prefix, suffix = Index.of(kept, gid, depth).extend_words()
+        p, s = gid[prefix], gid[suffix]
+        order, at = dealt(p, s, owners, np.isin(p, hot))
+        n, p, s = n[order], p[order], s[order]
+        blob = pack_parts(planes(kept), long_planes(gid), long_planes(hot))
+        name = _put(folder, f"frequent-{rows[0]['chunk']}", blob)
         return _sent(rows[0]["chunk"], name, len(blob), None, 0, messages(p, s, n, at))
 
     return chunks.groupBy("chunk").cogroup(words.groupBy("shard")).applyInArrow(run, _SENT_DDL)
 
 
-def _pairs(index: Index, owners: int) -> tuple[np.ndarray, ...]:
-    """Pairs of frequent words by owner: (lo, rlo, n, p, s, first places)."""
-    lo, rlo, n, prefix, suffix = index.extend(*index.words())
-    p, s = index.ids[prefix], index.ids[suffix]
-    order, at = dealt(p, s, owners, np.isin(p, index.hot))
-    return lo[order], rlo[order], n[order], p[order], s[order], at
+def _indexed_pairs(blob: bytes, known: pa.Table, owners: int, depth: int) -> tuple:
+    """From the words of ``build`` and the owners' replies: an index of the words
+    in frequent pairs and these pairs (lo, rlo, n, gid)."""
+    kept, ids, hot = unpack_parts(blob)
+    kept, ids, hot = from_planes(kept).astype(np.int64), from_long_planes(ids), from_long_planes(hot)
+    width = len(ids) + 1
+    ok = (kept[:-1] > 0) & (kept[1:] > 0)
+    # the pairs in the order of ``build``: by first and second word
+    pairs, which = np.unique((kept[:-1] * width + kept[1:])[ok], return_inverse=True)
+    p, s = ids[pairs // width - 1], ids[pairs % width - 1]
+    order, at = dealt(p, s, owners, np.isin(p, hot))
+    gid = np.empty(len(pairs), np.int64)
+    gid[order] = known_gids(known, at)
+    frequent = np.zeros(len(ok), bool)
+    frequent[ok] = gid[which] >= 0
+    used = np.concatenate([frequent, [False]]) | np.concatenate([[False], frequent])
+    index = Index.of(np.where(used, kept, 0), ids, depth)
+    lo, rlo, n, prefix, suffix = index.extend_words()
+    gid = gid[np.searchsorted(pairs, (prefix + 1) * width + suffix + 1)]
+    rows = gid >= 0
+    return index, lo[rows], rlo[rows], n[rows], gid[rows]
 
 
 def _put(folder: str, name: str, blob: bytes) -> str:
@@ -451,26 +474,31 @@ def _sent(chunk: int, file: str, size: int, nodes: str | None, nodes_size: int,
     return pa.Table.from_pylist(rows, schema=_SENT)
 
 
-def longer(places: DataFrame, replies: DataFrame, folder: str, owners: int) -> DataFrame:
+def longer(places: DataFrame, replies: DataFrame, folder: str, owners: int, depth: int) -> DataFrame:
     """From the phrases of k words in every shard, whose ids have come back, to
     those of k + 1 words: their intervals in a side file and packed rows for
-    their owners, like ``build``."""
+    their owners, like ``build``.  The index that is stored for these lengths
+    holds the words of frequent pairs alone."""
 
     def run(key: tuple, place: pa.Table, known: pa.Table) -> pa.Table:
         if not place.num_rows or not known.num_rows:
             return _SENT.empty_table()
         (row,) = place.to_pylist()
-        index = Index.unpack(read_side(folder, row["file"], 0, row["size"]))
-        if row["nodes"] is None:                # pairs are found again
-            lo, rlo, n, _, _, at = _pairs(index, owners)
+        blob = read_side(folder, row["file"], 0, row["size"])
+        if row["nodes"] is None:
+            index, lo, rlo, n, gid = _indexed_pairs(blob, known, owners, depth)
+            blob = index.pack()
+            row["file"], row["size"] = _put(folder, f"index-{row['chunk']}", blob), len(blob)
         else:
+            index = Index.unpack(blob)
             lo, rlo, n, at = (from_long_planes(x) for x in unpack_parts(
                 read_side(folder, row["nodes"], 0, row["nodes_size"])))
-        gid = known_gids(known, at)
-        rows = np.flatnonzero(gid >= 0)
-        rows = rows[np.argsort(lo[rows])]
-        lo, rlo, n, prefix, suffix = index.extend(lo[rows], rlo[rows], n[rows])
-        p, s = gid[rows][prefix], gid[rows][suffix]
+            gid = known_gids(known, at)
+            rows = np.flatnonzero(gid >= 0)
+            rows = rows[np.argsort(lo[rows])]
+            lo, rlo, n, gid = lo[rows], rlo[rows], n[rows], gid[rows]
+        lo, rlo, n, prefix, suffix = index.extend(lo, rlo, n)
+        p, s = gid[prefix], gid[suffix]
         order, at = dealt(p, s, owners, np.ones(len(p), bool))
         blob = pack_parts(*map(long_planes, (lo[order], rlo[order], n[order], at)))
         name = _put(folder, f"nodes-{row['chunk']}", blob)
@@ -485,10 +513,11 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WO
     """(lang, n of all words; one table per length: gid, f and, for one word,
     lang and word, else the ids ``p`` and ``s`` of the first and last k - 1 words)."""
     spark = docs.sparkSession
-    folder = scratch_path(spark, "phrase-index")
+    folder, texts, path = (scratch_path(spark, f"phrase-{x}") for x in ("index", "texts", "words"))
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     owners = max(spark.sparkContext.defaultParallelism, -(-size // OWNER_BYTES))
-    table = materialize(split(docs, folder, owners, text_col, lang_col), "phrase-words")
+    split(docs, texts, owners, text_col, lang_col).write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(_SPLIT_DDL).parquet(path)
     chunks = table.filter("owner IS NULL").select("chunk", "file", "start", "size")
     words = materialize(settle_words(table.filter("owner IS NOT NULL").select("chunk", "owner", "lang", "data")
                                      .repartition(owners, "owner"), min_count, owners), "phrase-1")
@@ -496,37 +525,33 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WO
     level = [words.filter("word IS NOT NULL").select("gid", "lang", "word", "f")]
     known = words.filter("chunk IS NOT NULL").select(F.col("chunk").alias("shard"), "data")
     tasks = tasks_for(spark, chunks.count(), CHUNKS_PER_TASK)
-    sent = build(chunks.repartition(tasks, "chunk"), known.repartition(tasks, "shard"), folder, max_words, owners)
+    sent = build(chunks.repartition(tasks, "chunk"), known.repartition(tasks, "shard"), texts, folder, max_words, owners)
     for k in range(2, max_words + 1):
         sent = materialize(sent, f"phrase-sent-{k}")
+        if k == 2:
+            delete_scratch(spark, texts, path)          # nothing reads them any more
         owned = materialize(settle(sent.filter("owner IS NOT NULL").select("chunk", "owner", "data")
                                    .repartition(owners, "owner"), min_count), f"phrase-{k}")
         level.append(owned.filter("chunk IS NULL").select("gid", "p", "s", "f"))
         if k < max_words:
             replies = owned.filter("chunk IS NOT NULL").select(F.col("chunk").alias("shard"), "owner", "data")
             places = sent.filter("owner IS NULL").select("chunk", "file", "size", "nodes", "nodes_size")
-            sent = longer(places.repartition(tasks, "chunk"), replies.repartition(tasks, "shard"), folder, owners)
+            sent = longer(places.repartition(tasks, "chunk"), replies.repartition(tasks, "shard"), folder, owners,
+                          max_words)
     return totals, level
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if it has few rows."""
-    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
-
-
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, text_col: str = "text",
                  lang_col: str | None = "lang") -> DataFrame:
     """lang, phrase, a, l, r, n, score of every candidate that no longer one of
     the same count contains (the extension counts are ``left`` and ``right``: the
     most frequent phrase with one word more on that side, null if none)."""
     totals, level = phrases(docs, min_count, max_words, text_col, lang_col)
-    level = [materialize(t, "phrase-level") for t in level]
     held = level[0].select("gid", "lang", "f", F.array("word").alias("words"),
                            F.array().cast("array<long>").alias("first"), F.array().cast("array<long>").alias("rest"))
     out = None
     for k, table in enumerate(level[1:], start=2):
-        small = _small(held)
-        a, b = small.alias("a"), small.alias("b")
+        a, b = held.alias("a"), held.alias("b")
         held = (table.join(a, F.col("p") == F.col("a.gid")).join(b, F.col("s") == F.col("b.gid")).select(
             table["gid"], F.col("a.lang").alias("lang"), table["f"],
             F.concat("a.words", F.slice("b.words", -1, 1)).alias("words"),
@@ -537,7 +562,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
             rows = held
             for side, part in (("right", "p"), ("left", "s")):
                 grown = level[k].groupBy(F.col(part).alias("gid")).agg(F.max("f").alias(side))
-                rows = rows.join(_small(materialize(grown, f"phrase-{side}")), "gid", "left")
+                rows = rows.join(grown, "gid", "left")
             rows = rows.filter(F.coalesce(F.greatest("left", "right"), F.lit(0)) < F.col("f"))
         else:
             rows = rows.select("*", F.lit(None).cast("long").alias("right"), F.lit(None).cast("long").alias("left"))

@@ -72,11 +72,10 @@ def test_documents(spark, monkeypatch):
     assert found(docs, 12, limit=50) == brute(plain(docs), 12, limit=50)
 
 
-@pytest.mark.parametrize("size,hot,small", [(50, 20, 0), (1 << 40, 1, 1 << 20)])
-def test_many_and_few_owners_and_hot_words(spark, monkeypatch, size, hot, small):
+@pytest.mark.parametrize("size,hot", [(50, 20), (1 << 40, 1)])
+def test_many_and_few_owners_and_hot_words(spark, monkeypatch, size, hot):
     monkeypatch.setattr(col, "OWNER_BYTES", size)
     monkeypatch.setattr(col, "HOT_WORD", hot)
-    monkeypatch.setattr(col, "SMALL_ROWS", small)
     monkeypatch.setattr(col, "CHUNK_BYTES", 2000)
     docs = random_docs(spark, 7)
     assert found(docs, 8) == brute(plain(docs), 8)
