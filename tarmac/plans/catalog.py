@@ -136,6 +136,8 @@ _STORED_PLANS: dict[str, Callable[[stored.Store], DataFrame]] = {
     "ssr_per_pax_stored": stored.ssr_per_pax,
 }
 
+FACT_QUERIES, STORED_QUERIES = tuple(_FACT_PLANS), tuple(_STORED_PLANS)
+
 
 def flight_store(spark: SparkSession, sf_dir: str) -> stored.Store:
     """The cleaned tables of ``sf_dir`` in buckets, stored when a query of this
