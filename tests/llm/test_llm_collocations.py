@@ -117,3 +117,27 @@ def test_intervals_hold_all_phrases(seed):
         phrase = [phrase[p] + phrase[s][-1:] for p, s in zip(prefix, suffix)]
         want = Counter(tuple(words[i:i + k].tolist()) for i in range(401 - k) if words[i:i + k].all())
         assert dict(zip(phrase, n.tolist())) == want
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_intervals_of_few_words_of_many(seed):
+    """Words may have numbers far beyond the length of the shard."""
+    rng = np.random.default_rng(seed)
+    words = np.where(rng.random(60) < 0.3, 0, rng.choice(rng.choice(500, 5, replace=False) + 1, 60))
+    index = col.Index.of(words, np.arange(500) + 10, 5)
+    lo, rlo, n = index.words()
+    phrase = [(i,) for i in range(1, 501)]
+    for k in range(2, 6):
+        lo, rlo, n, prefix, suffix = index.extend(lo, rlo, n)
+        phrase = [phrase[p] + phrase[s][-1:] for p, s in zip(prefix, suffix)]
+        assert dict(zip(phrase, n.tolist())) == Counter(
+            tuple(words[i:i + k].tolist()) for i in range(61 - k) if words[i:i + k].all())
+
+
+def test_frequent_words_that_mostly_stand_alone(spark):
+    """Small shards of many frequent words, of which few and rarer ones are in a phrase."""
+    rng = random.Random(8)
+    alone = " . ".join(f"w{i}" for i in range(300))
+    rows = [(f"{alone} . {alone} . " + " ".join(rng.choices("abcdef", k=6)), "en") for _ in range(40)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(6)
+    assert found(docs, 4) == brute(plain(docs), 4)
