@@ -15,10 +15,13 @@ average bucket, apart:
     <path>/layout.json     number of buckets; written last, so that a store that
                            has it is complete
 
+There is a bucket for every ``ROWS_PER_BUCKET`` rows of the largest table, so what
+a task holds stays the same as the tables grow.
+
 A key is hot in all tables of its layout or in none, so no key spans both
 halves: whatever is computed per key is the union of both (``plans.stored``).
-There are at most ``buckets / hot_factor`` hot keys a table, whatever the data;
-that list is broadcast.  Rows without a key count as a key of their own.
+There are at most ``buckets / hot_factor`` hot keys a table, one for every
+``hot_factor * ROWS_PER_BUCKET`` rows at most; that list is broadcast.  Rows without a key count as a key of their own.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmac import params as P
+from tarmac.session import scratch_path, scratch_scope, small_tasks
 from tarmac.sources.schemas import BAGS, BOOKINGS, FLIGHTS, REMARKS
 from tarmac.sources.tables import FlightTables
 
@@ -43,6 +47,7 @@ LOCATORS = T.StructType([BOOKINGS[c] for c in (*P.BOOKING_KEY, "total_pax", "lap
 LAYOUT = {"flights": (FLIGHTS, P.FLIGHT_KEY), "bookings": (BOOKINGS, P.FLIGHT_KEY), "bags": (BAGS, P.FLIGHT_KEY),
           "remarks": (REMARKS, P.REMARK_KEY), "locators": (LOCATORS, P.REMARK_KEY)}
 HOT_FACTOR = 2.0
+ROWS_PER_BUCKET = 250_000
 
 
 @dataclass(frozen=True)
@@ -60,14 +65,28 @@ def _members(t: FlightTables) -> dict[str, DataFrame]:
             "locators": t.bookings}
 
 
-def hot_keys(tables: list[DataFrame], keys: tuple[str, ...], buckets: int, hot_factor: float) -> DataFrame:
-    """Keys with more than ``hot_factor`` average buckets of the rows of a table."""
-    def of(df: DataFrame) -> DataFrame:
-        limit = max(1, math.ceil(hot_factor * df.count() / buckets))
+def _staged(t: FlightTables) -> FlightTables:
+    """The tables as plain files: every step of the store reads them again, and what
+    they derive from is joined and cleaned only once."""
+    spark = t.flights.sparkSession
+
+    def stage(df: DataFrame) -> DataFrame:
+        path = scratch_path(spark, "staged")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return FlightTables(**{m: stage(getattr(t, m)) for m in t.MEMBERS})
+
+
+def hot_keys(tables: list[tuple[DataFrame, int]], keys: tuple[str, ...], buckets: int, hot_factor: float) -> DataFrame:
+    """Keys with more than ``hot_factor`` average buckets of the rows of a table
+    (given with its number of rows)."""
+    def of(df: DataFrame, rows: int) -> DataFrame:
+        limit = max(1, math.ceil(hot_factor * rows / buckets))
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         return counts.filter(F.col("_n") > limit).select(*keys)
 
-    return reduce(DataFrame.unionByName, map(of, tables)).distinct()
+    return reduce(DataFrame.unionByName, [of(*t) for t in tables]).distinct()
 
 
 def _split(df: DataFrame, hot: DataFrame, keys: tuple[str, ...], how: str) -> DataFrame:
@@ -75,13 +94,26 @@ def _split(df: DataFrame, hot: DataFrame, keys: tuple[str, ...], how: str) -> Da
     return df.join(F.broadcast(hot), same, how)
 
 
-def write_bucketed(t: FlightTables, path: str, buckets: int, hot_factor: float = HOT_FACTOR) -> None:
-    """Store cleaned tables at ``path``, which must not exist."""
-    spark, members, path = t.flights.sparkSession, _members(t), path.rstrip("/")
+def write_bucketed(t: FlightTables, path: str, buckets: int, hot_factor: float = HOT_FACTOR,
+                   rows_per_bucket: int = ROWS_PER_BUCKET) -> None:
+    """Store cleaned tables at ``path``, which must not exist, in ``buckets`` or, for
+    large tables, as many as ``rows_per_bucket`` takes."""
+    spark = t.flights.sparkSession
+    with small_tasks(spark), scratch_scope(spark):
+        _write_bucketed(t, path.rstrip("/"), buckets, hot_factor, rows_per_bucket)
+
+
+def _write_bucketed(t: FlightTables, path: str, buckets: int, hot_factor: float, rows_per_bucket: int) -> None:
+    spark, members = t.flights.sparkSession, _members(_staged(t))
+    rows = {name: members[name].count() for name in t.MEMBERS}
+    rows["locators"] = rows["bookings"]
+    buckets = max(buckets, -(-max(rows.values()) // rows_per_bucket))
     for keys in dict.fromkeys(k for _, k in LAYOUT.values()):
         mine = {n: members[n].select(*schema.fieldNames()) for n, (schema, k) in LAYOUT.items() if k == keys}
         found = f"{path}/hot_keys/{'-'.join(keys)}"
-        hot_keys([df.select(*keys) for df in mine.values()], keys, buckets, hot_factor).coalesce(1).write.parquet(found)
+        # one small file, but counted by many tasks: coalesce(1) would count in one
+        (hot_keys([(df.select(*keys), rows[n]) for n, df in mine.items()], keys, buckets, hot_factor)
+         .repartition(1).write.parquet(found))
         hot = spark.read.parquet(found)
         for name, df in mine.items():
             table = _table_name(path, name) + "_w"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pytest
@@ -97,6 +98,28 @@ def test_hot_keys_lie_apart(spark, hot_tables, tmp_path):
     assert hot.bookings.filter("flight_number IS NULL").count() == 40
 
 
+def test_buckets_grow_with_the_rows(spark, tmp_path):
+    """A bucket, which one task reads, holds about as many rows in a larger store."""
+    t, path = mini_tables(spark).cleaned(), str(tmp_path / "s")
+    most = max(getattr(t, m).count() for m in t.MEMBERS)
+    want = -(-most // 2)
+    check(make(spark, t, path, 2, rows_per_bucket=2), t)
+    assert want > 2 and json.loads((tmp_path / "s" / "layout.json").read_text()) == {"buckets": want}
+
+
+def test_keys_are_counted_by_many_tasks(spark, tmp_path, monkeypatch):
+    """The list of hot keys is one file, but no single task counts the keys."""
+    from tarmac.sources import bucketed
+    plans, real = [], bucketed.hot_keys
+    monkeypatch.setattr(bucketed, "hot_keys", lambda *a: plans.append(real(*a)) or plans[-1])
+    coalesced, coalesce = [], type(spark.range(1)).coalesce
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", lambda df, n: coalesced.append(n) or coalesce(df, n))
+    write_bucketed(mini_tables(spark).cleaned(), str(tmp_path / "s"), 2)
+    assert len(plans) == 2 and coalesced == []
+    assert all(len(list((tmp_path / "s" / "hot_keys").glob(f"{k}/*.parquet"))) <= 1
+               for k in ("-".join(P.FLIGHT_KEY), "-".join(P.REMARK_KEY)))
+
+
 def test_no_shuffle_below_the_joins(spark, tmp_path):
     t = mini_tables(spark).cleaned()
     cold, _ = make(spark, t, str(tmp_path / "s"), 4)
