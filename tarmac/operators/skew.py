@@ -4,8 +4,8 @@ AQE splits a skewed partition of a sort-merge join only when both join inputs
 are fresh shuffles.  A one-row-per-key side is usually an aggregate that
 already sits on the join's hash partitioning, so a plain join reuses that
 partitioning and AQE leaves a hot key of the large side in a single task
-(measured in SKEW.md).  ``join_unique`` adds a hash of the key as one more join
-key.  The aggregate's partitioning does not cover it, so both inputs are
+(measured in SKEW.md).  ``join_unique`` adds a bit of the key's hash as one more
+join key (a whole hash would not compress in the shuffle).  The aggregate's partitioning does not cover it, so both inputs are
 shuffled afresh and AQE splits any partition that turns out large, a hot key
 or the NULL keys of an outer join alike, by the actual sizes of the run.  The
 large side is read and shuffled once; the price is a second shuffle of the
@@ -29,9 +29,9 @@ def join_unique(big: DataFrame, per_key: DataFrame, on: Sequence[str], how: str
     if how not in ("inner", "left", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
     on = list(on)
-    key_hash = F.xxhash64(*on)
-    return (big.withColumn(_FRESH, key_hash)
-            .join(per_key.withColumn(_FRESH, key_hash), on=[*on, _FRESH], how=how).drop(_FRESH))
+    bit = F.pmod(F.hash(*on), F.lit(2)).cast("byte")
+    return (big.withColumn(_FRESH, bit)
+            .join(per_key.withColumn(_FRESH, bit), on=[*on, _FRESH], how=how).drop(_FRESH))
 
 
 def join_stored(big: DataFrame, per_key: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:

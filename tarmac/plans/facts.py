@@ -34,7 +34,7 @@ from tarmac import params as P
 from tarmac.functions.columns import count_where, ratio
 from tarmac.operators.skew import join_unique
 from tarmac.plans import insights, scoring
-from tarmac.session import scratch_path, scratch_scope
+from tarmac.session import scratch_path, scratch_scope, small_tasks
 from tarmac.sources.published import Manifest, PublishedTable
 from tarmac.sources.tables import FlightTables
 
@@ -98,7 +98,7 @@ class FlightFacts:
 
     def build(self, t: FlightTables) -> Manifest:
         """Facts of whole cleaned tables; replaces all that is stored."""
-        with scratch_scope(self.spark):
+        with scratch_scope(self.spark), small_tasks(self.spark):
             return self.store.write(self._with_part(compute(t), self._days), replace_all=True,
                                     notes={"days_per_part": self._days})
 
@@ -114,7 +114,7 @@ class FlightFacts:
         changed = F.col(DATE).isin(known) if known else F.lit(False)
         if len(known) < len(dates):
             changed = changed | F.col(DATE).isNull()
-        with scratch_scope(self.spark):
+        with scratch_scope(self.spark), small_tasks(self.spark):
             rows = self._with_part(compute(t), days)
             if days > 1 and now.version:
                 kept = self.store.read([p for p in parts if p is not None], now.version)

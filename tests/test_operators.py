@@ -223,3 +223,29 @@ def test_rank_within_groups_identical_copies(spark):
     hot = sorted(r.rank for r in got.filter("g = 'hot'").collect())
     assert hot == list(range(1, 401))
     assert {r.size for r in got.collect()} == {400, 50}
+
+
+def test_small_tasks_restores_the_session(spark):
+    from tarmac.session import TASK_BYTES, small_tasks
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    for before, inside in ((None, str(TASK_BYTES)), ("64m", str(TASK_BYTES)), ("16k", "16k")):
+        if before is not None:
+            spark.conf.set(name, before)
+        try:
+            with pytest.raises(KeyError), small_tasks(spark):
+                assert spark.conf.get(name) == inside
+                raise KeyError
+            assert spark.conf.get(name, None) == before
+        finally:
+            spark.conf.unset(name)
+
+
+def test_facts_are_built_in_small_tasks(spark, tmp_path, monkeypatch):
+    from minidata import mini_tables
+    from tarmac.plans import facts
+    from tarmac.session import TASK_BYTES
+    seen, real = [], facts.compute
+    monkeypatch.setattr(facts, "compute", lambda t: seen.append(
+        spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")) or real(t))
+    facts.FlightFacts(spark, str(tmp_path / "f")).build(mini_tables(spark).cleaned())
+    assert seen == [str(TASK_BYTES)]
